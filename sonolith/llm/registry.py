@@ -1,6 +1,12 @@
 """Queries of the corpus operators, and their SQL twins."""
 
+from sonolith.llm.mixing import OP5_SQL, op5_weighted_mix
 from sonolith.llm.secrets import op1_secret_scan
+from sonolith.llm.simhash import op4_simhash_dedup
 
-QUERIES = {"op1_secret_scan": op1_secret_scan}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
+    "op4_simhash_dedup": op4_simhash_dedup,
+    "op5_weighted_mix": op5_weighted_mix,
+}
+ORACLES: dict[str, str] = {"op5_weighted_mix": OP5_SQL}
