@@ -1,12 +1,16 @@
 """Queries of the corpus operators, and their SQL twins."""
 
+from sonolith.llm.langid import op6_language_id
 from sonolith.llm.mixing import OP5_SQL, op5_weighted_mix
 from sonolith.llm.secrets import op1_secret_scan
 from sonolith.llm.simhash import op4_simhash_dedup
+from sonolith.llm.toxicity import op8_toxicity
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op4_simhash_dedup": op4_simhash_dedup,
     "op5_weighted_mix": op5_weighted_mix,
+    "op6_language_id": op6_language_id,
+    "op8_toxicity": op8_toxicity,
 }
 ORACLES: dict[str, str] = {"op5_weighted_mix": OP5_SQL}
