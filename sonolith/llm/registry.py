@@ -1,5 +1,6 @@
 """Queries of the corpus operators, and their SQL twins."""
 
+from sonolith.llm.html_text import op3_html_text
 from sonolith.llm.langid import op6_language_id
 from sonolith.llm.mixing import OP5_SQL, op5_weighted_mix
 from sonolith.llm.secrets import op1_secret_scan
@@ -8,6 +9,7 @@ from sonolith.llm.toxicity import op8_toxicity
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op3_html_text": op3_html_text,
     "op4_simhash_dedup": op4_simhash_dedup,
     "op5_weighted_mix": op5_weighted_mix,
     "op6_language_id": op6_language_id,
