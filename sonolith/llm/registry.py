@@ -5,10 +5,12 @@ from sonolith.llm.langid import op6_language_id
 from sonolith.llm.mixing import OP5_SQL, op5_weighted_mix
 from sonolith.llm.secrets import op1_secret_scan
 from sonolith.llm.simhash import op4_simhash_dedup
+from sonolith.llm.token_shards import op2_token_shards
 from sonolith.llm.toxicity import op8_toxicity
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_token_shards": op2_token_shards,
     "op3_html_text": op3_html_text,
     "op4_simhash_dedup": op4_simhash_dedup,
     "op5_weighted_mix": op5_weighted_mix,
