@@ -1,5 +1,6 @@
 """Queries of the corpus operators, and their SQL twins."""
 
+from sonolith.llm.decontaminate import op7_decontaminate
 from sonolith.llm.html_text import op3_html_text
 from sonolith.llm.langid import op6_language_id
 from sonolith.llm.mixing import OP5_SQL, op5_weighted_mix
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_simhash_dedup": op4_simhash_dedup,
     "op5_weighted_mix": op5_weighted_mix,
     "op6_language_id": op6_language_id,
+    "op7_decontaminate": op7_decontaminate,
     "op8_toxicity": op8_toxicity,
 }
 ORACLES: dict[str, str] = {"op5_weighted_mix": OP5_SQL}
