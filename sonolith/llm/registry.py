@@ -1,6 +1,7 @@
 """Queries of the corpus operators, and their SQL twins."""
 
 from sonolith.llm.decontaminate import op7_decontaminate
+from sonolith.llm.embedding_dedup import op10_embedding_dedup
 from sonolith.llm.html_text import op3_html_text
 from sonolith.llm.langid import op6_language_id
 from sonolith.llm.mixing import OP5_SQL, op5_weighted_mix
@@ -18,5 +19,6 @@ QUERIES = {
     "op6_language_id": op6_language_id,
     "op7_decontaminate": op7_decontaminate,
     "op8_toxicity": op8_toxicity,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 ORACLES: dict[str, str] = {"op5_weighted_mix": OP5_SQL}
