@@ -132,7 +132,7 @@ def tokenized(docs: DataFrame, tokenizer: Tokenizer) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "pid int, at long, doc_id long, tokens binary")
 
 
-def _chunks(tokens: DataFrame, layout: Layout, base: dict[int, int]) -> DataFrame:
+def _chunks(tokens: DataFrame, layout: Layout, base: dict[int, tuple[int, int]]) -> DataFrame:
     """Pieces of documents, cut at the sequences' borders: one row for each shard that a task has pieces for."""
     order, width = Permutation(layout.n_sequences, layout.key), np.dtype(layout.dtype).itemsize
 
@@ -157,7 +157,10 @@ def _chunks(tokens: DataFrame, layout: Layout, base: dict[int, int]) -> DataFram
                 n = len(raw) // width
                 if not n:
                     continue
-                start = base[pid] + at
+                ahead, count = base.get(pid, (0, 0))
+                start = ahead + at
+                if at + n > count:
+                    raise RuntimeError(f"partition {pid} has other rows than when its tokens were counted")
                 seq = np.arange(start // layout.length, (start + n - 1) // layout.length + 1)
                 low = np.maximum(seq * layout.length, start)
                 high = np.minimum((seq + 1) * layout.length, start + n)
@@ -219,7 +222,7 @@ def _write(chunks: DataFrame, layout: Layout, path: str) -> DataFrame:
     return chunks.repartitionById(max(1, layout.n_shards), F.col("shard")).mapInArrow(run, MANIFEST)
 
 
-def token_shards(docs: DataFrame, path: str, tokenizer: Tokenizer | None = None, length: int = SEQUENCE_LENGTH, per_shard: int = SEQUENCES_PER_SHARD, key: str = "order") -> DataFrame:
+def token_shards(docs: DataFrame, path: str, tokenizer: Tokenizer | None = None, length: int = SEQUENCE_LENGTH, per_shard: int = SEQUENCES_PER_SHARD, key: str = "order", keep_tokens: bool = True) -> DataFrame:
     """Write docs (doc_id, text) to path as shards of token sequences in training order; returns the manifest, one row
     a sequence: slot, seq_index, shard, byte_offset, n_tokens (without filling), doc_ids (in order), sha256 of its
     record. The files are written when the manifest is computed.
@@ -229,21 +232,26 @@ def token_shards(docs: DataFrame, path: str, tokenizer: Tokenizer | None = None,
     Null or empty text gives no ids. Repeated rows count each; a null doc_id is a null in doc_ids; other columns are
     not read. An empty table gives no shards and no rows.
 
-    Texts are tokenised once and kept in the shared folder; a shuffle moves each token once, in one row for each task
-    and shard. The driver gets one count a scan partition.
+    With keep_tokens, texts are tokenised once and kept in the shared folder; without, they are tokenised twice, which
+    takes less disk; docs must then be a scan of files that reads the same each time, and the second pass fails if a
+    partition has other counts than in the first. A shuffle moves each token once, in one row for each task and shard.
+    The driver gets one count a scan partition.
     """
     spark, tokenizer = docs.sparkSession, tokenizer or Tokenizer()
     layout = Layout(0, length, per_shard, tokenizer.dtype(), tokenizer.end_id, key)
-    tokens = stash(tokenized(docs, tokenizer), "tokens")
+    tokens = tokenized(docs, tokenizer)
+    if keep_tokens:
+        tokens = stash(tokens, "tokens")
     width = np.dtype(layout.dtype).itemsize
     sizes = tokens.groupBy("pid").agg(F.max(F.col("at") + F.octet_length("tokens") / width).cast("long").alias("n")).orderBy("pid").collect()
     base, total = {}, 0
     for row in sizes:
-        base[row["pid"]] = total
+        base[row["pid"]] = (total, row["n"])
         total += row["n"]
     layout = Layout(-(-total // length), length, per_shard, layout.dtype, layout.end_id, key)
     if not layout.n_sequences:
-        discard(tokens)
+        if keep_tokens:
+            discard(tokens)
         return spark.createDataFrame([], MANIFEST)
     fs, folder = pafs.FileSystem.from_uri(path)
     fs.create_dir(folder, recursive=True)

@@ -46,6 +46,17 @@ def test_round_trip(spark, tmp_path):
     assert (read_slots(path, 5, 30) == records[5:35]).all() and len(read_slots(path, n - 2, 10)) == 2
 
 
+def test_tokenising_twice_gives_the_same(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choices(["a", "bb", "ccc"], k=rng.randint(0, 50)))) for i in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(6).write.parquet(f"{tmp_path}/docs")
+    df = spark.read.parquet(f"{tmp_path}/docs")
+    a, b = (sorted(token_shards(df, f"file://{tmp_path}/{k}", length=16, per_shard=8, keep_tokens=k).collect()) for k in (True, False))
+    n = sum(len(Tokenizer().encode(t)) for _, t in rows)
+    assert len(a) == len(b) == -(-n // 16)
+    assert sum(r.n_tokens for r in b) == n
+
+
 def test_empty(spark, tmp_path):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert token_shards(df, f"file://{tmp_path}/none").count() == 0
