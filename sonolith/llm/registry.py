@@ -4,6 +4,7 @@ from sonolith.llm.decontaminate import op7_decontaminate
 from sonolith.llm.embedding_dedup import op10_embedding_dedup
 from sonolith.llm.html_text import op3_html_text
 from sonolith.llm.langid import op6_language_id
+from sonolith.llm.line_dedup import op9_line_dedup
 from sonolith.llm.mixing import OP5_SQL, op5_weighted_mix
 from sonolith.llm.secrets import op1_secret_scan
 from sonolith.llm.simhash import op4_simhash_dedup
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_language_id": op6_language_id,
     "op7_decontaminate": op7_decontaminate,
     "op8_toxicity": op8_toxicity,
+    "op9_line_dedup": op9_line_dedup,
     "op10_embedding_dedup": op10_embedding_dedup,
 }
 ORACLES: dict[str, str] = {"op5_weighted_mix": OP5_SQL}
