@@ -1,4 +1,7 @@
 """Queries over the catalogue and signals, and their SQL twins."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from sonolith.plans import library
+
+MODULES = (library,)
+QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
+ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

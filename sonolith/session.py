@@ -16,6 +16,7 @@ def build_session(cores: int | str = "*", **conf: str) -> SparkSession:
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("sonolith")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
