@@ -1,7 +1,7 @@
 """Queries over the catalogue and signals, and their SQL twins."""
 
-from sonolith.plans import library
+from sonolith.plans import library, signals
 
-MODULES = (library,)
+MODULES = (library, signals)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

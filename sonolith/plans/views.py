@@ -13,7 +13,7 @@ FRAME = 8
 
 SIGNAL_SQL = """signal AS (
   SELECT user_id AS track_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i,
-         round(value - avg(value) OVER (PARTITION BY user_id), 6) AS v FROM events)"""
+         (round(value * 100) - floor((sum(round(value * 100)) OVER (PARTITION BY user_id)) / count(*) OVER (PARTITION BY user_id))) / 100 AS v FROM events)"""
 
 LIBRARY_SQL = """library AS (
   SELECT p_partkey AS id, p_brand AS artist, p_name AS title, 700 + (p_partkey * 37) % 1100 AS bpm10,
@@ -30,12 +30,13 @@ DISTANCE_SQL = """CASE WHEN {a}.major = {b}.major AND least((12 + {a}.number - {
 
 
 def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """track_id, i, v: the values of a user's events in order, less their mean."""
+    """track_id, i, v: the values of a user's events in order, less their mean, in whole hundredths."""
     by = W.partitionBy("user_id")
+    cents = F.round(F.col("value") * 100)
     return table(spark, sf_dir, "events").select(
         F.col("user_id").alias("track_id"),
         (F.row_number().over(by.orderBy("ts", "event_id")) - 1).cast("long").alias("i"),
-        F.round(F.col("value") - F.avg("value").over(by), 6).alias("v"),
+        ((cents - F.floor(F.sum(cents).over(by) / F.count(F.lit(1)).over(by))) / 100).alias("v"),
     )
 
 
