@@ -166,7 +166,6 @@ def peaks(x: np.ndarray, prominence: float) -> np.ndarray:
 
 def bpm_confidence(onset: np.ndarray, fps: float = SAMPLE_RATE / HOP) -> float:
     """Distinctiveness of the best tempo's autocorrelation peak times its clipped height."""
-    low, high = (int(60 * fps / b) + (0 if b == CONFIDENCE_BPM[0] else 1) for b in CONFIDENCE_BPM)
     low, high = max(1, int(math.ceil(60 * fps / CONFIDENCE_BPM[1]))), int(math.floor(60 * fps / CONFIDENCE_BPM[0])) + 1
     if len(onset) <= low + 2 or onset.std() <= 1e-9:
         return 0.0
@@ -223,18 +222,21 @@ def beat_track(onset: np.ndarray, fps: float = SAMPLE_RATE / HOP, tightness: flo
     return bpm, frames[keep[0] : keep[-1] + 1] if len(keep) else frames
 
 
-def chroma_of(s: np.ndarray) -> np.ndarray:
-    """Pitch-class energies (12, frames), each frame scaled to a maximum of 1: bins are spread over the classes by a
-    Gaussian of their distance in semitones, octaves weighted about the middle of the range."""
-    f = frequencies()[1:]
-    pitch = 12 * np.log2(f / 440.0) + 9
+def chroma_of(y: np.ndarray, n_fft: int = 1 << 14, hop: int = HOP) -> np.ndarray:
+    """Pitch-class energies (12, frames), each frame scaled to a maximum of 1. Frames are long enough (0.74 s) to part
+    semitones from the second octave on; bins go to the classes by a Gaussian of their distance in semitones."""
+    y = checked(y)
+    f = frequencies(n_fft)
+    used = (f >= 65.0) & (f <= 4300.0)
+    pitch = 12 * np.log2(f[used] / 440.0) + 9
     distance = (pitch[None, :] - np.arange(12)[:, None] + 6) % 12 - 6
-    width = np.maximum(0.5, 12 * np.log2(1 + (frequencies()[1]) / f))
-    weight = np.exp(-0.5 * (2 * distance / width[None, :]) ** 2)
-    weight /= np.sqrt((weight**2).sum(axis=0, keepdims=True))
-    weight *= np.exp(-0.5 * ((np.log2(f / 27.5) - 5) / 2) ** 2)[None, :]
-    raw = weight @ s[1:] ** 2
-    return raw / np.where(raw.max(axis=0) > 1e-12, raw.max(axis=0), 1)
+    weight = np.exp(-0.5 * (distance / 0.25) ** 2) / np.sqrt(f[used] / 65.0)  # as a constant-Q transform scales them
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n_fft) / n_fft)
+    rows, out = framed(np.pad(y, n_fft // 2), n_fft, hop), []
+    for i in range(0, len(rows), 128):
+        out.append(weight @ np.abs(np.fft.rfft(rows[i : i + 128] * window, axis=1)[:, used]).T)
+    raw = np.concatenate(out, axis=1)
+    return raw / np.where(raw.max(axis=0) > 1e-9, raw.max(axis=0), 1)
 
 
 def biquad(x: np.ndarray, b: tuple[float, ...], a: tuple[float, ...]) -> np.ndarray:
@@ -352,7 +354,7 @@ def sections(y: np.ndarray, sr: int = SAMPLE_RATE, k: int = MAX_SECTIONS, least:
         return whole
     s = stft(y)
     factor = max(1, round(sr / HOP / STRUCTURE_FPS))
-    features = block_mean(np.vstack([mfcc(s)[1:], chroma_of(s)]), factor)
+    features = block_mean(np.vstack([mfcc(s)[1:], chroma_of(y)]), factor)
     borders = ward_chain(features, min(k, max(2, features.shape[1] // 4))) * factor * HOP / sr
     kept: list[float] = []
     for t in borders:
