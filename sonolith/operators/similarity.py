@@ -31,10 +31,10 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, id, cos, rank: for each row of queries (id, v) its k nearest other rows (id, v) by cosine, ties by id.
 
     Queries go in blocks of bounded size; each Arrow batch of rows gives its k best a query, and those are ranked."""
-    ids = [r["id"] for r in queries.select("id").distinct().orderBy("id").collect()]
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     found = None
-    for i in range(0, max(1, len(ids)), QUERY_BLOCK):
-        block = queries.where(F.col("id").isin(ids[i : i + QUERY_BLOCK])).orderBy("id").collect()
+    for i in range(blocks):
+        block = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i).orderBy("id").collect()
         names = np.array([r["id"] for r in block], np.int64)
         q = np.array([r["v"] for r in block], float).reshape(len(block), -1)
         q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
@@ -88,29 +88,38 @@ def target_energy(preset: str, x: Column) -> Column:
     return {"linear_rise": 0.3 + 0.6 * x, "classic_arc": 0.35 + 0.55 * F.sin(x * np.pi * 0.9), "flat": F.lit(0.6), "descending": 0.9 - 0.6 * x}[preset]
 
 
-def plan_greedy(edges: dict[int, list[tuple[int, float]]], relaxed: dict[int, list[tuple[int, float]]], seed_track: int, minutes: dict[int, float], total: float, seed: int = 0, top: int = 5) -> list[int]:
-    """Tracks of a set: from the seed track on one of the `top` best unused next tracks, drawn by score, until the set
-    is long enough; where there is none, from the relaxed candidates; else the set ends. edges: next tracks and
-    scores, best first."""
+Ranked = list[tuple[int, float]]  # next tracks and scores, best first
+
+
+def draw(strict: Ranked, relaxed: Ranked, used: set[int], rng: random.Random, top: int = 5) -> int | None:
+    """One of the `top` best unused tracks, by score; from the relaxed ones if there is no strict one; else none."""
+    options = [e for e in strict if e[0] not in used][:top] or [e for e in relaxed if e[0] not in used][:top]
+    return rng.choices([t for t, _ in options], [max(1e-9, s) for _, s in options])[0] if options else None
+
+
+def widen(beam: list[tuple[float, list[int]]], edges: dict[int, Ranked], width: int) -> list[tuple[float, list[int]]]:
+    """The `width` best sets that are one track longer than those of the beam (total score, tracks)."""
+    grown = [(s + e, [*path, t]) for s, path in beam for t, e in edges.get(path[-1], ()) if t not in path]
+    return sorted(grown, key=lambda b: (-b[0], b[1]))[:width]
+
+
+def plan_greedy(edges: dict[int, Ranked], relaxed: dict[int, Ranked], seed_track: int, minutes: dict[int, float], total: float, seed: int = 0) -> list[int]:
+    """Tracks of a set over a known graph of next tracks, until the set is long enough or there is no next track."""
     rng, chosen = random.Random(seed), [seed_track]
-    used, length = {seed_track}, minutes[seed_track]
-    while length < total:
-        options = [e for e in edges.get(chosen[-1], ()) if e[0] not in used][:top] or [e for e in relaxed.get(chosen[-1], ()) if e[0] not in used][:top]
-        if not options:
+    while sum(minutes[t] for t in chosen) < total:
+        pick = draw(edges.get(chosen[-1], []), relaxed.get(chosen[-1], []), set(chosen), rng)
+        if pick is None:
             break
-        pick = rng.choices([t for t, _ in options], [max(1e-9, s) for _, s in options])[0]
         chosen.append(pick)
-        used.add(pick)
-        length += minutes[pick]
     return chosen
 
 
-def plan_beam(edges: dict[int, list[tuple[int, float]]], seed_track: int, steps: int, width: int = 10) -> list[int]:
+def plan_beam(edges: dict[int, Ranked], seed_track: int, steps: int, width: int = 10) -> list[int]:
     """The set of the largest total score among those that a beam of `width` partial sets reaches."""
     beam = [(0.0, [seed_track])]
     for _ in range(steps):
-        grown = [(s + e, [*path, t]) for s, path in beam for t, e in edges.get(path[-1], ()) if t not in path]
+        grown = widen(beam, edges, width)
         if not grown:
             break
-        beam = sorted(grown, key=lambda b: (-b[0], b[1]))[:width]
+        beam = grown
     return beam[0][1]

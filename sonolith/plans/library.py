@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import random
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -124,10 +127,10 @@ NEXT_TRACK = f"WITH {_SCORED.format(every=100)}, r AS (SELECT *, row_number() OV
 
 
 def score_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(spark, sf_dir, 250)
+    return _scored(spark, sf_dir)
 
 
-SCORE_BREAKDOWN = f"WITH {_SCORED.format(every=250)} SELECT * FROM z"
+SCORE_BREAKDOWN = f"WITH {_SCORED.format(every=100)} SELECT * FROM z"
 
 
 def feature_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,42 +184,59 @@ d AS (SELECT y.p_brand, y.position::INT AS position, y.id, ({DISTANCE_SQL.format
 SELECT *, CASE WHEN distance <= 1 THEN 'green' WHEN distance = 2 THEN 'yellow' ELSE 'red' END AS colour FROM d"""
 
 
-def _graph(rows: list) -> dict[int, list[tuple[int, float]]]:
-    out: dict[int, list[tuple[int, float]]] = {}
-    for r in rows:
-        out.setdefault(r["a_id"], []).append((r["b_id"], r["score"]))
-    return out
-
-
-def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten best next tracks of the tracks of one crate: 200 tracks, evenly spread over the library."""
-    tracks = library(spark, sf_dir)
-    step = max(1, tracks.count() // 200)
-    crate = tracks.where((F.col("id") % step == 0) & (F.col("bpm_conf") >= 50)).orderBy("id").limit(200)
-    pairs = H.tempo_join(prefixed(crate, "a"), prefixed(crate, "b"), 0.10).where("a_id <> b_id")
+def _next(spark: SparkSession, tracks: DataFrame, last: list[int], most: int, target: float) -> dict[bool, dict[int, list[tuple[int, float]]]]:
+    """Of each of the given last tracks the `most` best next ones of the whole library, with scores: within the strict
+    tempo tolerance, and within the relaxed one."""
+    pairs = H.tempo_join(prefixed(tracks.where(F.col("id").isin(last)), "a"), prefixed(tracks, "b"), 0.10).where("a_id <> b_id")
     far = H.wheel_distance(F.col("a_number"), F.col("a_major"), F.col("b_number"), F.col("b_major"))
-    energy = 1.0 - F.abs(F.col("b_energy") - F.col("a_energy")) / 100.0
-    parts = S.score(S.cosine(F.col("a_timbre"), F.col("b_timbre")), S.cosine(F.col("a_band"), F.col("b_band")), far, F.col("gap2"), F.col("a_bpm10"), energy)
+    pairs = pairs.withColumn("distance", far).where((F.col("distance") <= 2) | (F.least("a_key_conf", "b_key_conf") < 40))
+    energy = 1.0 - F.abs(F.col("b_energy") / 100.0 - target)
+    parts = S.score(S.cosine(F.col("a_timbre"), F.col("b_timbre")), S.cosine(F.col("a_band"), F.col("b_band")), F.col("distance"), F.col("gap2"), F.col("a_bpm10"), energy)
     strict = F.col("gap2") * 100 <= F.col("a_bpm10") * 12
     rank = F.row_number().over(W.partitionBy("a_id", "strict").orderBy(F.col("score").desc(), "b_id"))
-    return pairs.select("a_id", "b_id", F.round(parts["score"], 6).alias("score"), strict.alias("strict")).withColumn("rank", rank).where("rank <= 40")
+    rows = pairs.select("a_id", "b_id", F.round(parts["score"], 6).alias("score"), strict.alias("strict")).withColumn("rank", rank).where(F.col("rank") <= most)
+    out: dict[bool, dict[int, list[tuple[int, float]]]] = {True: {}, False: {}}
+    for r in sorted(rows.collect(), key=lambda r: (-r["score"], r["b_id"])):
+        out[False].setdefault(r["a_id"], []).append((r["b_id"], r["score"]))
+        if r["strict"]:
+            out[True].setdefault(r["a_id"], []).append((r["b_id"], r["score"]))
+    return out
 
 
-def plan_set_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A set of 60 minutes from the crate's first track; tracks last four minutes. The crate is bounded, so its
-    candidate graph (at most 200 x 80 rows) is walked on the driver."""
-    rows = sorted(_candidates(spark, sf_dir).collect(), key=lambda r: (r["a_id"], -r["score"], r["b_id"]))
-    start = rows[0]["a_id"]
-    minutes = {t: 4.0 for r in rows for t in (r["a_id"], r["b_id"])}
-    chosen = S.plan_greedy(_graph([r for r in rows if r["strict"]]), _graph(rows), start, minutes, 60.0, seed=7)
-    return spark.createDataFrame([(k + 1, t) for k, t in enumerate(chosen)], "position int, track_id long")
+SET_TRACKS, BEAM = 12, 10
 
 
-def plan_set_beam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sorted(_candidates(spark, sf_dir).where("strict").collect(), key=lambda r: (r["a_id"], -r["score"], r["b_id"]))
-    chosen = S.plan_beam(_graph(rows), rows[0]["a_id"], 14)
+def _start(tracks: DataFrame) -> int:
+    return tracks.agg(F.min("id")).first()[0]
+
+
+def plan_set_greedy(spark, sf_dir):
+    """A set of SET_TRACKS tracks from the library's first: each step asks the whole library for the best tracks after
+    the last one, and draws one of the five best that are unused. The loop is as long as the set."""
+    tracks = library(spark, sf_dir).where("bpm_conf >= 50")
+    rng, chosen = random.Random(7), [_start(tracks)]
+    while len(chosen) < SET_TRACKS:
+        found = _next(spark, tracks, chosen[-1:], 5 + len(chosen), 0.35 + 0.55 * math.sin(len(chosen) / SET_TRACKS * math.pi * 0.9))
+        pick = S.draw(found[True].get(chosen[-1], []), found[False].get(chosen[-1], []), set(chosen), rng)
+        if pick is None:
+            break
+        chosen.append(pick)
     return spark.createDataFrame([(k + 1, t) for k, t in enumerate(chosen)], "position int, track_id long")
 
 
+def plan_set_beam(spark, sf_dir):
+    """The set of the largest total score among those that BEAM partial sets reach; each step asks the library for the
+    tracks after the sets' last ones."""
+    tracks = library(spark, sf_dir).where("bpm_conf >= 50")
+    beam = [(0.0, [_start(tracks)])]
+    for k in range(1, SET_TRACKS):
+        found = _next(spark, tracks, sorted({path[-1] for _, path in beam}), BEAM + k, 0.6)[True]
+        grown = S.widen(beam, found, BEAM)
+        if not grown:
+            break
+        beam = grown
+    return spark.createDataFrame([(k + 1, t) for k, t in enumerate(beam[0][1])], "position int, track_id long")
+
+
 QUERIES = {f.__name__: f for f in (next_track_top10, tempo_compatible_pairs, harmonic_pairs, timbre_knn_top5, score_breakdown, library_filter, camelot_map, feature_stats, zscore_l2_vectors, set_energy_curve, set_pair_compatibility, plan_set_greedy, plan_set_beam)}
 ORACLES = {"next_track_top10": NEXT_TRACK, "tempo_compatible_pairs": TEMPO_PAIRS, "harmonic_pairs": HARMONIC_PAIRS, "timbre_knn_top5": TIMBRE_KNN, "score_breakdown": SCORE_BREAKDOWN, "library_filter": LIBRARY_FILTER, "camelot_map": CAMELOT_MAP, "feature_stats": FEATURE_STATS, "zscore_l2_vectors": ZSCORE, "set_energy_curve": SET_ENERGY, "set_pair_compatibility": SET_PAIRS}

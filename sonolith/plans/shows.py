@@ -120,16 +120,16 @@ MIX_CHECKS = f"""WITH {LABELS_SQL.split(', e AS (', 1)[0]}, d AS (SELECT track_i
 j AS (SELECT track_id, abs(db - lag(db) OVER (PARTITION BY track_id ORDER BY fr)) AS jump FROM d)
 SELECT track_id, count(*) FILTER (jump > 2) AS loud_jumps, round(max(jump), 4) AS largest FROM j WHERE jump IS NOT NULL GROUP BY track_id"""
 
-GRID_SQL = f"{ENDS_SQL}, grid AS (SELECT track_id, f AS frame, f / 60.0::DOUBLE AS t FROM ends, range(100000) r(f) WHERE f < floor(seconds * 60) AND track_id % 10 = 0)"
+GRID_SQL = f"{ENDS_SQL}, steps AS (SELECT track_id, unnest(range(floor(seconds * 60)::BIGINT)) AS frame FROM ends), grid AS (SELECT track_id, frame, frame / 60.0::DOUBLE AS t FROM steps)"
 
 
 def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.timeline(_ends(spark, sf_dir).where("track_id % 10 = 0"))
+    return L.timeline(_ends(spark, sf_dir))
 
 
 def light_frames_asof(spark, sf_dir):
     """Each light frame with the energy and the label of the section it lies in, and its colour."""
-    s = _sections(spark, sf_dir).where("track_id % 10 = 0").select("track_id", "t", "label", "e")
+    s = _sections(spark, sf_dir).select("track_id", "t", "label", "e")
     seen = R.as_of(_grid(spark, sf_dir), s, ["label", "e"])
     part = lambda k: F.rint(F.round(F.element_at(F.create_map(*[x for n, c in L.PALETTES.items() for x in (F.lit(n), F.lit(float(c[k])))]), F.col("label")) * F.col("e"), 6)).cast("int")
     return seen.select("track_id", "frame", "label", *[part(k).alias(n) for k, n in enumerate(("r", "g", "b"))])
@@ -141,7 +141,7 @@ SELECT track_id, frame, label, {", ".join("round_even(round(CASE label " + " ".j
 
 
 def beat_flash(spark, sf_dir):
-    downs = _downbeats(spark, sf_dir).where("track_id % 10 = 0").withColumn("at", F.col("t"))
+    downs = _downbeats(spark, sf_dir).withColumn("at", F.col("t"))
     seen = R.as_of(_grid(spark, sf_dir), downs, ["at"])
     return seen.select("track_id", "frame", F.round(L.flash(F.col("t") - F.col("at")), 5).alias("level"))
 
@@ -201,7 +201,7 @@ def key_hue(spark, sf_dir):
 def onset_chase(spark, sf_dir):
     """Pixel that a chase of 400 pixels a second over 300 pixels has reached at each light frame since the last
     downbeat; none before the first."""
-    downs = _downbeats(spark, sf_dir).where("track_id % 10 = 0").withColumn("at", F.col("t"))
+    downs = _downbeats(spark, sf_dir).withColumn("at", F.col("t"))
     seen = R.as_of(_grid(spark, sf_dir), downs, ["at"]).where("at IS NOT NULL")
     pixel = F.floor(F.round((F.col("t") - F.col("at")) * 400, 6)).cast("int")
     return seen.select("track_id", "frame", pixel.alias("pixel")).where("pixel < 300")
