@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -232,27 +233,39 @@ def chroma_of(y: np.ndarray, n_fft: int = 1 << 14, hop: int = HOP) -> np.ndarray
     distance = (pitch[None, :] - np.arange(12)[:, None] + 6) % 12 - 6
     weight = np.exp(-0.5 * (distance / 0.25) ** 2) / np.sqrt(f[used] / 65.0)  # as a constant-Q transform scales them
     window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n_fft) / n_fft)
-    rows, out = framed(np.pad(y, n_fft // 2), n_fft, hop), []
+    rows, out = framed(np.pad(y, n_fft // 2), n_fft, 4 * hop), []  # frames overlap by far: every fourth will do
     for i in range(0, len(rows), 128):
         out.append(weight @ np.abs(np.fft.rfft(rows[i : i + 128] * window, axis=1)[:, used]).T)
-    raw = np.concatenate(out, axis=1)
+    raw = np.repeat(np.concatenate(out, axis=1), 4, axis=1)[:, : 1 + len(y) // hop]
     return raw / np.where(raw.max(axis=0) > 1e-9, raw.max(axis=0), 1)
 
 
-def biquad(x: np.ndarray, b: tuple[float, ...], a: tuple[float, ...]) -> np.ndarray:
-    """A second-order section, by convolution with its impulse response, which is cut where it has decayed."""
-    n = min(len(x), 1 << 15)
-    h = np.zeros(n)
-    x1 = x2 = y1 = y2 = 0.0
-    for k in range(n):
+@functools.lru_cache(maxsize=16)
+def impulse_response(b: tuple[float, ...], a: tuple[float, ...], most: int = 1 << 15) -> np.ndarray:
+    """Of a second-order section, cut where it has decayed; made once for a filter."""
+    h, x1, x2, y1, y2 = [], 0.0, 0.0, 0.0, 0.0
+    for k in range(most):
         x0 = 1.0 if k == 0 else 0.0
         y0 = b[0] * x0 + b[1] * x1 + b[2] * x2 - a[1] * y1 - a[2] * y2
-        h[k], x2, x1, y2, y1 = y0, x1, x0, y1, y0
-        if k > 64 and abs(y0) + abs(y1) + abs(y2) < 1e-12:
-            h = h[: k + 1]
+        x2, x1, y2, y1 = x1, x0, y1, y0
+        h.append(y0)
+        if k > 64 and abs(y0) + abs(y2) < 1e-12:
             break
-    size = 1 << (len(x) + len(h) - 1).bit_length()
-    return np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(h, size), size)[: len(x)]
+    return np.array(h)
+
+
+def biquad(x: np.ndarray, b: tuple[float, ...], a: tuple[float, ...]) -> np.ndarray:
+    """A second-order section, by convolution with its impulse response."""
+    return convolved(x, impulse_response(b, a))
+
+
+def convolved(x: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The first len(x) values of the convolution, by overlapping blocks."""
+    size = 1 << max(15, (4 * len(h)).bit_length())
+    step, spectrum, out = size - len(h) + 1, np.fft.rfft(h, size), np.zeros(len(x) + size)
+    for i in range(0, len(x), step):
+        out[i : i + size] += np.fft.irfft(np.fft.rfft(x[i : i + step], size) * spectrum, size)
+    return out[: len(x)]
 
 
 def k_weighted(y: np.ndarray, sr: int = SAMPLE_RATE) -> np.ndarray:
@@ -269,7 +282,11 @@ def k_weighted(y: np.ndarray, sr: int = SAMPLE_RATE) -> np.ndarray:
 
 def _block_power(y: np.ndarray, seconds: float, hop: float, sr: int) -> np.ndarray:
     size, step = int(seconds * sr), int(hop * sr)
-    return (framed(y, size, step) ** 2).mean(axis=1) if len(y) >= size else np.zeros(0)
+    if len(y) < size:
+        return np.zeros(0)
+    run = np.append(0.0, np.cumsum(y**2))
+    at = np.arange(0, len(y) - size + 1, step)
+    return np.maximum(0.0, run[at + size] - run[at]) / size
 
 
 def _level(power: np.ndarray) -> np.ndarray:
@@ -280,13 +297,9 @@ def true_peak(y: np.ndarray) -> float:
     """Peak of the four-fold oversampled signal in decibels; the floor for silence."""
     if not len(y) or np.abs(y).max() <= 1e-6:
         return SILENCE_PEAK
-    t = np.arange(-40, 41) / 4
-    fir = np.sinc(t) * np.kaiser(81, 5.0)
-    up = np.zeros(4 * len(y))
-    up[::4] = y
-    size = 1 << (len(up) + len(fir)).bit_length()
-    over = np.fft.irfft(np.fft.rfft(up, size) * np.fft.rfft(fir, size), size)[40 : 40 + len(up)]
-    return float(20 * math.log10(max(np.abs(over).max(), np.abs(y).max())))
+    fir = np.sinc(np.arange(-40, 41) / 4) * np.kaiser(81, 5.0)
+    over = max(float(np.abs(np.convolve(y, fir[p::4], "same")).max()) for p in range(4))  # one phase at a time
+    return float(20 * math.log10(max(over, np.abs(y).max())))
 
 
 def loudness(y: np.ndarray, sr: int = SAMPLE_RATE) -> dict[str, float]:
@@ -345,16 +358,16 @@ def ward_chain(x: np.ndarray, k: int) -> np.ndarray:
     return np.array(starts)
 
 
-def sections(y: np.ndarray, sr: int = SAMPLE_RATE, k: int = MAX_SECTIONS, least: float = MIN_SECTION_SEC) -> list[tuple[float, float, float]]:
-    """(start, end, rms) of the sections of a signal; one for a short signal."""
+def sections(y: np.ndarray, features: np.ndarray | None = None, sr: int = SAMPLE_RATE, k: int = MAX_SECTIONS, least: float = MIN_SECTION_SEC) -> list[tuple[float, float, float]]:
+    """(start, end, rms) of the sections of a signal; one for a short signal. features: MFCC but the first, and
+    chroma, if they are known."""
     y = checked(y)
     duration = len(y) / sr
     whole = [(0.0, duration, float(np.sqrt((y**2).mean())))]
     if duration <= 2 * least:
         return whole
-    s = stft(y)
     factor = max(1, round(sr / HOP / STRUCTURE_FPS))
-    features = block_mean(np.vstack([mfcc(s)[1:], chroma_of(y)]), factor)
+    features = block_mean(np.vstack([mfcc(stft(y))[1:], chroma_of(y)]) if features is None else features, factor)
     borders = ward_chain(features, min(k, max(2, features.shape[1] // 4))) * factor * HOP / sr
     kept: list[float] = []
     for t in borders:

@@ -69,8 +69,8 @@ def labels(energy: list[float]) -> list[str]:
     return out
 
 
-def structure(y: np.ndarray) -> list[dict]:
-    found = K.sections(y)
+def structure(y: np.ndarray, features: np.ndarray | None = None) -> list[dict]:
+    found = K.sections(y, features)
     if len(found) == 1 and found[0][1] <= 4.0:
         return [{"start": 0.0, "end": found[0][1], "label": "intro", "energy": 1.0}]
     top = max(f[2] for f in found)
@@ -82,7 +82,7 @@ def describe(y: np.ndarray) -> dict:
     """All features of one signal: rhythm, key, loudness, sections and vectors."""
     s = K.stft(y)
     f, chroma, bands = K.mfcc(s)[1:], K.chroma_of(y), K.band_energies(s)
-    return rhythm(s) | key(chroma) | K.loudness(y) | {"sections": structure(y), "timbre": np.concatenate([f.mean(axis=1), f.std(axis=1)]), "chroma": chroma.mean(axis=1), "bands": bands.mean(axis=1)}
+    return rhythm(s) | key(chroma) | K.loudness(y) | {"sections": structure(y, np.vstack([f, chroma])), "timbre": np.concatenate([f.mean(axis=1), f.std(axis=1)]), "chroma": chroma.mean(axis=1), "bands": bands.mean(axis=1)}
 
 
 FEATURES = (
