@@ -34,10 +34,10 @@ BLOCKS = frozenset(
 RAW = "script|style|noscript|template|textarea|svg|math|iframe|object|canvas|audio|video|select|title"
 SIDE = frozenset("nav header footer aside form menu dialog button fieldset search label input".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-MAIN = frozenset(["article", "main"])
+MAIN = {"article": 2, "main": 1}
 #: Words of class, id and role that mark what is no main text.
 SIDE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adbox|adslot|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice\w*|alert|"
+    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adbox|adslot|adsby\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice\w*|alert|"
     r"nav\w*|menu\w*|breadcrumbs?|sidebar|side|aside|rail|widget\w*|footer|header|masthead|topbar|toolbar|"
     r"comments?|commentlist|disqus|respond|replies|reactions|discussion|share|sharing|social|related|recommend\w*|"
     r"newsletter|subscri\w+|signup|login|popup|modal|overlay|pager|pagination|skip|search|form|contentinfo|complementary|navigation)(?=$|[\s_-])"
@@ -58,18 +58,19 @@ SHORT, LONG, STOP_LOW, STOP_HIGH, LINKS = 10, 25, 0.08, 0.2, 0.4
 
 @dataclass
 class Block:
-    """A run of text between block borders. side, main: whether it lies in an element of that kind."""
+    """A run of text between block borders. side: whether it lies in an element of no main text; main: 2 in an article,
+    1 in another element of main text, else 0."""
 
     text: str
     link_chars: int
     side: bool
-    main: bool
+    main: int
     heading: bool
 
 
-def _names(tag: str, attributes: str) -> tuple[bool, bool, bool]:
-    """Whether an element is marked as no main text, as main text, as hidden."""
-    side, main, hidden = tag in SIDE, tag in MAIN, False
+def _names(tag: str, attributes: str) -> tuple[bool, int, bool]:
+    """Whether an element is marked as no main text, how it is marked as main text, whether it is hidden."""
+    side, main, hidden = tag in SIDE, MAIN.get(tag, 0), False
     for name, *values in ATTRIBUTE.findall(attributes):
         value, name = "".join(values), name.lower()
         if name == "style":
@@ -82,15 +83,15 @@ def _names(tag: str, attributes: str) -> tuple[bool, bool, bool]:
             low = value.lower()
             hit = bool(SIDE_NAMES.search(low))
             side |= hit
-            main |= not hit and bool(MAIN_NAMES.search(low)) and tag in ("div", "section", "td")
-    return side, main and not side, hidden
+            main = max(main, int(not hit and bool(MAIN_NAMES.search(low)) and tag in ("div", "section", "td")))
+    return side, 0 if side else main, hidden
 
 
 def blocks(page: str) -> list[Block]:
     """The page's blocks, in order. An end tag closes what is open inside its element; one that opens nothing is
     dropped, and so is a tag that the page's end cuts off."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # of elements that can hold blocks: tag, side, main
+    stack: list[tuple[str, bool, int]] = []  # of elements that can hold blocks: tag, side, main
     parts: list[str] = []
     links, anchor, heading, breaks = 0, False, False, 0
 
@@ -98,7 +99,7 @@ def blocks(page: str) -> list[Block]:
         nonlocal links
         text = " ".join("".join(parts).split())
         if text:
-            out.append(Block(text, min(links, len(text)), bool(stack) and stack[-1][1], bool(stack) and stack[-1][2], heading))
+            out.append(Block(text, min(links, len(text)), bool(stack) and stack[-1][1], stack[-1][2] if stack else 0, heading))
         parts.clear()
         links = 0
 
@@ -127,7 +128,7 @@ def blocks(page: str) -> list[Block]:
             if breaks == 2:
                 close()
         elif tag in BLOCKS or tag in SIDE and tag not in VOID or tag in ("span", "center") and not ending and ATTRIBUTE.search(m[4]):
-            marks = (False, False, False) if ending or tag == "span" and not m[4] else _names(tag, m[4])
+            marks = (False, 0, False) if ending or tag == "span" and not m[4] else _names(tag, m[4])
             if tag == "span" and not any(marks):
                 continue
             close()
@@ -147,8 +148,8 @@ def blocks(page: str) -> list[Block]:
                         pass
                 anchor = False
             elif tag not in VOID:
-                up = stack[-1] if stack else ("", False, False)
-                stack.append((tag, up[1] or marks[0] or marks[2], up[2] or marks[1]))
+                up = stack[-1] if stack else ("", False, 0)
+                stack.append((tag, up[1] or marks[0] or marks[2], max(up[2], marks[1])))
         elif tag == "span" and ending and stack and stack[-1][0] == "span":
             close()
             stack.pop()
@@ -161,18 +162,18 @@ def classify(found: list[Block]) -> list[bool]:
     """Whether each block is main text.
 
     First pass: a block in an element that is marked as no main text, or mostly of links, is none. Where the page has
-    article or main elements, what is outside them is none, and what is inside is main text. Elsewhere long blocks
+    articles, or else other elements of main text, what is outside them is none, and what is inside is main text. Elsewhere long blocks
     with enough stop words are main text, blocks with few are none, and short or middling ones stay open.
     Second pass: an open block takes the label of its decided neighbours; if the nearest before and after differ, the
     nearer one's, and at the same distance that after it for a heading, else none.
     """
-    marked = any(b.main and not b.side for b in found)
+    marked = max((b.main for b in found if not b.side), default=0)
     label: list[bool | None] = []
     for b in found:
         words = b.text.split()
         density = b.link_chars / max(1, sum(map(len, words)))
         stop = sum(EDGE.sub("", w.lower()) in STOP_WORDS for w in words) / max(1, len(words))
-        if b.side or marked and not b.main:
+        if b.side or b.main < marked:
             label.append(False)
         elif marked:
             label.append(density <= LINKS or len(words) > LONG)

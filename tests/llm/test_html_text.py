@@ -20,6 +20,8 @@ CASES = {
     "empty": ("", ""),
     "none": (None, ""),
     "only menu": ("<nav>The menu</nav>", ""),
+    "article in main": (f"<main><h2>Section</h2><div class='teaser-list'><p>More</p></div><article><p>{PROSE}</p></article><p>Sign up for our mail.</p></main>", PROSE),
+    "named parts": (f"<div id='main-content'><h1>Head</h1><p>{PROSE}</p><ins class='adsbygoogle'></ins></div><div id='disqus_thread'><p>{PROSE}</p></div><div class='reader-comments'>{PROSE}</div>", "Head\n" + PROSE),
     "unclosed ad": (f"<article><div class=ad>Buy<p>it</div><p>{PROSE}</p></article>", PROSE),
     "uppercase": ("<ARTICLE><P>One</P><SCRIPT>x</SCRIPT></ARTICLE>", "One"),
 }
