@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sonolith.llm.textops import parts
 from sonolith.session import table
 
 #: Features: hashed 1- to 3-grams of lower-case letters, words marked by a space.
@@ -144,7 +145,7 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageModel | No
 
     def frequencies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(DIM, np.int64), 0
-        for batch in batches:
+        for batch in parts(batches):
             for text in batch.column(0).to_pylist():
                 index, _ = featurize(text)
                 df[index] += 1
@@ -164,7 +165,7 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageModel | No
     chosen = known.where(unit < share).select("doc_id", F.xxhash64("doc_id", "text").alias("order"), "text", "lang")
 
     def sparse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             pairs = [featurize(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([i.astype(np.uint16).tobytes() for i, _ in pairs]), pa.array([c.astype(np.uint32).tobytes() for _, c in pairs]), batch.column(2)], names=["order", "i", "c", "lang"])
 
@@ -185,7 +186,7 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     featurize = Featurizer()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             names, scores = [], []
             for text in batch.column(batch.schema.get_field_index("text")).to_pylist():
                 index, counts = featurize(text or "")

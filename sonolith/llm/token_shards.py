@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonolith.llm.textops import U64, mix64
+from sonolith.llm.textops import U64, mix64, parts
 from sonolith.session import discard, fresh_path, stash, table
 
 #: Where the vocabulary lies, and the id that ends a document and fills the last sequence.
@@ -27,7 +27,7 @@ SEQUENCE_LENGTH = 2048
 SEQUENCES_PER_SHARD = 2048
 ROUNDS = 6
 #: Bytes of tokens that a task holds before it sends them on.
-HOLD_BYTES = 24 << 20
+HOLD_BYTES = 12 << 20
 # Fixed value: the pattern that splits text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -123,7 +123,7 @@ def tokenized(docs: DataFrame, tokenizer: Tokenizer) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pid, at, own = TaskContext.get().partitionId(), 0, shipped.value
-        for batch in batches:
+        for batch in parts(batches):
             ids = [own.encode(t) for t in batch.column(1).to_pylist()]
             places = at + np.append(0, np.cumsum([len(x) for x in ids], dtype=np.int64))
             at = int(places[-1])
