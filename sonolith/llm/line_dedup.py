@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +17,10 @@ from sonolith.session import stash, table
 
 SIMILARITY = 0.8
 #: Tokens are ordered by the counts of 2**BUCKET_BITS hash buckets: any order gives the same links, a rare-first one
-#: gives few candidates.
-BUCKET_BITS = 18
+#: gives few candidates. A bucket's count bounds the lines of its tokens: at 1 a token is not shared and needs no rows,
+#: above TILE its group is split.
+BUCKET_BITS = 22
+SEGMENTS = 64
 #: Members of a token's group that are compared in one task.
 TILE = 2048
 #: Bits of the map of lines whose tokens are fetched; where it is full, more lines are read than needed, none is lost.
@@ -30,39 +34,76 @@ class Lines:
         self.hash = SpanHasher()
         self.space = white_space()
 
-    def __call__(self, data: np.ndarray, offsets: np.ndarray, rank: np.ndarray | None) -> tuple[np.ndarray, ...]:
-        """row and number of each line; and by line with words: its index, where its tokens start and end, and the
-        tokens: 64-bit ids, sorted, each once. A token's id is its bucket's rank and its hash, so sorted is rare
-        first. Lines end at a line feed; a text's last line is a line, also if it is empty."""
+    def __call__(self, data: np.ndarray, offsets: np.ndarray, order: Order | None) -> tuple[np.ndarray, ...]:
+        """row and number of each line; and by line with words: its index, where its tokens start and end, the tokens'
+        ids, sorted, each once, and their hashes. Without an order the hash is the id. Lines end at a line feed; a
+        text's last line is a line, also if it is empty."""
         breaks = np.flatnonzero(data == 10)
         full = offsets[:-1][np.diff(offsets) > 0]
         begins = np.concatenate([breaks + 1, full])  # a text's empty last line begins where the next text does
-        order = np.argsort(begins, kind="stable")
-        begins, owner = begins[order], np.concatenate([breaks, full])[order]
+        place = np.argsort(begins, kind="stable")
+        begins, owner = begins[place], np.concatenate([breaks, full])[place]
         row = np.searchsorted(offsets, owner, side="right") - 1
-        first = np.searchsorted(row, row, side="left")
-        number = np.arange(len(row)) - first
+        number = np.arange(len(row)) - np.searchsorted(row, row, side="left")
         low = lower_ascii(data)
         starts, ends = word_spans(low, offsets, self.space)
         h = self.hash(low, starts, ends)
-        bucket = (h >> U64(64 - BUCKET_BITS)).astype(np.int64)
-        token = h if rank is None else (rank[bucket].astype(U64) << U64(64 - BUCKET_BITS)) | (h & U64((1 << (64 - BUCKET_BITS)) - 1))
+        token = h if order is None else order.ids(h)
         line = np.searchsorted(begins, starts, side="right") - 1
-        order = np.lexsort((token, line))
-        line, token = line[order], token[order]
+        place = np.lexsort((token, line))
+        line, token, h = line[place], token[place], h[place]
         keep = np.ones(len(line), bool)
         keep[1:] = (line[1:] != line[:-1]) | (token[1:] != token[:-1])
-        line, token = line[keep], token[keep]
+        line, token, h = line[keep], token[keep], h[keep]
         cut = np.flatnonzero(np.append(True, line[1:] != line[:-1])) if len(line) else np.zeros(0, np.int64)
-        return row, number, line[cut], cut, np.append(cut[1:], len(line)) if len(cut) else cut, token
+        return row, number, line[cut], cut, np.append(cut[1:], len(line)) if len(cut) else cut, token, h
 
 
-def plain(token: np.ndarray, order: np.ndarray | None) -> np.ndarray:
-    """Hashes of tokens again, from ids by rank (order: bucket of each rank)."""
-    if order is None:
-        return token
-    low = U64((1 << (64 - BUCKET_BITS)) - 1)
-    return (order[(token >> U64(64 - BUCKET_BITS)).astype(np.int64)].astype(U64) << U64(64 - BUCKET_BITS)) | (token & low)
+class Order:
+    """The global order of tokens, by the counts of their buckets."""
+
+    def __init__(self, counts: np.ndarray):
+        rank = np.empty(len(counts), np.int32)
+        rank[np.argsort(counts, kind="stable")] = np.arange(len(counts), dtype=np.int32)
+        self.rank, self.counts = rank, counts
+
+    def ids(self, h: np.ndarray) -> np.ndarray:
+        """The bucket's rank, and the rest of the hash."""
+        return (self.rank[bucket(h)].astype(U64) << U64(64 - BUCKET_BITS)) | (h & U64((1 << (64 - BUCKET_BITS)) - 1))
+
+
+def bucket(h: np.ndarray) -> np.ndarray:
+    return (h >> U64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+#: Sets of more tokens than this have the other signature.
+MANY = 60
+
+
+def signatures(hashes: np.ndarray, cut: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """64 bits of each set: the parities of its tokens in 64 classes or, for many tokens, their counts in 16 classes
+    modulo 16. Either changes by one step for each token that is added or taken away."""
+    if not len(cut):
+        return np.zeros(0, U64)
+    parity = np.bitwise_xor.reduceat(U64(1) << (hashes & U64(63)), cut)
+    counts = np.zeros(len(cut), U64)
+    kind = (hashes >> U64(6)) & U64(15)
+    for c in range(16):
+        counts |= (np.add.reduceat(kind == c, cut, dtype=np.int64).astype(U64) & U64(15)) << U64(4 * c)
+    return np.where(n > MANY, counts, parity)
+
+
+def least_difference(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Lower bound on the tokens that only one of two sets of n and m has, from their signatures."""
+    out = np.abs(n - m)
+    few, many = (n <= MANY) & (m <= MANY), (n > MANY) & (m > MANY)
+    out[few] = np.maximum(out[few], np.bitwise_count(a[few] ^ b[few]))
+    x, y, total = a[many], b[many], np.zeros(int(many.sum()), np.int64)
+    for c in range(16):
+        d = ((x >> U64(4 * c)) - (y >> U64(4 * c))) & U64(15)
+        total += np.minimum(d, U64(16) - d).astype(np.int64)
+    out[many] = np.maximum(out[many], total)
+    return out
 
 
 def set_hashes(hashes: np.ndarray, cut: np.ndarray) -> np.ndarray:
@@ -80,34 +121,58 @@ def overlap_needed(n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarra
 
 
 def _lines_and_counts(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, line, h, n) of the lines - h null for a line without words, line -1 for a text without lines -
-    and rows (null, bucket, null, count) of the token counts."""
+    """Rows (doc_id, line, h, n) of the lines - h null for a line without words, line -1 for a text without lines -,
+    and rows with `counts`: the lines of each token bucket in a scan partition, in segments (line)."""
     lines = Lines()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << BUCKET_BITS, np.int64)
+        counts = np.zeros(1 << BUCKET_BITS, np.uint32)
+
+        def rows(ids: pa.Array, line: np.ndarray, h: pa.Array, n: np.ndarray, counted: pa.Array | None = None) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([ids, pa.array(line.astype(np.int64)), h, pa.array(n.astype(np.int64)), pa.nulls(len(line), pa.binary()) if counted is None else counted], names=["doc_id", "line", "h", "n", "counts"])
+
         for batch in batches:
             ids = batch.column(0).cast(pa.int64())
             data, offsets = arrow_bytes(batch.column(1))
             none = np.flatnonzero(np.diff(offsets) == 0)
             if len(none):
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(none), bool)), ids.take(pa.array(none)), pa.array(np.full(len(none), -1)), pa.nulls(len(none), pa.int64()), pa.array(np.zeros(len(none), np.int64))], names=["counted", "doc_id", "line", "h", "n"])
+                yield rows(ids.take(pa.array(none)), np.full(len(none), -1), pa.nulls(len(none), pa.int64()), np.zeros(len(none)))
             for i, j in slices(offsets):
-                row, number, own, cut, end, token = lines(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], None)
-                np.add(counts, np.bincount((token >> U64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(counts)), out=counts)
+                row, number, own, cut, end, token, _ = lines(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], None)
                 h, n = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
                 h[own], n[own] = set_hashes(token, cut).view(np.int64), end - cut
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(row), bool)), ids.take(pa.array(i + row)), pa.array(number), pa.array(h, mask=n == 0), pa.array(n)], names=["counted", "doc_id", "line", "h", "n"])
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(some), bool)), pa.nulls(len(some), pa.int64()), pa.array(some), pa.nulls(len(some), pa.int64()), pa.array(counts[some])], names=["counted", "doc_id", "line", "h", "n"])
+                _, first = np.unique(h[own], return_index=True)  # equal lines of a slice count once
+                size = (end - cut)[first]
+                place, times = np.unique(bucket(token[np.repeat(cut[first] - np.cumsum(size) + size, size) + np.arange(size.sum())]), return_counts=True)
+                counts[place] += times.astype(np.uint32)
+                yield rows(ids.take(pa.array(i + row)), number, pa.array(h, mask=n == 0), n)
+        packer = zstandard.ZstdCompressor(level=1)
+        packed = [packer.compress(part.tobytes()) for part in counts.reshape(SEGMENTS, -1)]
+        yield rows(pa.nulls(SEGMENTS, pa.int64()), np.arange(SEGMENTS), pa.nulls(SEGMENTS, pa.int64()), np.zeros(SEGMENTS), pa.array(packed, pa.binary()))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "counted boolean, doc_id long, line long, h long, n long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, line long, h long, n long, counts binary")
 
 
-def _prefixes(docs: DataFrame, rank: np.ndarray, order: np.ndarray, counts: np.ndarray, similarity: float, tile: int) -> DataFrame:
-    """key (a token of the line's prefix), node (the line's hash), n, pos, bits, common: one row a prefix token of
-    each line, once a slice. bits: parity of the tokens by 64 classes; common: the token's bucket is large enough for
-    a group that has to be split. Lines of up to 3 tokens are similar to none but their equals."""
+def _token_counts(parts: DataFrame) -> np.ndarray:
+    """The counts of all buckets, from the partitions' (line: segment, counts)."""
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint32).astype(np.int64) for raw in pdf["counts"])
+        return pd.DataFrame({"line": pdf["line"].iloc[:1], "counts": [np.minimum(total, (1 << 32) - 1).astype(np.uint32).tobytes()]})
+
+    out = np.zeros((SEGMENTS, (1 << BUCKET_BITS) // SEGMENTS), np.uint32)
+    for r in parts.groupBy("line").applyInPandas(merge, "line long, counts binary").toLocalIterator():
+        out[r["line"]] = np.frombuffer(r["counts"], np.uint32)
+    return out.reshape(-1)
+
+
+def _prefixes(docs: DataFrame, order: Order, similarity: float, tile: int) -> DataFrame:
+    """key (a shared token of the line's prefix), tile, own, split, node (the line's hash), n, pos, bits (its signature):
+    one row a token, line and tile, once a slice.
+
+    A token of at most `tile` lines is one tile. The lines of a larger one are cut by hash into `split` parts (own: the
+    line's), and each pair of parts is a tile, so a line goes to `split` tiles. Lines of up to 3 tokens are similar to
+    none but their equals."""
     lines = Lines()
     reach = 3 if similarity > 0.75 else 0
 
@@ -115,46 +180,45 @@ def _prefixes(docs: DataFrame, rank: np.ndarray, order: np.ndarray, counts: np.n
         for batch in batches:
             data, offsets = arrow_bytes(batch.column(0))
             for i, j in slices(offsets):
-                _, _, own, cut, end, token = lines(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], rank)
+                _, _, own, cut, end, token, hashes = lines(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], order)
                 if not len(own):
                     continue
-                hashes = plain(token, order)
                 h = set_hashes(hashes, cut)
-                bits = np.bitwise_xor.reduceat(U64(1) << (hashes & U64(63)), cut)
+                bits = signatures(hashes, cut, end - cut)
                 _, once = np.unique(h, return_index=True)
                 once = once[(end - cut)[once] > reach]
                 n = (end - cut)[once]
                 size = n - needed(n, similarity) + 1
                 line = np.repeat(once, size)
-                pos = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                at = cut[line] + pos
-                key = token[at]
-                common = counts[order[(key >> U64(64 - BUCKET_BITS)).astype(np.int64)]] > tile
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(h[line].view(np.int64)), pa.array(np.repeat(n, size).astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(bits[line].view(np.int64)), pa.array(common)], names=["key", "node", "n", "pos", "bits", "common"])
-
-    return docs.select("text").mapInArrow(run, "key long, node long, n int, pos int, bits long, common boolean")
-
-
-def _dealt(rows: DataFrame, tile: int, by: list[str]) -> DataFrame:
-    """rows sorted by key and tile; only common tokens are counted, and groups of over `tile` of them are cut by hash
-    of node into parts; each pair of parts is a tile."""
-    large = rows.where("common")
-    hot = large.groupBy("key").count().where(F.col("count") > tile).select("key", F.ceil(F.col("count") / F.lit(tile)).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.least(j, part) * F.col("parts") + F.greatest(j, part))
-    split = large.join(hot, "key", "left").withColumn("tile", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(others))).drop("parts")
-    return rows.where("NOT common").withColumn("tile", F.lit(0)).unionByName(split).repartition("key", "tile").sortWithinPartitions("key", "tile", *by)
-
-
-def _live(rows: DataFrame, similarity: float, tile: int) -> DataFrame:
-    """key, node, common of the members that some other of their group passes the filters with: length, position, and
-    parity (sets of n and m with d parities that differ have an overlap of at most (n + m - d) / 2)."""
+                pos, n = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size), np.repeat(n, size)
+                count = order.counts[bucket(hashes[cut[line] + pos])].astype(np.int64)
+                keep = count > 1
+                line, pos, n = line[keep], pos[keep], n[keep]
+                split = -(-count[keep] // tile)
+                part = (mix64(h[line]) % split.astype(U64)).astype(np.int64)
+                other = np.arange(split.sum()) - np.repeat(np.cumsum(split) - split, split)
+                line, pos, n, part, split = (np.repeat(x, split) for x in (line, pos, n, part, split))
+                at = np.minimum(part, other) * split + np.maximum(part, other)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(token[cut[line] + pos].view(np.int64)), pa.array(at), pa.array(part.astype(np.int32)), pa.array(split.astype(np.int32)), pa.array(h[line].view(np.int64)), pa.array(n.astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(bits[line].view(np.int64))],
+                    names=["key", "tile", "own", "split", "node", "n", "pos", "bits"],
+                )
+
+    return docs.select("text").mapInArrow(run, "key long, tile long, own int, split int, node long, n int, pos int, bits long")
+
+
+def _live(rows: DataFrame, similarity: float) -> DataFrame:
+    """key, tile, own, split, node of the members that some other of their tile passes the filters with: length,
+    position, and signature (sets of n and m that differ in d tokens or more have an overlap of at most
+    (n + m - d) / 2)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in runs(batches, ["key", "tile", "node", "n", "pos", "bits", "common"]):
-            key, at, node, n, pos, bits = (np.asarray(block.column(c), dtype=np.int64) for c in ("key", "tile", "node", "n", "pos", "bits"))
+        for block in runs(batches, ["key", "tile", "own", "split", "node", "n", "pos", "bits"]):
+            key, at, own, split, node, n, pos, bits = (np.asarray(block.column(c), dtype=np.int64) for c in ("key", "tile", "own", "split", "node", "n", "pos", "bits"))
+            place = np.lexsort((node, at, key))
+            key, at, own, split, node, n, pos, bits = (x[place] for x in (key, at, own, split, node, n, pos, bits))
             first = np.append(True, (key[1:] != key[:-1]) | (at[1:] != at[:-1]) | (node[1:] != node[:-1]))  # other slices' rows of a line
-            key, at, node, n, pos, bits = (x[first] for x in (key, at, node, n, pos, bits))
+            key, at, own, split, node, n, pos, bits = (x[first] for x in (key, at, own, split, node, n, pos, bits))
             keep, bits, i, d = np.zeros(len(key), bool), bits.view(U64), np.arange(len(key)), 0
             while len(i):
                 d += 1
@@ -162,18 +226,18 @@ def _live(rows: DataFrame, similarity: float, tile: int) -> DataFrame:
                 i = i[(key[i] == key[i + d]) & (at[i] == at[i + d])]
                 j = i + d
                 low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+                # at its first common token a pair shares nothing before it, and it is counted only there
                 least = overlap_needed(low, high, similarity)
-                room = np.minimum(1 + np.minimum(n[i] - pos[i], n[j] - pos[j]) - 1, (low + high - np.bitwise_count(bits[i] ^ bits[j])) // 2)
-                # tokens before the shared one may be shared too, up to the lesser position
-                good = (low >= needed(high, similarity)) & (room + np.minimum(pos[i], pos[j]) >= least) & ((low + high - np.bitwise_count(bits[i] ^ bits[j])) // 2 >= least)
-                keep[i[good]] = keep[j[good]] = True
-            common = np.asarray(block.column("common"))[first]
-            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(node[keep]), pa.array(common[keep])], names=["key", "node", "common"])
+                some = np.flatnonzero((low >= needed(high, similarity)) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= least))
+                p, q = i[some], j[some]
+                good = (n[p] + n[q] - least_difference(bits[p], bits[q], n[p], n[q])) // 2 >= least[some]
+                keep[p[good]] = keep[q[good]] = True
+            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(at[keep]), pa.array(own[keep].astype(np.int32)), pa.array(split[keep].astype(np.int32)), pa.array(node[keep])], names=["key", "tile", "own", "split", "node"])
 
-    return _dealt(rows, tile, ["node"]).mapInArrow(run, "key long, node long, common boolean")
+    return rows.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(run, "key long, tile long, own int, split int, node long")
 
 
-def _token_sets(docs: DataFrame, rank: np.ndarray, order: np.ndarray, wanted: np.ndarray) -> DataFrame:
+def _token_sets(docs: DataFrame, order: Order, wanted: np.ndarray) -> DataFrame:
     """node, tokens of the lines whose hash is marked in the map `wanted`, once a slice."""
     lines = Lines()
 
@@ -181,8 +245,8 @@ def _token_sets(docs: DataFrame, rank: np.ndarray, order: np.ndarray, wanted: np
         for batch in batches:
             data, offsets = arrow_bytes(batch.column(0))
             for i, j in slices(offsets):
-                _, _, own, cut, end, token = lines(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], rank)
-                h = set_hashes(plain(token, order), cut)
+                _, _, own, cut, end, token, hashes = lines(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], order)
+                h = set_hashes(hashes, cut)
                 _, once = np.unique(h, return_index=True)
                 once = once[wanted[(h[once] >> U64(64 - MAP_BITS)).astype(np.int64)]]
                 yield pa.RecordBatch.from_arrays([pa.array(h[once].view(np.int64)), pa.array([token[cut[k] : end[k]].tobytes() for k in once], pa.binary())], names=["node", "tokens"])
@@ -190,7 +254,7 @@ def _token_sets(docs: DataFrame, rank: np.ndarray, order: np.ndarray, wanted: np
     return docs.select("text").mapInArrow(run, "node long, tokens binary").groupBy("node").agg(F.first("tokens").alias("tokens"))
 
 
-def _verified(rows: DataFrame, similarity: float, tile: int) -> DataFrame:
+def _verified(rows: DataFrame, similarity: float) -> DataFrame:
     """node, links, later: for each line and group its links to other lines, and whether one of them comes first. A
     pair is counted in the group of its first common token only."""
 
@@ -205,9 +269,9 @@ def _verified(rows: DataFrame, similarity: float, tile: int) -> DataFrame:
                 here = int(np.searchsorted(names, np.int64(key[a]).astype(U64)))
                 owner = np.repeat(np.arange(b - a), sizes)
                 shared, before = np.zeros((b - a, b - a), np.float32), np.zeros((b - a, b - a), np.float32)
-                for c in range(0, len(names), 4096):  # a strip of the tokens at a time
-                    on = (column >= c) & (column < c + 4096)
-                    m = np.zeros((b - a, min(4096, len(names) - c)), np.float32)
+                for c in range(0, len(names), 2048):  # a strip of the tokens at a time
+                    on = (column >= c) & (column < c + 2048)
+                    m = np.zeros((b - a, min(2048, len(names) - c)), np.float32)
                     m[owner[on], column[on] - c] = 1
                     shared += m @ m.T
                     if c < here:
@@ -215,7 +279,7 @@ def _verified(rows: DataFrame, similarity: float, tile: int) -> DataFrame:
                         before += m @ m.T
                 total = sizes[:, None] + sizes[None, :]
                 link = (shared >= overlap_needed(sizes[:, None], sizes[None, :], similarity)) & (shared < total - shared) & (before == 0)
-                if split[a]:  # two parts of a large group: within a part only where it meets itself
+                if split[a] > 1:  # two parts of a large group: within a part only where it meets itself
                     part = own[a:b]
                     link &= (part[:, None] != part[None, :]) | bool((part == part[0]).all() and at[a] == part[0] * split[a] + part[0])
                 links[a:b] = link.sum(axis=1)
@@ -224,14 +288,7 @@ def _verified(rows: DataFrame, similarity: float, tile: int) -> DataFrame:
             some = links > 0
             yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(links[some]), pa.array(later[some])], names=["node", "links", "later"])
 
-    large = rows.where("common")
-    hot = large.groupBy("key").count().where(F.col("count") > tile).select("key", F.ceil(F.col("count") / F.lit(tile)).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.least(j, part) * F.col("parts") + F.greatest(j, part))
-    cut = large.join(hot, "key", "left").withColumns({"own": F.coalesce(part, F.lit(0)), "split": F.coalesce("parts", F.lit(0))})
-    cut = cut.withColumn("tile", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(others))).drop("parts")
-    small = rows.where("NOT common").withColumns({"own": F.lit(0), "split": F.lit(0), "tile": F.lit(0)})
-    return small.unionByName(cut).repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(run, "node long, links long, later boolean")
+    return rows.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(run, "node long, links long, later boolean")
 
 
 def line_decisions(docs: DataFrame, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
@@ -244,26 +301,21 @@ def line_decisions(docs: DataFrame, similarity: float = SIMILARITY, tile: int =
     words stay. Repeated rows are the same lines. Other columns are not read; an empty table gives no rows.
 
     Classes are joined on the tokens of their prefixes, rare tokens first; a group of a token is compared in tiles of
-    bounded size, with length, position and parity filters; for members that pass, the token sets are fetched and
+    bounded size, with length, position and signature filters; for members that pass, the token sets are fetched and
     links verified. Each step emits at most one row a member and group.
     """
     both = stash(_lines_and_counts(docs), "lines")
-    counts = np.zeros(1 << BUCKET_BITS, np.int64)
-    for bucket, n in both.where("counted").groupBy("line").agg(F.sum("n")).collect():
-        counts[bucket] = n
-    order = np.argsort(counts, kind="stable")
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
+    order = Order(_token_counts(both.where("counts IS NOT NULL").select("line", "counts")))
     last = F.lit((1 << 63) - 1)
-    lines = both.where("NOT counted").select("doc_id", "line", "h", "n")
+    lines = both.where("counts IS NULL").select("doc_id", "line", "h", "n")
     first = lines.where("h IS NOT NULL").groupBy("h").agg(F.min(F.struct(F.coalesce("doc_id", last).alias("doc"), "line")).alias("first"))
-    live = stash(_live(_prefixes(docs, rank, order, counts, similarity, tile), similarity, tile).distinct(), "live")
+    live = stash(_live(_prefixes(docs, order, similarity, tile), similarity), "live")
     wanted = np.zeros(1 << MAP_BITS, bool)
     marks = live.select(F.shiftrightunsigned("node", 64 - MAP_BITS).alias("k")).distinct().toArrow()
     wanted[marks.column(0).to_numpy()] = True
-    sets = _token_sets(docs, rank, order, wanted)
-    members = live.join(sets, "node").join(first, F.col("node") == F.col("h")).select("key", "node", "common", "first.doc", F.col("first.line").alias("line"), "tokens")
-    found = _verified(members, similarity, tile).groupBy("node").agg(F.sum("links").alias("links"), F.max("later").alias("later"))
+    sets = _token_sets(docs, order, wanted)
+    members = live.join(sets, "node").join(first, F.col("node") == F.col("h")).select("key", "tile", "own", "split", "node", "first.doc", F.col("first.line").alias("line"), "tokens")
+    found = _verified(members, similarity).groupBy("node").agg(F.sum("links").alias("links"), F.max("later").alias("later"))
     classes = first.join(found.withColumnRenamed("node", "h"), "h", "left")
     placed = lines.join(classes, "h", "left")
     again = (F.coalesce("doc_id", last) != F.col("first.doc")) | (F.col("line") != F.col("first.line"))

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from sonolith.llm.line_dedup import Lines, by_document, line_decisions, without_repeats
+from sonolith.llm.line_dedup import MANY, Lines, by_document, least_difference, line_decisions, signatures, without_repeats
 
 
 def tokens(line):
@@ -35,7 +35,7 @@ def brute(rows, t=0.8):
 def make(seed):
     rng = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(200)] + ["the", "of", "É", "a"] * 20
-    lines = [" ".join(rng.choices(vocabulary, k=rng.randint(0, 30))) for _ in range(120)]
+    lines = [" ".join(rng.choices(vocabulary, k=rng.randint(0, rng.choice([30, 30, 200])))) for _ in range(120)]
     rows = []
     for d in range(90):
         own = []
@@ -99,7 +99,23 @@ def test_empty(spark):
 def test_lines_of_rows():
     texts = ["a b\n\nb a a", "", "x\n", "y"]
     raw = [t.encode() for t in texts]
-    row, number, own, cut, end, token = Lines()(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), None)
+    row, number, own, cut, end, token, _ = Lines()(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), None)
     assert list(zip(row.tolist(), number.tolist(), strict=True)) == [(0, 0), (0, 1), (0, 2), (2, 0), (2, 1), (3, 0)]
     assert own.tolist() == [0, 2, 3, 5] and (end - cut).tolist() == [2, 2, 1, 1]
     assert token[cut[0] : end[0]].tolist() == token[cut[1] : end[1]].tolist()
+
+
+def test_signatures_bound_the_difference():
+    rng = np.random.default_rng(4)
+    pruned = 0
+    for _ in range(600):
+        n = int(rng.integers(1, 250))
+        a = rng.integers(0, 2**63, n).astype(np.uint64)
+        keep = int(n * rng.random())
+        b = np.concatenate([a[:keep], rng.integers(0, 2**63, int(rng.integers(1, 250))).astype(np.uint64)])
+        size = np.array([len(a), len(b)])
+        s = signatures(np.concatenate([a, b]), np.array([0, len(a)]), size)
+        low = int(least_difference(s[:1], s[1:], size[:1], size[1:])[0])
+        assert low <= len(a) + len(b) - 2 * keep
+        pruned += low > abs(len(a) - len(b))
+    assert pruned > 100 and MANY == 60
