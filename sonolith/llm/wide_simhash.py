@@ -1,69 +1,132 @@
-"""SimHash near-duplicates at a similarity: operator 4's blocks over wide fingerprints.
+"""Near-duplicates at a Jaccard similarity of word shingles: sketches find candidates, exact counts decide.
 
-At a Jaccard similarity of 0.8 about 15 % of the bits of two fingerprints differ. For 64 bits that is ten bits, too
-many for pigeonhole blocks that are still selective; so documents get BLOCKS * block_bits bits, one table a block, and
-the Hamming distance of all of them is precise enough to stand for the similarity (a deviation of 0.012 at 0.8).
+A document's sketch is its LOWEST smallest shingle hashes and one bit for each of BINS bins of its hashes. Two documents
+are candidates if they share one of the smallest hashes, their sizes allow the similarity, and their bits differ in few
+bins. Candidates are linked only if the Jaccard index of their whole shingle sets reaches the similarity.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from math import acos, pi, sqrt
+from math import comb
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sonolith.llm.components import components
-from sonolith.llm.simhash import SEED, TILE
-from sonolith.llm.textops import U64, arrow_bytes, lower_ascii, mix64
+from sonolith.llm.simhash import TILE
+from sonolith.llm.textops import U64, SpanHasher, arrow_bytes, lower_ascii, mix64, slices, white_space, word_spans
 from sonolith.session import stash
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: A pair of similarity 0.8 shares a given block of 18 bits with probability 0.05, and one of 64 with 0.965; at 0.85
-#: it is 0.995, at 0.9 it is 0.9999. Up to some 10**8 documents 18 bits keep groups small; use more beyond.
-BLOCKS, BLOCK_BITS = 64, 18
-CHUNK = 255 * 16
-
-
-def wide_fingerprint(text: bytes, shingle: int, words64: int, odd: np.ndarray) -> bytes:
-    """A bit is set if it is set in over half of the shingles' hashes; no words: all zero."""
-    words = text.split()
-    if not words:
-        return bytes(8 * words64)
-    line = b" ".join(words)
-    ends = np.append(np.flatnonzero(np.frombuffer(line, np.uint8) == 32), len(line))
-    starts = np.append(0, ends[:-1] + 1)
-    if len(words) > shingle:
-        starts, ends = starts[: len(words) - shingle + 1], ends[shingle - 1 :]
-    else:
-        starts, ends = starts[:1], ends[-1:]
-    digest, n = xxhash.xxh64_intdigest, len(starts)
-    hashes = np.unique(np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), U64, n))
-    counts = np.zeros(64 * words64, np.int64)
-    for i in range(0, len(hashes), CHUNK):
-        part = mix64(hashes[i : i + CHUNK, None] * odd[None, :])
-        bits = np.unpackbits(part.view(np.uint8), axis=1, bitorder="little")
-        for k in range(0, len(bits), 255):  # sums of up to 255 ones fit a byte
-            counts += bits[k : k + 255].sum(axis=0, dtype=np.uint8)
-    return np.packbits(counts * 2 > len(hashes), bitorder="little").tobytes()
-
-
-def wide_fingerprints(docs: DataFrame, shingle: int, words64: int) -> DataFrame:
-    """doc_id, fp of each row; null text counts as empty."""
-    odd = np.random.default_rng(SEED).integers(0, 1 << 63, words64).astype(U64) * U64(2) + U64(1)
+#: A pair of similarity s has none of these in common with probability (1 - s)**LOWEST at most: 1e-14 at 0.8.
+LOWEST = 20
+BINS = 128
+#: Probability that a pair at the similarity differs in more bins than are allowed.
+LOSS = 1e-9
+#: Members of a group whose whole sets are compared in one task.
+SET_TILE = 1024
+#: Bits of the map of candidates whose sets are fetched; where it is full, more are read than needed, none is lost.
+MAP_BITS = 22
+
+
+class Shingles:
+    """Shingle sets of the rows of a slice of texts."""
+
+    def __init__(self, width: int) -> None:
+        self.width, self.hash, self.space = width, SpanHasher(), white_space()
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes, sorted by row and value, each once; where each row starts, with the end; the rows' node, a hash of
+        the set (0 for none). Fewer words than the width: one shingle."""
+        n = len(offsets) - 1
+        low = lower_ascii(data)
+        starts, ends = word_spans(low, offsets, self.space)
+        words, row = self.hash(low, starts, ends), np.searchsorted(offsets, starts, side="right") - 1
+        count = np.bincount(row, minlength=n)
+        first = np.cumsum(count) - count
+        hashes, rows = [], []
+        for width in range(1, self.width + 1):
+            m = len(words) - width + 1
+            if m <= 0 or width < self.width and not (count == width).any():
+                continue
+            if width < self.width:
+                at = first[count == width]
+            else:
+                at = np.flatnonzero(row[:m] == row[width - 1 :])
+            h = words[at]
+            for i in range(1, width):
+                h = mix64(h) + words[at + i]
+            hashes.append(mix64(h + U64(width)))
+            rows.append(row[at])
+        if not hashes:
+            return np.zeros(0, U64), np.zeros(n + 1, np.int64), np.zeros(n, np.int64)
+        h, r = np.concatenate(hashes), np.concatenate(rows)
+        place = np.lexsort((h, r))
+        h, r = h[place], r[place]
+        keep = np.ones(len(h), bool)
+        keep[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
+        h, r = h[keep], r[keep]
+        cut = np.searchsorted(r, np.arange(n + 1))
+        node, some = np.zeros(n, U64), np.flatnonzero(np.diff(cut))
+        node[some] = mix64(np.add.reduceat(mix64(h + U64(1)), cut[some]))
+        return h, cut, node.view(np.int64)
+
+
+def bins(h: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """BINS bits of each of n rows, from hashes sorted by row and value: one bit of the least hash in each bin. A
+    shingle that is added or taken away changes one bin at most."""
+    out = np.zeros(n * BINS, np.uint8)
+    cell = row * BINS + (h & U64(BINS - 1)).astype(np.int64)
+    out[cell[::-1]] = ((h >> U64(7)) & U64(1)).astype(np.uint8)[::-1]  # of several for a bin the first one stays
+    return np.packbits(out.reshape(n, BINS), axis=1, bitorder="little")
+
+
+def allowed(similarity: float) -> int:
+    """Bins that a pair at the similarity may differ in; more have a probability of LOSS at most. Either set alone has
+    the least hash of a bin with probability 1 - similarity, and half of those bits differ."""
+    p, tail, k = (1 - similarity) / 2, 0.0, BINS
+    while k and tail + comb(BINS, k) * p**k * (1 - p) ** (BINS - k) <= LOSS:
+        tail += comb(BINS, k) * p**k * (1 - p) ** (BINS - k)
+        k -= 1
+    return k
+
+
+def sketches(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, node, n (shingles), sketch (bits, then the smallest hashes) of each row; null text counts as empty."""
+    shingles = Shingles(shingle)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            ids = batch.column(0).cast(pa.int64())
             data, offsets = arrow_bytes(batch.column(1))
-            low, off = lower_ascii(data).tobytes(), offsets.tolist()
-            fps = [wide_fingerprint(low[a:b], shingle, words64, odd) for a, b in zip(off[:-1], off[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fps, pa.binary())], names=["doc_id", "fp"])
+            for i, j in slices(offsets):
+                h, cut, node = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                n = np.diff(cut)
+                bits = bins(h, np.repeat(np.arange(j - i), n), j - i)
+                low = [bits[k].tobytes() + h[cut[k] : min(cut[k] + LOWEST, cut[k + 1])].tobytes() for k in range(j - i)]
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(node), pa.array(n.astype(np.int32)), pa.array(low, pa.binary())], names=["doc_id", "node", "n", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, n int, sketch binary")
+
+
+def shingle_sets(docs: DataFrame, shingle: int, wanted: np.ndarray) -> DataFrame:
+    """node, tokens (its shingles' hashes) of the nodes that are marked in the map `wanted`."""
+    shingles = Shingles(shingle)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = arrow_bytes(batch.column(0))
+            for i, j in slices(offsets):
+                h, cut, node = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                _, once = np.unique(node, return_index=True)
+                once = once[wanted[(node[once].view(U64) >> U64(64 - MAP_BITS)).astype(np.int64)]]
+                yield pa.RecordBatch.from_arrays([pa.array(node[once]), pa.array([h[cut[k] : cut[k + 1]].tobytes() for k in once], pa.binary())], names=["node", "tokens"])
+
+    return docs.select("text").mapInArrow(run, "node long, tokens binary").groupBy("node").agg(F.first("tokens").alias("tokens"))
 
 
 def runs(batches: Iterable[pa.RecordBatch], names: list[str]) -> Iterator[dict[str, np.ndarray | list]]:
@@ -93,14 +156,18 @@ def groups_of(block: pa.Table) -> Iterator[tuple[int, int]]:
     yield from zip(starts[some].tolist(), ends[some].tolist(), strict=True)
 
 
-def dealt(rows: DataFrame, tile: int) -> DataFrame:
-    """rows (key, node, ...) sorted by key and tile; groups of over `tile` members are cut by hash of node into parts,
-    and each pair of parts is a tile."""
+def tiled(rows: DataFrame, tile: int) -> DataFrame:
+    """rows (key, node, ...) with tile; groups of over `tile` members are cut by hash of node into parts, and each pair
+    of parts is a tile."""
     hot = rows.groupBy("key").count().where(F.col("count") > tile).select("key", F.ceil(F.col("count") / F.lit(tile)).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.least(j, part) * F.col("parts") + F.greatest(j, part))
-    tiled = rows.join(hot, "key", "left").withColumn("tile", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(others))).drop("parts")
-    return tiled.repartition("key", "tile").sortWithinPartitions("key", "tile")
+    return rows.join(hot, "key", "left").withColumn("tile", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(others))).drop("parts")
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows (key, tile, ...) with the groups together."""
+    return rows.repartition("key", "tile").sortWithinPartitions("key", "tile")
 
 
 def spanning(link: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,72 +183,91 @@ def spanning(link: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return moved, label[moved]
 
 
-def distances(fps: np.ndarray) -> np.ndarray:
-    """Hamming distances of all pairs of rows of 64-bit words."""
-    out = np.zeros((len(fps), len(fps)), np.int32)
-    for k in range(fps.shape[1]):
-        out += np.bitwise_count(fps[:, None, k] ^ fps[None, :, k])
-    return out
-
-
-def similar_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, block_bits: int = BLOCK_BITS, tile: int = TILE) -> DataFrame:
-    """doc_id, component_id of each row: documents are linked if their fingerprints' Hamming distance is that of the
-    similarity or less; component_id is the smallest doc_id reachable.
-
-    Rows of a block table hold 64 bits of the fingerprint. First those members are found that come near another of
-    their group by these bits; only for them the whole fingerprint is fetched, and links are verified. Both steps go
-    by groups of bounded size and emit at most one row a member and group.
-
-    Null or empty text: all-zero fingerprint, linked with its likes. Fewer words than the shingle: one shingle.
-    Repeated rows stay, one each; a null doc_id keeps its row. Other columns are not read; empty tables give no rows.
+def linked(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """First member of the component of each set; two sets of that Jaccard index or more are linked."""
+    sizes = np.array([len(s) for s in sets])
+    cut = np.append(0, np.cumsum(sizes)[:-1])
+    names, column = np.unique(np.concatenate(sets), return_inverse=True)
+    mark, label = np.zeros(len(names), bool), np.full(len(sets), -1)
+    for seed in range(len(sets)):
+        if label[seed] >= 0:
+            continue
+        label[seed], queue = seed, [seed]
+        while queue and (label < 0).any():
+            k = queue.pop()
+            own = column[cut[k] : cut[k] + sizes[k]]
+            mark[own] = True
+            shared = np.add.reduceat(mark[column], cut, dtype=np.int64)
+            mark[own] = False
+            new = np.flatnonzero((label < 0) & (shared >= similarity * (sizes[k] + sizes - shared) - 1e-9))
+            label[new] = seed
+            queue.extend(new.tolist())
+    return label
+
+
+def similar_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
+    """doc_id, component_id of each row: documents are linked if the Jaccard index of their sets of word shingles is
+    `similarity` or more; component_id is the smallest doc_id reachable.
+
+    Documents of equal sets are one node. Nodes are grouped by each of their smallest hashes, and candidates span
+    components; only for nodes that have one, the whole set is fetched, once, and links are counted within the
+    component. Both steps go by groups of bounded size and emit at most one row a member and group.
+
+    Null or empty text: no shingles, one node. Fewer words than the shingle: one shingle. Repeated rows stay, one each;
+    a null doc_id keeps its row. Other columns are not read; empty tables give no rows.
     """
-    words64 = -(-BLOCKS * block_bits // 64)
-    width = 64 * words64
-    share = acos(2 * similarity / (1 + similarity)) / pi
-    radius = int(share * width + 0.5 * sqrt(share * (1 - share) * width))
-    near64 = int(64 * share + 3 * sqrt(share * (1 - share) * 64))
-    own = stash(wide_fingerprints(docs, shingle, words64).withColumn("node", F.xxhash64("fp")), "wide")
-    nodes = own.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"))
+    most = allowed(similarity)
+    own = stash(sketches(docs, shingle), "wide")
+    nodes = own.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
 
     def tables(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = 1 << np.arange(block_bits, dtype=np.int64)
+        head = BINS // 64
         for batch in batches:
-            for i in range(0, batch.num_rows, 2000):
-                part = batch.slice(i, 2000)
-                raw = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, -1)
-                bits = np.unpackbits(raw, axis=1, bitorder="little")[:, : BLOCKS * block_bits].reshape(part.num_rows, BLOCKS, block_bits)
-                key = (bits @ place + (np.arange(BLOCKS) << block_bits)).astype(np.int64).reshape(-1)
-                node = np.repeat(np.asarray(part.column(0), dtype=np.int64), BLOCKS)
-                # the 64 bits after the block's word, so that they differ from the block's own bits
-                word = (np.arange(BLOCKS) * block_bits // 64 + 2) % words64
-                some = raw.view(np.int64).reshape(part.num_rows, words64)[:, word].reshape(-1)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.array(some)], names=["key", "node", "some"])
-
-    def members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in runs(batches, ["key", "tile", "node", "some"]):
-            node, some = (np.asarray(block.column(c), dtype=np.int64) for c in ("node", "some"))
-            key, keep = np.asarray(block.column("key"), dtype=np.int64), np.zeros(len(node), bool)
-            for a, b in groups_of(block):
-                fps = some[a:b].view(U64)
-                near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= near64
-                keep[a:b] = near.sum(axis=1) > 1
-            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(node[keep])], names=["key", "node"])
+            raw = batch.column(2).to_pylist()
+            size = np.array([len(x) // 8 for x in raw], np.int64)
+            words, first = np.frombuffer(b"".join(raw), np.int64), np.cumsum(size) - size
+            keep = np.ones(len(words), bool)
+            for k in range(head):
+                keep[first + k] = False
+            each = lambda x: pa.array(np.repeat(x, size - head))  # noqa: E731, B023
+            node, n = (np.asarray(batch.column(k), dtype=np.int64) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(words[keep]), each(node), each(n.astype(np.int32)), each(words[first]), each(words[first + 1])], names=["key", "node", "n", "a", "b"])
+
+    def candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in runs(batches, ["key", "tile", "node", "n", "a", "b"]):
+            node, n, a, b = (np.asarray(block.column(c), dtype=np.int64) for c in ("node", "n", "a", "b"))
+            us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for i, j in groups_of(block):
+                x, y, size = a[i:j].view(U64), b[i:j].view(U64), n[i:j].astype(np.int32)
+                apart = np.bitwise_count(x[:, None] ^ x[None, :])
+                apart += np.bitwise_count(y[:, None] ^ y[None, :])  # BINS at most, which fits a byte
+                total = size[:, None] + size[None, :]
+                # sets of n and m shingles differ in (n + m) (1 - s) / (1 + s) at most
+                near = apart <= np.minimum(most, total * ((1 - similarity) / (1 + similarity)) + 1e-6)
+                near &= np.minimum(size[:, None], size[None, :]) >= similarity * np.maximum(size[:, None], size[None, :]) - 1e-6
+                u, v = spanning(near)
+                us.append(node[i:j][u])
+                vs.append(node[i:j][v])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
 
     def verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in runs(batches, ["key", "tile", "node", "fp"]):
+        for block in runs(batches, ["key", "tile", "node", "tokens"]):
             node = np.asarray(block.column("node"), dtype=np.int64)
             us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for a, b in groups_of(block):
-                fps = np.frombuffer(b"".join(block.column("fp").slice(a, b - a).to_pylist()), U64).reshape(b - a, words64)
-                i, j = spanning(distances(fps) <= radius)
-                us.append(node[a:b][i])
-                vs.append(node[a:b][j])
+                label = linked([np.frombuffer(t, U64) for t in block.column("tokens").slice(a, b - a).to_pylist()], similarity)
+                moved = np.flatnonzero(label != np.arange(b - a))
+                us.append(node[a:b][moved])
+                vs.append(node[a:b][label[moved]])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
 
-    rows = nodes.select("node", "fp").mapInArrow(tables, "key long, node long, some long")
-    live = dealt(rows, tile).mapInArrow(members, "key long, node long").distinct()
-    whole = live.join(nodes.select("node", "fp"), "node")
-    member = components(dealt(whole, tile).mapInArrow(verified, "u long, v long"))
+    rows = nodes.select("node", "n", "sketch").mapInArrow(tables, "key long, node long, n int, a long, b long")
+    met = components(dealt(tiled(rows, tile)).mapInArrow(candidates, "u long, v long"))
+    wanted = np.zeros(1 << MAP_BITS, bool)
+    marks = met.select(F.shiftrightunsigned("node", 64 - MAP_BITS).alias("k")).distinct().toArrow()
+    wanted[marks.column(0).to_numpy()] = True
+    whole = tiled(met.select(F.col("root").alias("key"), "node"), min(tile, SET_TILE)).join(shingle_sets(docs, shingle, wanted), "node")
+    member = components(dealt(whole).mapInArrow(verified, "u long, v long"))
     rooted = nodes.select("node", "least").join(member, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return own.select("doc_id", "node").join(rooted.join(lowest, "root").select("node", "component_id"), "node").select("doc_id", "component_id")

@@ -107,3 +107,26 @@ def test_run(spark, corpus):
     out = corpus_pipeline.run(spark, corpus[0]).collect()
     assert [r.slot for r in sorted(out, key=lambda r: r.slot)] == list(range(len(out)))
     assert {d for r in out for d in r.doc_ids}.isdisjoint({10, 11, 12, 13, 20})
+
+
+def test_similar_groups_are_exact_at_the_similarity(spark):
+    """Pairs from just above to just below 0.8: all of the former are linked, none of the latter."""
+    rng, rows, near = random.Random(21), [], 0
+    for k in range(400):
+        n = rng.choice([10, 11, 12, 13, 60, 150, 300])
+        words = [f"v{k}x{i}" for i in range(n)]
+        size = n - 4
+        copy = list(words)
+        if n < 20:
+            copy[-1] = "end"
+        else:  # each of c words far from others changes five shingles
+            c = max(1, round(size * rng.choice([0.18, 0.2, 0.21, 0.22, 0.25, 0.28]) / 1.8 / 5))
+            for i in rng.sample(range(5, n - 5, 6), min(c, len(range(5, n - 5, 6)))):
+                copy[i] = f"c{k}x{i}"
+        rows += [" ".join(words), " ".join(copy)]
+        near += 0.8 <= jaccard(*rows[-2:]) < 0.85
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in similar_groups(df).collect()}
+    assert near > 40 and len(got) == len(rows)
+    for k in range(0, len(rows), 2):
+        assert (got[k] == got[k + 1]) == (jaccard(rows[k], rows[k + 1]) >= 0.8), (k, jaccard(rows[k], rows[k + 1]))
