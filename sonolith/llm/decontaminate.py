@@ -135,8 +135,8 @@ def index_items(texts: list[tuple[int, str]], radius: int) -> list[Items]:
 
 
 def search_row(shingles: np.ndarray, hits: np.ndarray, items: Items, similarity: float) -> list[tuple[int, int, int, float]]:
-    """Best window of each item that is similar enough in one text. hits: positions of shingles that some item has."""
-    best: dict[int, tuple[float, int]] = {}
+    """Best window of each item (the whole text for a longer item) that is similar enough in one text. hits: positions of shingles that some item has."""
+    best: dict[int, tuple[float, int, int]] = {}
     reach = max(items.by_size)
     cut = np.flatnonzero(np.diff(hits) > reach) + 1
     for group in np.split(hits, cut):
@@ -147,21 +147,22 @@ def search_row(shingles: np.ndarray, hits: np.ndarray, items: Items, similarity:
         mark[group - first + 1] = 1
         hit_sums = np.cumsum(mark)
         for n, (ks, index) in items.by_size.items():
-            if n > len(part):
+            size = min(n, len(part))  # a part is shorter than an item only if it is the whole text, which is one window
+            if size < similarity * n - 1e-9:
                 continue
-            # a window is worth a fingerprint if enough of its shingles are in some item: I / (2n - I) >= similarity
-            least = int(np.ceil(2 * n * similarity / (1 + similarity) - 1e-9))
-            live = np.flatnonzero(hit_sums[n:] - hit_sums[:-n] >= least)
+            # a window is worth a fingerprint if enough of its shingles are in some item: I / (size + n - I) >= similarity
+            least = int(np.ceil((size + n) * similarity / (1 + similarity) - 1e-9))
+            live = np.flatnonzero(hit_sums[size:] - hit_sums[:-size] >= least)
             if not len(live):
                 continue
-            probe, near = index.near(simhashes(signs, n)[live])
+            probe, near = index.near(simhashes(signs, size)[live])
             for p, k in zip(live[probe].tolist(), ks[near].tolist(), strict=True):
                 if k in best and best[k][0] == 1.0:
                     continue
-                s = weighted_similarity(part[p : p + n], items.shingles[k])
+                s = weighted_similarity(part[p : p + size], items.shingles[k])
                 if s >= similarity and (k not in best or s > best[k][0]):
-                    best[k] = (s, first + p)
-    return sorted((items.ids[k], at, len(items.shingles[k]) + items.width - 1, s) for k, (s, at) in best.items())
+                    best[k] = (s, first + p, size)
+    return sorted((items.ids[k], at, size + items.width - 1, s) for k, (s, at, size) in best.items())
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -170,7 +171,8 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 
     Words are runs of letters and digits in lower case, shingles are five words (an item of fewer words is one
     shingle), similarity is the weighted Jaccard index of the shingles' counts. At each position a window of each
-    item's size is fingerprinted; the block index finds all items within the radius; each is verified. Windows that
+    item's size is fingerprinted, and a text that is shorter than the item is one window, so n_words is the text's; the
+    block index finds all items within the radius; each is verified. Windows that
     hold too few shingles of any item to reach the similarity are passed over, as they cannot match.
 
     Null or empty text has no match; items with null id, null text or no words are left out; of repeated items each

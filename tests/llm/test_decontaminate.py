@@ -87,3 +87,36 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert find_matches(docs, none).first().contamination == []
     assert find_matches(docs.where("false"), spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")).count() == 0
+
+
+def test_texts_shorter_than_an_item(spark):
+    """Against the whole text as one window."""
+    rng = random.Random(31)
+    items = [(i, " ".join(rng.choices([f"w{k}" for k in range(300)], k=rng.randint(12, 70)))) for i in range(30)]
+    items += [(50, " ".join(f"s{k}" for k in range(59))), (51, "only four words here")]
+    docs = [(1000, " ".join(items[30][1].split()[:-3])), (1001, "only four words"), (1002, "w1 w2 w3")]
+    for i in range(150):
+        w = items[i % 30][1].split()
+        cut = rng.randint(1, 1 + len(w) // 5)
+        w = w[cut:] if i % 3 == 0 else w[:-cut]
+        if i % 4 == 0:
+            w[len(w) // 2] = "changed"
+        docs.append((i, " ".join(w)))
+    out = find_matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    found = 0
+    for row in out:
+        w, want = words(row.text), {}
+        for i, t in items:
+            v = bag(words(t))
+            if len(w) < len(words(t)):
+                got = bag(w)
+                want[i] = sum((got & v).values()) / sum((got | v).values())
+            else:
+                want[i] = brute(row.text, t)
+        want = {i: round(s, 9) for i, s in want.items() if s >= 0.8}
+        assert {m.item_id: round(m.similarity, 9) for m in row.contamination} == want, row.doc_id
+        assert all(m.start + m.n_words <= len(w) for m in row.contamination)
+        found += len(want)
+    assert found > 60
+    first = next(r for r in out if r.doc_id == 1000).contamination
+    assert [(m.item_id, m.start, m.n_words, round(m.similarity, 9)) for m in first] == [(50, 0, 56, round(52 / 55, 9))]
