@@ -37,11 +37,19 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 MAIN = {"article": 2, "main": 1}
 #: Words of class, id and role that mark what is no main text.
 SIDE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adbox|adslot|adsby\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice\w*|alert|"
+    r"(?:ad|ads|adv|advert\w*|adbox|adslot|adsby\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice\w*|alert|"
     r"nav\w*|menu\w*|breadcrumbs?|sidebar|side|aside|rail|widget\w*|footer|header|masthead|topbar|toolbar|"
     r"comments?|commentlist|disqus|respond|replies|reactions|discussion|share|sharing|social|related|recommend\w*|"
-    r"newsletter|subscri\w+|signup|login|popup|modal|overlay|pager|pagination|skip|search|form|contentinfo|complementary|navigation)(?=$|[\s_-])"
+    r"newsletter|subscri\w+|signup|login|popup|modal|overlay|pager|pagination|skip|search|form|contentinfo|complementary|navigation)"
 )
+#: Words that say no more than where or in what box something is: a name is of no main text if it has one of the words
+#: above and otherwise only these. So `reader-comments` is, and `comments-open` or `has-sidebar` is not.
+PLACES = frozenset(
+    """area bar block bottom box button buttons container global group inner item items left link links list main outer
+    page panel post posts primary reader right row secondary section site slot thread top unit user wrap wrapper""".split()
+)
+#: Elements that names do not mark as no main text.
+NEVER_SIDE = frozenset("html body main article".split())
 MAIN_NAMES = re.compile(r"(?:^|[\s_-])(?:article|articlebody|post|entry|story|main|content|body|text)(?=$|[\s_-])")
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<({RAW})\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*(?:/>|>.*?(?:</\1\s*>|\Z)|\Z)"
@@ -59,18 +67,30 @@ SHORT, LONG, STOP_LOW, STOP_HIGH, LINKS = 10, 25, 0.08, 0.2, 0.4
 @dataclass
 class Block:
     """A run of text between block borders. side: whether it lies in an element of no main text; main: 2 in an article,
-    1 in another element of main text, else 0."""
+    1 in another element of main text, else 0; named: the numbers of the elements around it that a name marks."""
 
     text: str
     link_chars: int
     side: bool
     main: int
     heading: bool
+    named: tuple[int, ...] = ()
+
 
+def _side_name(value: str) -> bool:
+    """Whether one of the names in a lower-case class, id or role is one of no main text, as a whole."""
+    for name in value.split():
+        words = [w for w in re.split(r"[_-]+", name) if w]
+        side = [bool(SIDE_NAMES.fullmatch(w)) for w in words]
+        if any(side) and all(s or w in PLACES or w.isdigit() for s, w in zip(side, words, strict=True)):
+            return True
+    return False
 
-def _names(tag: str, attributes: str) -> tuple[bool, int, bool]:
-    """Whether an element is marked as no main text, how it is marked as main text, whether it is hidden."""
-    side, main, hidden = tag in SIDE, MAIN.get(tag, 0), False
+
+def _names(tag: str, attributes: str) -> tuple[bool, int, bool, bool]:
+    """Whether an element is of no main text by its tag, how it is marked as main text, whether it is hidden, whether a
+    name marks it as no main text."""
+    side, main, hidden, named = tag in SIDE, MAIN.get(tag, 0), False, False
     for name, *values in ATTRIBUTE.findall(attributes):
         value, name = "".join(values), name.lower()
         if name == "style":
@@ -81,17 +101,22 @@ def _names(tag: str, attributes: str) -> tuple[bool, int, bool]:
             hidden |= value.lower() == "true"
         else:
             low = value.lower()
-            hit = bool(SIDE_NAMES.search(low))
-            side |= hit
+            hit = tag not in NEVER_SIDE and _side_name(low)
+            named |= hit
             main = max(main, int(not hit and bool(MAIN_NAMES.search(low)) and tag in ("div", "section", "td")))
-    return side, 0 if side else main, hidden
+    return side, 0 if side or named else main, hidden, named
 
 
 def blocks(page: str) -> list[Block]:
     """The page's blocks, in order. An end tag closes what is open inside its element; one that opens nothing is
-    dropped, and so is a tag that the page's end cuts off."""
+    dropped, and so is a tag that the page's end cuts off.
+
+    A name does not make an element side that holds a main element; nor one that holds an article, unless the page has
+    text in an article outside all such elements (then it is a list of others)."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # of elements that can hold blocks: tag, side, main
+    stack: list[tuple[str, bool, int, tuple[int, ...]]] = []  # of elements that can hold blocks: tag, side, main, named
+    held: dict[str, set[int]] = {"main": set(), "article": set()}
+    n_named = 0
     parts: list[str] = []
     links, anchor, heading, breaks = 0, False, False, 0
 
@@ -99,7 +124,7 @@ def blocks(page: str) -> list[Block]:
         nonlocal links
         text = " ".join("".join(parts).split())
         if text:
-            out.append(Block(text, min(links, len(text)), bool(stack) and stack[-1][1], stack[-1][2] if stack else 0, heading))
+            out.append(Block(text, min(links, len(text)), bool(stack) and stack[-1][1], stack[-1][2] if stack else 0, heading, stack[-1][3] if stack else ()))
         parts.clear()
         links = 0
 
@@ -128,7 +153,7 @@ def blocks(page: str) -> list[Block]:
             if breaks == 2:
                 close()
         elif tag in BLOCKS or tag in SIDE and tag not in VOID or tag in ("span", "center") and not ending and ATTRIBUTE.search(m[4]):
-            marks = (False, 0, False) if ending or tag == "span" and not m[4] else _names(tag, m[4])
+            marks = (False, 0, False, False) if ending or tag == "span" and not m[4] else _names(tag, m[4])
             if tag == "span" and not any(marks):
                 continue
             close()
@@ -148,13 +173,22 @@ def blocks(page: str) -> list[Block]:
                         pass
                 anchor = False
             elif tag not in VOID:
-                up = stack[-1] if stack else ("", False, 0)
-                stack.append((tag, up[1] or marks[0] or marks[2], max(up[2], marks[1])))
+                up = stack[-1] if stack else ("", False, 0, ())
+                side = up[1] or marks[0] or marks[2]
+                if tag in held and not side:
+                    held[tag].update(up[3])
+                n_named += marks[3]
+                stack.append((tag, side, max(up[2], marks[1]), (*up[3], n_named) if marks[3] else up[3]))
         elif tag == "span" and ending and stack and stack[-1][0] == "span":
             close()
             stack.pop()
     add(page[at:] if not re.match(r"<[a-zA-Z/!]", page[at:]) else "")
     close()
+    void = held["main"]
+    if not any(b.main == 2 and not b.side and void.issuperset(b.named) for b in out):
+        void = void | held["article"]
+    for b in out:
+        b.side = b.side or not void.issuperset(b.named)
     return out
 
 

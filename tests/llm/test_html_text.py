@@ -55,3 +55,24 @@ def test_rows(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
     assert sorted(map(str, (tuple(r) for r in extract(df).collect()))) == sorted(map(str, [(1, "u", "x", 1), (1, "u", "x", 1), (None, None, "", 0), (2, "u", "", 0)]))
     assert extract(df.where("false")).count() == 0
+
+
+LAYOUTS = [
+    f'<html class="no-ads"><body class="has-sidebar"><article><p>{PROSE}</p></article><p>Out</p></body></html>',
+    f'<body class="single-post comments-open"><article><p>{PROSE}</p></article></body>',
+    f'<body class="sidebar"><main class="search" role="form"><p>{PROSE}</p></main></body>',
+    f'<div class="content-with-sidebar"><article><p>{PROSE}</p></article><div class="sidebar"><p>Out</p></div></div>',
+    f'<article class="post header-image"><p>{PROSE}</p><div class="top-ad">Out</div></article>',
+    f'<article class="header"><p>{PROSE}</p></article>',
+    f'<div class="sidebar"><p>Out</p><article><p>{PROSE}</p></article></div>',
+    f'<div class="widget"><main><div class="share">Out</div><p>{PROSE}</p></main></div>',
+    f'<div class="widget"><main><div class="side"><article><p>{PROSE}</p></article></div></main></div>',
+    f'<article><p>{PROSE}</p></article><div class="related-posts"><article><p>Out</p></article></div>',
+    f'<div class="has-sidebar"><p>{PROSE}</p><div class="social-links">Out</div></div>',
+    f'<article><p>{PROSE}</p><div class="sidebar"><aside><article><p>Out</p></article></aside></div></article>',
+]
+
+
+@pytest.mark.parametrize("page", LAYOUTS)
+def test_names_of_layouts_do_not_hide_the_article(page):
+    assert main_text(page) == PROSE
