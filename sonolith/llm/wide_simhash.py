@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sonolith.llm.components import components
 from sonolith.llm.simhash import TILE
@@ -206,7 +207,12 @@ def linked(sets: list[np.ndarray], similarity: float) -> np.ndarray:
 
 
 def similar_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
-    """doc_id, component_id of each row: documents are linked if the Jaccard index of their sets of word shingles is
+    """doc_id, component_id of each row, by grouped_nodes."""
+    return grouped_nodes(docs, shingle, similarity, tile).select("doc_id", "component_id")
+
+
+def grouped_nodes(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
+    """doc_id, node (of its text), root (of its component), component_id of each row: documents are linked if the Jaccard index of their sets of word shingles is
     `similarity` or more; component_id is the smallest doc_id reachable.
 
     Documents of equal sets are one node. Nodes are grouped by each of their smallest hashes, and candidates span
@@ -270,13 +276,35 @@ def similar_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     member = components(dealt(whole).mapInArrow(verified, "u long, v long"))
     rooted = nodes.select("node", "least").join(member, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return own.select("doc_id", "node").join(rooted.join(lowest, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    return own.select("doc_id", "node").join(rooted.join(lowest, "root").select("node", "root", "component_id"), "node").select("doc_id", "node", "root", "component_id")
+
+
+def with_node(docs: DataFrame, shingle: int) -> DataFrame:
+    """docs with __node, the node of each row's text."""
+    shingles = Shingles(shingle)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = arrow_bytes(batch.column(batch.schema.get_field_index("text")))
+            for i, j in slices(offsets):
+                _, _, node = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, pa.array(node)], names=[*batch.schema.names, "__node"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__node", T.LongType())]))
 
 
 def without_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """docs without those that are near copies of one with a smaller doc_id in their group; one row stays for a
-    doc_id that is repeated. Rows with a null doc_id stay unless text and id are repeated. All columns stay."""
-    found = similar_groups(docs, similarity=similarity)
+    """docs without those that are near copies of one with a smaller doc_id in their group. Where a doc_id is repeated,
+    each of its texts is decided on its own, and one row stays for texts of one group. Rows with a null doc_id stay
+    unless text and id are repeated. All columns stay."""
+    found = stash(grouped_nodes(docs, similarity=similarity), "groups")
+    several = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count_distinct("node").alias("n")).where("n > 1").select("doc_id")
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    once = docs.join(gone.unionAll(several).distinct(), "doc_id", "left_anti")
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), F.sha2(F.coalesce("text", F.lit("")), 256)))
-    return docs.join(gone, "doc_id", "left_anti").withColumn("__key", key).dropDuplicates(["__key"]).select(*docs.columns)
+    # with several texts: those that are the first of their groups; component_id is then the doc_id, so the least node
+    # stands for the texts of one group
+    chosen = found.join(several, "doc_id").where("doc_id = component_id").select("doc_id", "root", F.col("node").alias("__node"))
+    chosen = chosen.groupBy("doc_id", "root").agg(F.min("__node").alias("__node")).select("doc_id", "__node")
+    rest = with_node(docs.join(several, "doc_id", "left_semi"), SHINGLE).join(chosen, ["doc_id", "__node"], "left_semi")
+    return once.withColumn("__key", key).select(*docs.columns, "__key").unionAll(rest.withColumn("__key", F.concat_ws(" ", "doc_id", "__node")).select(*docs.columns, "__key")).dropDuplicates(["__key"]).select(*docs.columns)

@@ -130,3 +130,12 @@ def test_similar_groups_are_exact_at_the_similarity(spark):
     assert near > 40 and len(got) == len(rows)
     for k in range(0, len(rows), 2):
         assert (got[k] == got[k + 1]) == (jaccard(rows[k], rows[k + 1]) >= 0.8), (k, jaccard(rows[k], rows[k + 1]))
+
+
+def test_repeated_ids_with_other_texts(spark):
+    """A doc_id whose one text is a copy loses that text only."""
+    text = {k: " ".join(f"{k}{i}" for i in range(40)) for k in "abcde"}
+    rows = [(1, text["a"], "1"), (2, text["a"], "2"), (2, text["b"], "3"), (3, text["c"], "4"), (3, text["c"], "5"), (4, text["d"], "6"), (4, text["d"] + " end", "7"), (4, text["e"], "8"), (None, text["a"], "9")]
+    kept = {r.tag for r in without_copies(spark.createDataFrame(rows, "doc_id long, text string, tag string")).collect()}
+    assert kept - {"4", "5", "6", "7"} == {"1", "3", "8", "9"}
+    assert len(kept & {"4", "5"}) == len(kept & {"6", "7"}) == 1
