@@ -234,11 +234,14 @@ def token_shards(docs: DataFrame, path: str, tokenizer: Tokenizer | None = None,
 
     With keep_tokens, texts are tokenised once and kept in the shared folder; without, they are tokenised twice, which
     takes less disk; docs must then be a scan of files that reads the same each time, and the second pass fails if a
-    partition has other counts than in the first. A shuffle moves each token once, in one row for each task and shard.
+    partition has other counts than in the first. So that both passes split the files alike whatever executors there
+    are, spark.sql.files.minPartitionNum is then set for the session where it is unset. A shuffle moves each token once, in one row for each task and shard.
     The driver gets one count a scan partition.
     """
     spark, tokenizer = docs.sparkSession, tokenizer or Tokenizer()
     layout = Layout(0, length, per_shard, tokenizer.dtype(), tokenizer.end_id, key)
+    if not keep_tokens and spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
     tokens = tokenized(docs, tokenizer)
     if keep_tokens:
         tokens = stash(tokens, "tokens")

@@ -67,3 +67,18 @@ def test_empty(spark, tmp_path):
 def test_vocabulary_is_a_parameter():
     with pytest.raises(FileNotFoundError):
         Tokenizer("/nowhere/ranks")
+
+
+def test_second_pass_splits_files_as_the_first(spark, tmp_path):
+    """Cores that come or go between the passes do not change the partitions."""
+    spark.createDataFrame([(i, f"text number {i} " * 40) for i in range(4000)], "doc_id long, text string").repartition(8).write.parquet(f"{tmp_path}/docs")
+    names = ("spark.sql.leafNodeDefaultParallelism", "spark.sql.files.minPartitionNum", "spark.sql.files.openCostInBytes")
+    spark.conf.set(names[2], "1")
+    try:
+        spark.conf.set(names[0], "8")
+        manifest = token_shards(spark.read.parquet(f"{tmp_path}/docs"), f"file://{tmp_path}/out", length=64, per_shard=64, keep_tokens=False)
+        spark.conf.set(names[0], "2")
+        assert sum(r.n_tokens for r in manifest.collect()) > 0
+    finally:
+        for name in names:
+            spark.conf.unset(name)
