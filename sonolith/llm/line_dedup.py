@@ -5,26 +5,63 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonolith.llm.textops import U64, SpanHasher, arrow_bytes, lower_ascii, mix64, slices, white_space, word_spans
-from sonolith.llm.wide_simhash import groups_of, runs
+from sonolith.llm.textops import U64, SpanHasher, arrow_bytes, fresh_name, lower_ascii, mix64, slices, white_space, word_spans
 from sonolith.session import stash, table
 
 SIMILARITY = 0.8
-#: Tokens are ordered by the counts of 2**BUCKET_BITS hash buckets: any order gives the same links, a rare-first one
-#: gives few candidates. A bucket's count bounds the lines of its tokens: at 1 a token is not shared and needs no rows,
-#: above TILE its group is split.
-BUCKET_BITS = 22
-SEGMENTS = 64
-#: Members of a token's group that are compared in one task.
+#: Tokens are ordered by the counts of 2**BUCKET_BITS hash buckets, on a scale of LEVELS steps an octave: any order gives
+#: the same links, a rare-first one gives few candidates.
+BUCKET_BITS = 24
+LEVELS = 8
+SEGMENTS = 256
+#: A prefix token in more lines than this is a key only together with the next common token.
+HOT = 1024
+#: Members of a group that are compared in one task: beyond, the group is cut into parts, and each two of them are one.
 TILE = 2048
+#: Bytes of text that are tokenised at once.
+SLICE = 1 << 19
+#: Prefix rows of a batch that is sorted and compared at once.
+BATCH_ROWS = 1 << 17
+#: Prefix rows that a worker holds before it deals them out.
+HELD_ROWS = 1 << 19
 #: Bits of the map of lines whose tokens are fetched; where it is full, more lines are read than needed, none is lost.
-MAP_BITS = 22
+MAP_BITS = 26
+#: Sets of more tokens than this have the wider signature.
+MANY = 200
+#: A class of more than 1/COMMON of all lines is joined by broadcast: there are fewer than COMMON of them.
+COMMON = 1000
+#: Pairs whose common tokens are found at once, members that are verified at once (whole groups), and members of a group
+#: of which all pairs of fitting length are verified; larger groups go by products of tiles.
+PAIRS, MEMBERS, FEW = 1 << 13, 1 << 13, 32
+_CLASS = (U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F))
+
+
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The integers of all ranges [start, start + size), one after the other."""
+    return np.arange(int(sizes.sum())) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+
+
+class Order:
+    """The global order of tokens, by the levels of their buckets, then their hash."""
+
+    def __init__(self, levels: np.ndarray):
+        self.levels = levels
+
+    def level(self, h: np.ndarray) -> np.ndarray:
+        return self.levels[(h >> U64(64 - BUCKET_BITS)).astype(np.int64)]
+
+    def count(self, h: np.ndarray) -> np.ndarray:
+        """About the lines that have the token, from above."""
+        return np.exp2(self.level(h) / LEVELS)
+
+
+def levels_of(counts: np.ndarray) -> np.ndarray:
+    return np.minimum(255, np.ceil(LEVELS * np.log2(np.maximum(counts, 1)))).astype(np.uint8)
 
 
 class Lines:
@@ -34,311 +71,541 @@ class Lines:
         self.hash = SpanHasher()
         self.space = white_space()
 
-    def __call__(self, data: np.ndarray, offsets: np.ndarray, order: Order | None) -> tuple[np.ndarray, ...]:
-        """row and number of each line; and by line with words: its index, where its tokens start and end, the tokens'
-        ids, sorted, each once, and their hashes. Without an order the hash is the id. Lines end at a line feed; a
-        text's last line is a line, also if it is empty."""
-        breaks = np.flatnonzero(data == 10)
-        full = offsets[:-1][np.diff(offsets) > 0]
-        begins = np.concatenate([breaks + 1, full])  # a text's empty last line begins where the next text does
-        place = np.argsort(begins, kind="stable")
-        begins, owner = begins[place], np.concatenate([breaks, full])[place]
-        row = np.searchsorted(offsets, owner, side="right") - 1
+    def spans(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Row, number, start and end of each line. Lines end at a line feed; a text's last line is a line, also if it
+        is empty; an empty text has none."""
+        full = np.diff(offsets) > 0
+        finals = offsets[1:][full]
+        ends = np.concatenate([finals, np.flatnonzero(data == 10)])  # a text's end goes before a line feed that follows
+        place = np.argsort(ends, kind="stable")
+        ends, final = ends[place], place < len(finals)
+        row = np.where(final, np.cumsum(final) - 1, np.cumsum(final))  # of the texts that are not empty
+        row = np.flatnonzero(full)[row]
+        starts = np.empty_like(ends)
+        if len(ends):
+            starts[0] = offsets[row[0]]
+            starts[1:] = np.where(final[:-1], offsets[row[1:]], ends[:-1] + 1)
         number = np.arange(len(row)) - np.searchsorted(row, row, side="left")
-        low = lower_ascii(data)
-        starts, ends = word_spans(low, offsets, self.space)
-        h = self.hash(low, starts, ends)
-        token = h if order is None else order.ids(h)
-        line = np.searchsorted(begins, starts, side="right") - 1
-        place = np.lexsort((token, line))
-        line, token, h = line[place], token[place], h[place]
-        keep = np.ones(len(line), bool)
-        keep[1:] = (line[1:] != line[:-1]) | (token[1:] != token[:-1])
-        line, token, h = line[keep], token[keep], h[keep]
+        return row, number, starts, ends
+
+    def sets(self, low: np.ndarray, begins: np.ndarray, stops: np.ndarray, order: Order | None) -> tuple[np.ndarray, ...]:
+        """Of lines [begin, stop) of lower-cased bytes: the index of each that has words, where its tokens start and
+        end, and the tokens' hashes: each once, in the order, or by hash where there is none."""
+        edges = np.unique(np.concatenate([begins, stops]))
+        edges = edges[edges < len(low)]
+        first, last = word_spans(low, np.append(edges, len(low)), self.space)
+        low_at, size = np.searchsorted(first, begins), np.searchsorted(first, stops)
+        size = size - low_at
+        line, inside = np.repeat(np.arange(len(begins)), size), ranges(low_at, size)
+        first, last = first[inside], last[inside]
+        coded = pa.array(self.hash(low, first, last)).dictionary_encode()
+        names, code = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+        place = np.argsort(names) if order is None else np.lexsort((names, order.level(names)))
+        rank = np.empty(len(names), np.int64)
+        rank[place] = np.arange(len(names))
+        both = np.sort((line << 32) | rank[code])
+        keep = np.ones(len(both), bool)
+        keep[1:] = both[1:] != both[:-1]
+        both = both[keep]
+        line, token = both >> 32, names[place][both & 0xFFFFFFFF]
         cut = np.flatnonzero(np.append(True, line[1:] != line[:-1])) if len(line) else np.zeros(0, np.int64)
-        return row, number, line[cut], cut, np.append(cut[1:], len(line)) if len(cut) else cut, token, h
+        return line[cut], cut, np.append(cut[1:], len(line)) if len(cut) else cut, token
 
 
-class Order:
-    """The global order of tokens, by the counts of their buckets."""
+def class_ids(token: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each set, whatever the order of its tokens, as two longs."""
+    if not len(cut):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    out = [mix64(np.add.reduceat(mix64(token ^ c), cut)).view(np.int64) for c in _CLASS]
+    return out[0], out[1]
 
-    def __init__(self, counts: np.ndarray):
-        rank = np.empty(len(counts), np.int32)
-        rank[np.argsort(counts, kind="stable")] = np.arange(len(counts), dtype=np.int32)
-        self.rank, self.counts = rank, counts
 
-    def ids(self, h: np.ndarray) -> np.ndarray:
-        """The bucket's rank, and the rest of the hash."""
-        return (self.rank[bucket(h)].astype(U64) << U64(64 - BUCKET_BITS)) | (h & U64((1 << (64 - BUCKET_BITS)) - 1))
+def needed(n: np.ndarray, similarity: float) -> np.ndarray:
+    """Least overlap of a set of n with one that is similar enough."""
+    return np.ceil(similarity * n - 1e-9).astype(np.int64)
 
 
-def bucket(h: np.ndarray) -> np.ndarray:
-    return (h >> U64(64 - BUCKET_BITS)).astype(np.int64)
+def overlap_needed(n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
+    return np.ceil(similarity / (1 + similarity) * (n + m) - 1e-9).astype(np.int64)
 
 
-#: Sets of more tokens than this have the other signature.
-MANY = 60
+def suffix_signatures(token: np.ndarray, end: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """256 bits, as four words, of the tokens [at, end) of a line with n tokens: for up to MANY the parities of the
+    tokens in 128 classes, else their counts in 64 classes modulo 16. Either changes by one step for each token that is
+    added or taken away."""
+    out = np.zeros((4, len(at)), U64)
+    if not len(at):
+        return out
+    for w in range(2):
+        bit = np.where(((token >> U64(6)) & U64(1)) == U64(w), U64(1) << (token & U64(63)), U64(0))
+        run = np.append(U64(0), np.bitwise_xor.accumulate(bit))
+        out[w] = run[end] ^ run[at]
+    wide = np.flatnonzero(n > MANY)
+    if len(wide):
+        lines, own = np.unique(end[wide], return_inverse=True)  # the long lines, by their end
+        size = n[wide][np.unique(own, return_index=True)[1]]
+        base = np.cumsum(size) - size
+        kind = token[ranges(lines - size, size)] & U64(63)
+        a, z = at[wide] - (lines - size)[own] + base[own], (base + size)[own]
+        out[:, wide] = 0
+        for c in range(64):
+            run = np.append(0, np.cumsum(kind == U64(c)))
+            out[c // 16, wide] |= ((run[z] - run[a]) & 15).astype(U64) << U64(4 * (c % 16))
+    return out
 
 
-def signatures(hashes: np.ndarray, cut: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """64 bits of each set: the parities of its tokens in 64 classes or, for many tokens, their counts in 16 classes
-    modulo 16. Either changes by one step for each token that is added or taken away."""
-    if not len(cut):
-        return np.zeros(0, U64)
-    parity = np.bitwise_xor.reduceat(U64(1) << (hashes & U64(63)), cut)
-    counts = np.zeros(len(cut), U64)
-    kind = (hashes >> U64(6)) & U64(15)
-    for c in range(16):
-        counts |= (np.add.reduceat(kind == c, cut, dtype=np.int64).astype(U64) & U64(15)) << U64(4 * c)
-    return np.where(n > MANY, counts, parity)
-
-
-def least_difference(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Lower bound on the tokens that only one of two sets of n and m has, from their signatures."""
-    out = np.abs(n - m)
-    few, many = (n <= MANY) & (m <= MANY), (n > MANY) & (m > MANY)
-    out[few] = np.maximum(out[few], np.bitwise_count(a[few] ^ b[few]))
-    x, y, total = a[many], b[many], np.zeros(int(many.sum()), np.int64)
-    for c in range(16):
-        d = ((x >> U64(4 * c)) - (y >> U64(4 * c))) & U64(15)
-        total += np.minimum(d, U64(16) - d).astype(np.int64)
-    out[many] = np.maximum(out[many], total)
+def least_difference(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Lower bound on the tokens that only one of two sets has, from their signatures; n, m: tokens of their lines."""
+    out = np.zeros(len(n), np.int64)
+    few, many = np.flatnonzero((n <= MANY) & (m <= MANY)), np.flatnonzero((n > MANY) & (m > MANY))
+    out[few] = np.bitwise_count(x[0, few] ^ y[0, few]).astype(np.int64) + np.bitwise_count(x[1, few] ^ y[1, few])
+    for w in range(4) if len(many) else ():
+        for c in range(16):
+            d = ((x[w, many] >> U64(4 * c)) - (y[w, many] >> U64(4 * c))) & U64(15)
+            out[many] += np.minimum(d, U64(16) - d).astype(np.int64)
     return out
 
 
-def set_hashes(hashes: np.ndarray, cut: np.ndarray) -> np.ndarray:
-    """Hash of each set, whatever the order of its tokens."""
-    return mix64(np.add.reduceat(mix64(hashes + U64(1)), cut)) if len(cut) else np.zeros(0, U64)
+def single_key(token: np.ndarray) -> np.ndarray:
+    return mix64(token + U64(1))
 
 
-def needed(n: np.ndarray, similarity: float) -> np.ndarray:
-    """Least overlap of a set of n with one that is similar enough."""
-    return np.ceil(similarity * n - 1e-9).astype(np.int64)
+def pair_key(token: np.ndarray, other: np.ndarray) -> np.ndarray:
+    return mix64(mix64(token + U64(2)) + other)
 
 
-def overlap_needed(n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
-    return np.ceil(similarity / (1 + similarity) * (n + m) - 1e-9).astype(np.int64)
+def tile_key(key: np.ndarray, split: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Key of the parts p and q of a group that is cut into `split` parts; of the group itself where it is not cut."""
+    tile = np.minimum(p, q) * split + np.maximum(p, q)
+    return np.where(split > 1, mix64(key + (tile + 1).astype(U64)), key)
 
 
-def _lines_and_counts(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, line, h, n) of the lines - h null for a line without words, line -1 for a text without lines -,
-    and rows with `counts`: the lines of each token bucket in a scan partition, in segments (line)."""
-    lines = Lines()
+def part_of(node: np.ndarray, split: np.ndarray) -> np.ndarray:
+    return (mix64(node.view(U64)) % split.astype(U64)).astype(np.int64)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << BUCKET_BITS, np.uint32)
 
-        def rows(ids: pa.Array, line: np.ndarray, h: pa.Array, n: np.ndarray, counted: pa.Array | None = None) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([ids, pa.array(line.astype(np.int64)), h, pa.array(n.astype(np.int64)), pa.nulls(len(line), pa.binary()) if counted is None else counted], names=["doc_id", "line", "h", "n", "counts"])
+class Keys:
+    """The groups in which lines meet."""
+
+    def __init__(self, order: Order, similarity: float, hot: int, tile: int):
+        self.order, self.similarity, self.hot, self.tile = order, similarity, hot, tile
+
+    def split(self, count: np.ndarray) -> np.ndarray:
+        return np.maximum(1, np.ceil(count / self.tile)).astype(np.int64)
+
+    def rows(self, token: np.ndarray, cut: np.ndarray, end: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, ...]:
+        """group, node, n, pos, signature: one row for each key of each line and, in a group that is cut, each other
+        part."""
+        n = end - cut
+        size = n - needed(n, self.similarity) + 1
+        line = np.repeat(np.arange(len(cut)), size)
+        at = ranges(cut, size)
+        count = self.order.count(token[at])
+        hot = count > self.hot
+        # a pair that has at least two tokens in common has them in prefixes that are one token longer
+        beyond = (cut + size)[line[hot]] - at[hot]
+        first, second = np.repeat(at[hot], beyond), ranges(at[hot] + 1, beyond)
+        key = np.concatenate([single_key(token[at[~hot]]), pair_key(token[first], token[second])])
+        split = self.split(np.concatenate([count[~hot], np.minimum(np.repeat(count[hot], beyond), self.order.count(token[second]))]))
+        line = np.concatenate([line[~hot], np.repeat(line[hot], beyond)])
+        at, pos = np.concatenate([at[~hot], second]), np.concatenate([at[~hot], second - 1]) - cut[line]
+        bits = suffix_signatures(token, end[line], at, n[line])
+        if (split > 1).any():
+            own = part_of(node[line], split)
+            other = ranges(np.zeros(len(split), np.int64), split)
+            again = np.repeat(np.arange(len(line)), split)
+            key, line, pos, bits = tile_key(key[again], split[again], own[again], other), line[again], pos[again], bits[:, again]
+        return key, node[line], n[line], pos, bits
+
+    def of_pair(self, first: np.ndarray, second: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """The one group in which a pair counts, from its first two common tokens and the lines' nodes."""
+        count = self.order.count(first)
+        hot = count > self.hot
+        key = np.where(hot, pair_key(first, second), single_key(first))
+        split = self.split(np.where(hot, np.minimum(count, self.order.count(second)), count))
+        return tile_key(key, split, part_of(u, split), part_of(v, split))
 
+
+COLUMNS = (("key", U64), ("node", np.int64), ("n", np.uint32), ("pos", np.uint32), ("s0", U64), ("s1", U64), ("s2", U64), ("s3", U64))
+
+
+def _packed(packer: zstandard.ZstdCompressor, columns: list[np.ndarray]) -> bytes:
+    return packer.compress(b"".join(np.ascontiguousarray(c).tobytes() for c in columns))
+
+
+def _unpacked(raw: bytes) -> list[np.ndarray]:
+    data = zstandard.ZstdDecompressor().decompress(raw)
+    n, out, at = len(data) // sum(np.dtype(k).itemsize for _, k in COLUMNS), [], 0
+    for _, kind in COLUMNS:
+        out.append(np.frombuffer(data, kind, n, at))
+        at += n * np.dtype(kind).itemsize
+    return out
+
+
+def _lines_and_counts(docs: DataFrame, similarity: float) -> DataFrame:
+    """Rows (doc_id, text_id, line, h, h2, n, raw) of the lines - h, h2 null for a line without words, raw the hash of its
+    bytes, line -1 for a text without lines -, and rows with `counts`: the lines of each token bucket in a scan
+    partition, in segments (line; n of the first: prefix rows)."""
+    lines = Lines()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, rows = np.zeros(1 << BUCKET_BITS, np.uint32), 0
+        names = ["doc_id", "text_id", "line", "h", "h2", "n", "raw", "counts"]
         for batch in batches:
-            ids = batch.column(0).cast(pa.int64())
+            ids, texts = batch.column(0).cast(pa.int64()), batch.column(2)
             data, offsets = arrow_bytes(batch.column(1))
-            none = np.flatnonzero(np.diff(offsets) == 0)
+            none = pa.array(np.flatnonzero(np.diff(offsets) == 0))
             if len(none):
-                yield rows(ids.take(pa.array(none)), np.full(len(none), -1), pa.nulls(len(none), pa.int64()), np.zeros(len(none)))
-            for i, j in slices(offsets):
-                row, number, own, cut, end, token, _ = lines(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], None)
-                h, n = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
-                h[own], n[own] = set_hashes(token, cut).view(np.int64), end - cut
+                null = pa.nulls(len(none), pa.int64())
+                zero = pa.array(np.zeros(len(none), np.int64))
+                yield pa.RecordBatch.from_arrays([ids.take(none), texts.take(none), pa.array(np.full(len(none), -1)), null, null, zero, zero, pa.nulls(len(none), pa.binary())], names=names)
+            for i, j in slices(offsets, SLICE):
+                part, off = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                row, number, begins, stops = lines.spans(part, off)
+                own, cut, end, token = lines.sets(lower_ascii(part), begins, stops, None)
+                h, h2, n = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
+                (h[own], h2[own]), n[own] = class_ids(token, cut), end - cut
                 _, first = np.unique(h[own], return_index=True)  # equal lines of a slice count once
                 size = (end - cut)[first]
-                place, times = np.unique(bucket(token[np.repeat(cut[first] - np.cumsum(size) + size, size) + np.arange(size.sum())]), return_counts=True)
+                rows += int((size - needed(size, similarity) + 1).sum())
+                place, times = np.unique((token[ranges(cut[first], size)] >> U64(64 - BUCKET_BITS)).astype(np.int64), return_counts=True)
                 counts[place] += times.astype(np.uint32)
-                yield rows(ids.take(pa.array(i + row)), number, pa.array(h, mask=n == 0), n)
+                at, raw = pa.array(i + row), lines.hash(part, begins, stops, exact=False).view(np.int64)
+                blank = n == 0
+                yield pa.RecordBatch.from_arrays([ids.take(at), texts.take(at), pa.array(number), pa.array(h, mask=blank), pa.array(h2, mask=blank), pa.array(n), pa.array(raw), pa.nulls(len(row), pa.binary())], names=names)
         packer = zstandard.ZstdCompressor(level=1)
+        null, total = pa.nulls(SEGMENTS, pa.int64()), np.zeros(SEGMENTS, np.int64)
+        total[0] = rows
         packed = [packer.compress(part.tobytes()) for part in counts.reshape(SEGMENTS, -1)]
-        yield rows(pa.nulls(SEGMENTS, pa.int64()), np.arange(SEGMENTS), pa.nulls(SEGMENTS, pa.int64()), np.zeros(SEGMENTS), pa.array(packed, pa.binary()))
+        yield pa.RecordBatch.from_arrays([null, null, pa.array(np.arange(SEGMENTS)), null, null, pa.array(total), null, pa.array(packed, pa.binary())], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, line long, h long, n long, counts binary")
+    return docs.select("doc_id", "text", text_id().alias("t")).mapInArrow(run, "doc_id long, text_id long, line long, h long, h2 long, n long, raw long, counts binary")
 
 
-def _token_counts(parts: DataFrame) -> np.ndarray:
-    """The counts of all buckets, from the partitions' (line: segment, counts)."""
+def text_id():
+    """Hash of a row's text, which tells rows of one doc_id apart."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint32).astype(np.int64) for raw in pdf["counts"])
-        return pd.DataFrame({"line": pdf["line"].iloc[:1], "counts": [np.minimum(total, (1 << 32) - 1).astype(np.uint32).tobytes()]})
 
-    out = np.zeros((SEGMENTS, (1 << BUCKET_BITS) // SEGMENTS), np.uint32)
-    for r in parts.groupBy("line").applyInPandas(merge, "line long, counts binary").toLocalIterator():
-        out[r["line"]] = np.frombuffer(r["counts"], np.uint32)
-    return out.reshape(-1)
+def _order(parts: DataFrame) -> tuple[Order, int]:
+    """The order by the sums of the partitions' counts (line: segment, n, counts), and the prefix rows. A task adds up
+    the counts of one segment at a time."""
 
+    def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total, rows, unpacker = None, None, 0, zstandard.ZstdDecompressor()
 
-def _prefixes(docs: DataFrame, order: Order, similarity: float, tile: int) -> DataFrame:
-    """key (a shared token of the line's prefix), tile, own, split, node (the line's hash), n, pos, bits (its signature):
-    one row a token, line and tile, once a slice.
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([at]), pa.array([rows]), pa.array([levels_of(total).tobytes()], pa.binary())], names=["line", "n", "counts"])
+
+        for batch in batches:
+            for k, n, raw in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                if k != at:
+                    if at is not None:
+                        yield done()
+                    at, total, rows = k, np.zeros((1 << BUCKET_BITS) // SEGMENTS, np.int64), 0
+                total += np.frombuffer(unpacker.decompress(raw), np.uint32)
+                rows += n
+        if at is not None:
+            yield done()
+
+    out, rows = np.zeros((SEGMENTS, (1 << BUCKET_BITS) // SEGMENTS), np.uint8), 0
+    for r in parts.repartition("line").sortWithinPartitions("line").mapInArrow(merge, "line long, n long, counts binary").toLocalIterator():
+        out[r["line"]] = np.frombuffer(r["counts"], np.uint8)
+        rows += r["n"]
+    return Order(out.reshape(-1)), rows
 
-    A token of at most `tile` lines is one tile. The lines of a larger one are cut by hash into `split` parts (own: the
-    line's), and each pair of parts is a tile, so a line goes to `split` tiles. Lines of up to 3 tokens are similar to
-    none but their equals."""
-    lines = Lines()
-    reach = 3 if similarity > 0.75 else 0
+
+def _prefixes(docs: DataFrame, keys: Keys, batches_: int) -> DataFrame:
+    """batch, rows: the prefix rows (COLUMNS) of the lines, once a slice, dealt by group to batches_ batches and packed.
+
+    Lines of up to 3 tokens (1 below a similarity of 0.75) are similar to none but their equals."""
+    lines, reach = Lines(), 3 if keys.similarity > 0.75 else 1
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, held, size = zstandard.ZstdCompressor(level=1), [], 0
+
+        def deal() -> pa.RecordBatch:
+            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+            to = (columns[0] % U64(batches_)).astype(np.int64)
+            place = np.lexsort((columns[1], columns[0], to))
+            key, node = columns[0][place], columns[1][place]
+            place = place[np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))]  # once a line
+            to, columns = to[place], [c[place] for c in columns]
+            cut = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
+            packed = [_packed(packer, [c[a:z] for c in columns]) for a, z in zip(cut.tolist(), [*cut[1:].tolist(), len(to)], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(to[cut]), pa.array(packed, pa.binary())], names=["batch", "rows"])
+
         for batch in batches:
             data, offsets = arrow_bytes(batch.column(0))
-            for i, j in slices(offsets):
-                _, _, own, cut, end, token, hashes = lines(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], order)
-                if not len(own):
-                    continue
-                h = set_hashes(hashes, cut)
-                bits = signatures(hashes, cut, end - cut)
-                _, once = np.unique(h, return_index=True)
+            for i, j in slices(offsets, SLICE):
+                part, off = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                _, _, begins, stops = lines.spans(part, off)
+                _, cut, end, token = lines.sets(lower_ascii(part), begins, stops, keys.order)
+                node, _ = class_ids(token, cut)
+                _, once = np.unique(node, return_index=True)
                 once = once[(end - cut)[once] > reach]
-                n = (end - cut)[once]
-                size = n - needed(n, similarity) + 1
-                line = np.repeat(once, size)
-                pos, n = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size), np.repeat(n, size)
-                count = order.counts[bucket(hashes[cut[line] + pos])].astype(np.int64)
-                keep = count > 1
-                line, pos, n = line[keep], pos[keep], n[keep]
-                split = -(-count[keep] // tile)
-                part = (mix64(h[line]) % split.astype(U64)).astype(np.int64)
-                other = np.arange(split.sum()) - np.repeat(np.cumsum(split) - split, split)
-                line, pos, n, part, split = (np.repeat(x, split) for x in (line, pos, n, part, split))
-                at = np.minimum(part, other) * split + np.maximum(part, other)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(token[cut[line] + pos].view(np.int64)), pa.array(at), pa.array(part.astype(np.int32)), pa.array(split.astype(np.int32)), pa.array(h[line].view(np.int64)), pa.array(n.astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(bits[line].view(np.int64))],
-                    names=["key", "tile", "own", "split", "node", "n", "pos", "bits"],
-                )
-
-    return docs.select("text").mapInArrow(run, "key long, tile long, own int, split int, node long, n int, pos int, bits long")
-
-
-def _live(rows: DataFrame, similarity: float) -> DataFrame:
-    """key, tile, own, split, node of the members that some other of their tile passes the filters with: length,
-    position, and signature (sets of n and m that differ in d tokens or more have an overlap of at most
-    (n + m - d) / 2)."""
+                if not len(once):
+                    continue
+                key, node, n, pos, bits = keys.rows(token, cut[once], end[once], node[once])
+                held.append((key, node, n.astype(np.uint32), pos.astype(np.uint32), *bits))
+                size += len(key)
+                if size >= HELD_ROWS:
+                    yield deal()
+                    held, size = [], 0
+        if size:
+            yield deal()
+
+    return docs.select("text").mapInArrow(run, "batch long, rows binary")
+
+
+def _live(dealt: DataFrame, similarity: float) -> DataFrame:
+    """key, node of the members of groups that some other of their group passes the filters with.
+
+    Length: the smaller set has at least `similarity` of the larger. Position and signature: what two lines have in
+    common, if this group's tokens are the first of it, are these and what the rest of both shares, at most half of what
+    the rests hold less the tokens that only one of them has. A group is sorted by length, so each member meets only
+    those of fitting length."""
+
+    def compared(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+        key, node, n, pos, *bits = (np.concatenate(c) for c in zip(*parts, strict=True))
+        place = np.lexsort((node, n, key))
+        key, node, n, pos, bits = key[place], node[place], n[place].astype(np.int64), pos[place].astype(np.int64), np.stack(bits)[:, place]
+        first = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))  # other slices' rows of a line
+        key, node, n, pos, bits = key[first], node[first], n[first], pos[first], bits[:, first]
+        keep, i, d = np.zeros(len(key), bool), np.arange(len(key)), 0
+        while len(i):
+            d += 1
+            i = i[i + d < len(key)]
+            j = i + d
+            go = (key[i] == key[j]) & (n[i] >= needed(n[j], similarity))
+            i, j = i[go], j[go]
+            least = overlap_needed(n[i], n[j], similarity)
+            some = np.flatnonzero(np.minimum(n[i] - pos[i], n[j] - pos[j]) >= least)
+            p, q = i[some], j[some]
+            good = (n[p] - pos[p] + n[q] - pos[q] - least_difference(bits[:, p], bits[:, q], n[p], n[q])) // 2 >= least[some]
+            keep[p[good]] = keep[q[good]] = True
+        return pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), pa.array(node[keep])], names=["key", "node"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in runs(batches, ["key", "tile", "own", "split", "node", "n", "pos", "bits"]):
-            key, at, own, split, node, n, pos, bits = (np.asarray(block.column(c), dtype=np.int64) for c in ("key", "tile", "own", "split", "node", "n", "pos", "bits"))
-            place = np.lexsort((node, at, key))
-            key, at, own, split, node, n, pos, bits = (x[place] for x in (key, at, own, split, node, n, pos, bits))
-            first = np.append(True, (key[1:] != key[:-1]) | (at[1:] != at[:-1]) | (node[1:] != node[:-1]))  # other slices' rows of a line
-            key, at, own, split, node, n, pos, bits = (x[first] for x in (key, at, own, split, node, n, pos, bits))
-            keep, bits, i, d = np.zeros(len(key), bool), bits.view(U64), np.arange(len(key)), 0
-            while len(i):
-                d += 1
-                i = i[i + d < len(key)]
-                i = i[(key[i] == key[i + d]) & (at[i] == at[i + d])]
-                j = i + d
-                low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-                # at its first common token a pair shares nothing before it, and it is counted only there
-                least = overlap_needed(low, high, similarity)
-                some = np.flatnonzero((low >= needed(high, similarity)) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= least))
-                p, q = i[some], j[some]
-                good = (n[p] + n[q] - least_difference(bits[p], bits[q], n[p], n[q])) // 2 >= least[some]
-                keep[p[good]] = keep[q[good]] = True
-            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(at[keep]), pa.array(own[keep].astype(np.int32)), pa.array(split[keep].astype(np.int32)), pa.array(node[keep])], names=["key", "tile", "own", "split", "node"])
-
-    return rows.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(run, "key long, tile long, own int, split int, node long")
-
-
-def _token_sets(docs: DataFrame, order: Order, wanted: np.ndarray) -> DataFrame:
-    """node, tokens of the lines whose hash is marked in the map `wanted`, once a slice."""
+        at, held = None, []
+        for batch in batches:
+            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if k != at and held:
+                    yield compared(held)
+                    held = []
+                at = k
+                held.append(_unpacked(raw.as_buffer()))
+        if held:
+            yield compared(held)
+
+    return dealt.repartition("batch").sortWithinPartitions("batch").mapInArrow(run, "key long, node long")
+
+
+def _marked(raw: DataFrame) -> np.ndarray:
+    """A map, 8 bits a byte, of the hashes raw: made by the executors, in parts of 4 KB."""
+    k = F.shiftrightunsigned("raw", 64 - MAP_BITS) + 1
+    parts = raw.groupBy(F.bitmap_bucket_number(k).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(k)).alias("bits"))
+    out = np.zeros((1 << MAP_BITS) // 32768 * 4096, np.uint8)
+    for r in parts.toLocalIterator():
+        out[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def _token_sets(docs: DataFrame, order: Order, marked: np.ndarray) -> DataFrame:
+    """node, node2, tokens, in order, of the lines whose bytes' hash is marked. Other lines' words are not looked at."""
     lines = Lines()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = arrow_bytes(batch.column(0))
-            for i, j in slices(offsets):
-                _, _, own, cut, end, token, hashes = lines(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], order)
-                h = set_hashes(hashes, cut)
-                _, once = np.unique(h, return_index=True)
-                once = once[wanted[(h[once] >> U64(64 - MAP_BITS)).astype(np.int64)]]
-                yield pa.RecordBatch.from_arrays([pa.array(h[once].view(np.int64)), pa.array([token[cut[k] : end[k]].tobytes() for k in once], pa.binary())], names=["node", "tokens"])
-
-    return docs.select("text").mapInArrow(run, "node long, tokens binary").groupBy("node").agg(F.first("tokens").alias("tokens"))
-
-
-def _verified(rows: DataFrame, similarity: float) -> DataFrame:
-    """node, links, later: for each line and group its links to other lines, and whether one of them comes first. A
-    pair is counted in the group of its first common token only."""
+            for i, j in slices(offsets, SLICE):
+                part, off = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                _, _, begins, stops = lines.spans(part, off)
+                raw = lines.hash(part, begins, stops, exact=False)
+                k = (raw >> U64(64 - MAP_BITS)).astype(np.int64)
+                _, once = np.unique(raw, return_index=True)
+                once = once[(marked[k[once] >> 3] >> (k[once] & 7).astype(np.uint8)) & 1 == 1]
+                if not len(once):
+                    continue
+                size = stops[once] - begins[once]
+                own = lower_ascii(part[ranges(begins[once], size)])
+                a = np.cumsum(size) - size
+                _, cut, end, token = lines.sets(own, a, a + size, order)
+                node, node2 = class_ids(token, cut)
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(node2), pa.array([token[a:z].tobytes() for a, z in zip(cut.tolist(), end.tolist(), strict=True)], pa.binary())], names=["node", "node2", "tokens"])
+
+    return docs.select("text").mapInArrow(run, "node long, node2 long, tokens binary").groupBy("node", "node2").agg(F.first("tokens").alias("tokens"))
+
+
+class Sets:
+    """Token sets of some members, their tokens coded by the order."""
+
+    def __init__(self, raw: list[bytes], order: Order):
+        coded = pa.array(np.frombuffer(b"".join(raw), U64)).dictionary_encode()
+        names = coded.dictionary.to_numpy()
+        place = np.lexsort((names, order.level(names)))
+        rank = np.empty(len(names), np.int64)
+        rank[place] = np.arange(len(names))
+        self.names, self.token = names[place], rank[coded.indices.to_numpy()]
+        self.sizes = np.array([len(x) // 8 for x in raw], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def common(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How many tokens each pair has in common, and the first two of them (anything where there are fewer)."""
+        pair = np.arange(len(i))
+        own = np.concatenate([(np.repeat(pair, self.sizes[x]) << 32) | self.token[ranges(self.starts[x], self.sizes[x])] for x in (i, j)])
+        own.sort()
+        both = np.append(own[:-1][own[1:] == own[:-1]], 0)
+        head = np.searchsorted(both[:-1], pair << 32)
+        code = both & 0xFFFFFFFF
+        return np.diff(np.append(head, len(both) - 1)), self.names[code[head]], self.names[code[np.minimum(head + 1, len(both) - 1)]]
+
+    def candidates(self, a: int, z: int, similarity: float, strip: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of the members [a, z) that are similar enough, by products of bounded tiles."""
+        names, column = np.unique(self.token[self.starts[a] : self.starts[z - 1] + self.sizes[z - 1]], return_inverse=True)
+        sizes = self.sizes[a:z]
+        owner = np.repeat(np.arange(z - a), sizes)
+        for k in range(0, z - a, strip):
+            top = min(k + strip, z - a)
+            shared = np.zeros((top - k, z - a - k), np.float32)
+            for c in range(0, len(names), 2048):
+                on = (column >= c) & (column < c + 2048) & (owner >= k)
+                m = np.zeros((z - a - k, min(2048, len(names) - c)), np.float32)
+                m[owner[on] - k, column[on] - c] = 1
+                shared += m[: top - k] @ m.T
+            i, j = np.nonzero(shared >= overlap_needed(sizes[k:top, None], sizes[None, k:], similarity))
+            yield i[i < j] + k + a, j[i < j] + k + a
+
+
+def _verified(rows: DataFrame, keys: Keys) -> DataFrame:
+    """node, node2, links, later: for each line and group its links to other lines, and whether one of them comes first.
+    A pair counts in the group of its first common tokens only."""
+    names = ["key", "node", "node2", "doc", "text_id", "line", "tokens"]
+
+    def block(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        sets = Sets(t.column("tokens").to_pylist(), keys.order)
+        key, node, node2, doc, text, line = (np.asarray(t.column(c), dtype=np.int64) for c in names[:6])
+        links, later = np.zeros(len(node), np.int64), np.zeros(len(node), bool)
+        place = np.empty(len(node), np.int64)
+        place[np.lexsort((line, text, doc))] = np.arange(len(node))
+
+        def count(i: np.ndarray, j: np.ndarray) -> None:
+            for k in range(0, len(i), PAIRS):
+                p, q = i[k : k + PAIRS], j[k : k + PAIRS]
+                shared, first, second = sets.common(p, q)
+                own = shared >= np.maximum(1, overlap_needed(sets.sizes[p], sets.sizes[q], keys.similarity))
+                p, q, first, second = p[own], q[own], first[own], second[own]
+                own = keys.of_pair(first, second, node[p], node[q]) == key[p].view(U64)
+                p, q = p[own], q[own]
+                nonlocal links
+                links += np.bincount(p, minlength=len(node)) + np.bincount(q, minlength=len(node))
+                later[np.where(place[p] > place[q], p, q)] = True
+
+        cut = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        size = np.diff(np.append(cut, len(key)))
+        large = np.repeat(size > FEW, size)
+        i, d = np.flatnonzero(~large), 0
+        while len(i):
+            d += 1
+            i = i[i + d < len(key)]
+            i = i[key[i] == key[i + d]]
+            low, high = np.minimum(sets.sizes[i], sets.sizes[i + d]), np.maximum(sets.sizes[i], sets.sizes[i + d])
+            fit = i[low >= needed(high, keys.similarity)]
+            count(fit, fit + d)
+        for a, z in zip(cut[size > FEW].tolist(), (cut + size)[size > FEW].tolist(), strict=True):
+            for i, j in sets.candidates(a, z, keys.similarity):
+                count(i, j)
+        some = links > 0
+        return pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(node2[some]), pa.array(links[some]), pa.array(later[some])], names=["node", "node2", "links", "later"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in runs(batches, ["key", "tile", "node", "own", "split", "doc", "line", "tokens"]):
-            key, at, node, own, split, doc, line = (np.asarray(block.column(c), dtype=np.int64) for c in ("key", "tile", "node", "own", "split", "doc", "line"))
-            links, later = np.zeros(len(node), np.int64), np.zeros(len(node), bool)
-            for a, b in groups_of(block):
-                sets = [np.frombuffer(t, U64) for t in block.column("tokens").slice(a, b - a).to_pylist()]
-                sizes = np.array([len(s) for s in sets])
-                names, column = np.unique(np.concatenate(sets), return_inverse=True)
-                here = int(np.searchsorted(names, np.int64(key[a]).astype(U64)))
-                owner = np.repeat(np.arange(b - a), sizes)
-                shared, before = np.zeros((b - a, b - a), np.float32), np.zeros((b - a, b - a), np.float32)
-                for c in range(0, len(names), 2048):  # a strip of the tokens at a time
-                    on = (column >= c) & (column < c + 2048)
-                    m = np.zeros((b - a, min(2048, len(names) - c)), np.float32)
-                    m[owner[on], column[on] - c] = 1
-                    shared += m @ m.T
-                    if c < here:
-                        m[:, max(0, here - c) :] = 0
-                        before += m @ m.T
-                total = sizes[:, None] + sizes[None, :]
-                link = (shared >= overlap_needed(sizes[:, None], sizes[None, :], similarity)) & (shared < total - shared) & (before == 0)
-                if split[a] > 1:  # two parts of a large group: within a part only where it meets itself
-                    part = own[a:b]
-                    link &= (part[:, None] != part[None, :]) | bool((part == part[0]).all() and at[a] == part[0] * split[a] + part[0])
-                links[a:b] = link.sum(axis=1)
-                earlier = (doc[a:b][None, :] < doc[a:b][:, None]) | (doc[a:b][None, :] == doc[a:b][:, None]) & (line[a:b][None, :] < line[a:b][:, None])
-                later[a:b] = (link & earlier).any(axis=1)
-            some = links > 0
-            yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(links[some]), pa.array(later[some])], names=["node", "links", "later"])
-
-    return rows.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(run, "node long, links long, later boolean")
-
-
-def line_decisions(docs: DataFrame, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
-    """doc_id, line, n (its tokens), removed, links of each line of docs (doc_id, text); line -1 stands for a text
-    without lines (null or empty).
+        held, size = [], 0
+        for batch in batches:
+            batch = batch.select(names)
+            key = np.asarray(batch.column(0), dtype=np.int64)
+            cut = np.flatnonzero(np.append(False, key[1:] != key[:-1])).tolist() if len(key) else []
+            if held and len(key) and np.asarray(held[-1].column(0), dtype=np.int64)[-1] != key[0]:
+                cut = [0, *cut]
+            a = 0
+            for z in [c for k, c in enumerate(cut) if size + c - a >= MEMBERS or k == len(cut) - 1]:
+                if z > a:
+                    held.append(batch.slice(a, z - a))
+                    size += z - a
+                if size >= MEMBERS:
+                    yield block(held)
+                    held, size = [], 0
+                a = z
+            if a < len(key):
+                held.append(batch.slice(a))
+                size += len(key) - a
+        if held:
+            yield block(held)
+
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "node long, node2 long, links long, later boolean")
+
+
+def line_decisions(docs: DataFrame, similarity: float = SIMILARITY, tile: int = TILE, hot: int = HOT, batch_rows: int = BATCH_ROWS) -> DataFrame:
+    """doc_id, text_id, line, n (its tokens), removed, links of each line of docs (doc_id, text); line -1 stands for a
+    text without lines (null or empty).
 
     A line's tokens are the set of its lower-case words. Lines with equal sets are one class; classes with a Jaccard
-    index of at least `similarity` are linked. A line is removed if a line of its class or of a linked class comes
-    before it, by doc_id (null last), then line number; links counts the other classes that are linked. Lines without
-    words stay. Repeated rows are the same lines. Other columns are not read; an empty table gives no rows.
-
-    Classes are joined on the tokens of their prefixes, rare tokens first; a group of a token is compared in tiles of
-    bounded size, with length, position and signature filters; for members that pass, the token sets are fetched and
-    links verified. Each step emits at most one row a member and group.
+    index of at least `similarity` (over 0.5) are linked. A line is removed if a line of its class or of a linked class
+    comes before it, by doc_id (null last), text_id (the text's hash), then line number; links counts the other classes
+    that are linked. Lines without words stay. Rows that agree in doc_id and text are the same lines, and each gives its
+    rows; texts of one doc_id, or without one, are decided each on its own. Other columns are not read; an empty table
+    gives no rows.
+
+    Classes meet in the groups of the tokens of their prefixes, rare tokens first. A token that many lines have is a key
+    only with the next token of a prefix that is one longer; groups that may still be large are cut into parts. Length,
+    position and signature filters leave few members; for these the token sets are fetched and links verified. Each step
+    emits at most one row a member and group.
     """
-    both = stash(_lines_and_counts(docs), "lines")
-    order = Order(_token_counts(both.where("counts IS NOT NULL").select("line", "counts")))
+    if not 0.5 < similarity <= 1:
+        raise ValueError("the similarity has to be above 0.5")
+    both = stash(_lines_and_counts(docs, similarity), "lines")
+    order, rows = _order(both.where("counts IS NOT NULL").select("line", "n", "counts"))
+    keys = Keys(order, similarity, hot, tile)
     last = F.lit((1 << 63) - 1)
-    lines = both.where("counts IS NULL").select("doc_id", "line", "h", "n")
-    first = lines.where("h IS NOT NULL").groupBy("h").agg(F.min(F.struct(F.coalesce("doc_id", last).alias("doc"), "line")).alias("first"))
-    live = stash(_live(_prefixes(docs, order, similarity, tile), similarity), "live")
-    wanted = np.zeros(1 << MAP_BITS, bool)
-    marks = live.select(F.shiftrightunsigned("node", 64 - MAP_BITS).alias("k")).distinct().toArrow()
-    wanted[marks.column(0).to_numpy()] = True
-    sets = _token_sets(docs, order, wanted)
-    members = live.join(sets, "node").join(first, F.col("node") == F.col("h")).select("key", "tile", "own", "split", "node", "first.doc", F.col("first.line").alias("line"), "tokens")
-    found = _verified(members, similarity).groupBy("node").agg(F.sum("links").alias("links"), F.max("later").alias("later"))
-    classes = first.join(found.withColumnRenamed("node", "h"), "h", "left")
-    placed = lines.join(classes, "h", "left")
-    again = (F.coalesce("doc_id", last) != F.col("first.doc")) | (F.col("line") != F.col("first.line"))
-    return placed.select("doc_id", "line", "n", F.coalesce(again | F.coalesce("later", F.lit(False)), F.lit(False)).alias("removed"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    lines = both.where("counts IS NULL").select("doc_id", "text_id", "line", "h", "h2", "n", "raw")
+    place = F.struct(F.coalesce("doc_id", last).alias("doc"), "text_id", "line", "raw")
+    first = lines.where("h IS NOT NULL").groupBy("h", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times"))
+    first = stash(first.select("h", "h2", "first.*", "times"), "classes")
+    live = stash(_live(_prefixes(docs, keys, max(1, -(-rows // batch_rows))), similarity), "live")
+    wanted = first.join(live.select(F.col("node").alias("h")).distinct(), "h", "left_semi")
+    sets = _token_sets(docs, order, _marked(wanted))
+    placed = wanted.select(F.col("h").alias("node"), F.col("h2").alias("node2"), "doc", "text_id", "line")
+    members = live.join(placed, "node").join(sets, ["node", "node2"]).select("key", "node", "node2", "doc", "text_id", "line", "tokens")
+    found = _verified(members, keys).groupBy("node", "node2").agg(F.sum("links").alias("links"), F.max("later").alias("later"))
+    found = stash(found.select(F.col("node").alias("h"), F.col("node2").alias("h2"), "links", "later"), "line-links")
+    classes = first.join(found, ["h", "h2"], "left").where("times > 1 OR links > 0").drop("raw").withColumnsRenamed({"text_id": "own_text", "line": "own_line"})
+    common = F.broadcast(classes.where(F.col("times") * COMMON > both.count()))
+    worded = lines.where("h IS NOT NULL").drop("raw")
+    often = worded.join(common, ["h", "h2"])
+    seldom = worded.join(common.select("h", "h2"), ["h", "h2"], "left_anti").join(classes, ["h", "h2"], "left")
+    blank = lines.where("h IS NULL").drop("raw")
+    again = (F.coalesce("doc_id", last) != F.col("doc")) | (F.col("text_id") != F.col("own_text")) | (F.col("line") != F.col("own_line"))
+    decided = often.unionByName(seldom).unionByName(blank, allowMissingColumns=True)
+    return decided.select("doc_id", "text_id", "line", "n", F.coalesce(again | F.coalesce("later", F.lit(False)), F.lit(False)).alias("removed"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
 
 
 def by_document(decisions: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_removed, n_links, removed_lines (ascending): one row a doc_id."""
-    return decisions.groupBy("doc_id").agg(
-        F.count_if(F.col("line") >= 0).alias("n_lines"),
-        F.count_if("removed").alias("n_removed"),
-        F.sum("links").alias("n_links"),
-        F.array_sort(F.collect_set(F.when(F.col("removed"), F.col("line")))).alias("removed_lines"),
-    )
+    """doc_id, text_id, n_lines, n_removed, n_links, removed_lines (ascending): one row for rows of one doc_id and text."""
+    gone = F.collect_set(F.when(F.col("removed"), F.col("line")))
+    rows = decisions.groupBy("doc_id", "text_id").agg((F.max("line") + 1).alias("n_lines"), F.sum("links").alias("links"), F.count_if(F.col("line") <= 0).alias("rows"), F.array_sort(gone).alias("removed_lines"))
+    return rows.select("doc_id", "text_id", "n_lines", F.size("removed_lines").cast("long").alias("n_removed"), F.expr("links div rows").alias("n_links"), "removed_lines")
 
 
 def without_repeats(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """docs with the removed lines taken out of text; all columns and rows stay. Null text stays null."""
-    gone = by_document(line_decisions(docs, similarity)).where("n_removed > 0").select(F.col("doc_id").alias("__id"), F.col("removed_lines").alias("__gone"))
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("__gone", i.cast("long"))), "\n")
-    return joined.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
+    """docs with the removed lines taken out of text; all columns and rows stay. Null text stays null. Repeated rows lose
+    the same lines."""
+    id_, text, gone = (fresh_name(docs, c) for c in ("id", "text", "gone"))
+    lost = by_document(line_decisions(docs, similarity)).where("n_removed > 0").select(F.col("doc_id").alias(id_), F.col("text_id").alias(text), F.col("removed_lines").alias(gone))
+    joined = docs.join(lost, F.col("doc_id").eqNullSafe(F.col(id_)) & (text_id() == F.col(text)), "left")
+    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(gone, i.cast("long"))), "\n")
+    return joined.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return by_document(line_decisions(table(spark, sf_dir, "documents")))
+    """Every line of documents decided: one row a document, as by_document; cases as in line_decisions."""
+    return by_document(line_decisions(table(spark, sf_dir, "documents"))).drop("text_id")

@@ -6,6 +6,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
 
 U64 = np.uint64
 #: Bytes of text that are handled at once in a worker; a longer document is handled alone.
@@ -83,17 +85,34 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(32))
 
 
+#: Spans of more bytes than this have a hash of their own: a polynomial modulo 2**64 has built collisions from about
+#: 1000 bytes on.
+LONG_SPAN = 64
+
+
 class SpanHasher:
-    """64-bit hashes of byte spans, by prefix sums of a polynomial; equal spans have equal hashes."""
+    """64-bit hashes of byte spans, by prefix sums of a polynomial, of long spans by XXH64; equal spans have equal hashes.
+    Not exact: the polynomial for all, for marks that need not tell all spans apart."""
 
     def __init__(self) -> None:
         self.up = self.down = np.ones(1, U64)
 
-    def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, exact: bool = True) -> np.ndarray:
         n = len(data)
         if n >= len(self.up):
             size = max(n + 1, SLICE_BYTES + 1)
             self.up, self.down = (np.multiply.accumulate(np.concatenate(([U64(1)], np.full(size, r, U64)))) for r in (_R, _R_INV))
         sums = np.zeros(n + 1, U64)
         np.cumsum((data.astype(U64) + U64(1)) * self.up[:n], out=sums[1:])
-        return mix64((sums[ends] - sums[starts]) * self.down[starts] + (ends - starts).astype(U64))
+        out = mix64((sums[ends] - sums[starts]) * self.down[starts] + (ends - starts).astype(U64))
+        for k in np.flatnonzero(ends - starts > LONG_SPAN).tolist() if exact else ():
+            out[k] = xxhash.xxh64_intdigest(data[starts[k] : ends[k]].tobytes(), int(ends[k] - starts[k]))
+        return out
+
+
+def fresh_name(df: DataFrame, stem: str) -> str:
+    """A column name that df has not, in any case."""
+    name, taken = f"__{stem}", {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
