@@ -1,9 +1,11 @@
 import html
+import random
 import re
+import time
 
 import pytest
 
-from sonolith.llm.html_text import extract, main_text
+from sonolith.llm.html_text import LINKS, LONG, SHORT, STOP_HIGH, STOP_LOW, STOP_WORDS, _inside, classify, extract, main_text, parse
 
 PROSE = "The rain in the town falls on the roofs of the houses that are by the river and it is not going to stop for some days."
 
@@ -73,6 +75,91 @@ LAYOUTS = [
 ]
 
 
+LAYOUTS += [
+    f'<body class="single-post has-sidebar"><article><p>{PROSE}</p></article></body>',
+    f'<div class="layout no-sidebar"><article><p>{PROSE}</p></article></div>',
+    f'<article class="post category-social"><p>{PROSE}</p></article>',
+    f'<div class="header-box"><p>{PROSE}</p></div><p>Short</p><a href=x>More</a>',
+    f'<form action="/post"><div><p>{PROSE}</p></div><input type=text></form>',
+    f'<article><p>{PROSE}</p><article><p>{PROSE}</p></article></article>',
+    f'<article><p class="x>{PROSE}</p></article>',
+    f"<article><p title=it's>{PROSE}</p></article>",
+    f"<article><p title='a > b' data-x=\"<i>\">{PROSE}</p></article>",
+]
+
+
 @pytest.mark.parametrize("page", LAYOUTS)
 def test_names_of_layouts_do_not_hide_the_article(page):
     assert main_text(page) == PROSE
+
+
+def test_header_of_an_article_is_a_part_of_it():
+    assert main_text(f"<header><h1>Site</h1></header><article><header><h1>Head</h1></header><p>{PROSE}</p><footer>Tags</footer></article>") == "Head\n" + PROSE
+
+
+def test_a_teaser_is_not_the_article():
+    page = f'<div class="content"><h1>Head</h1><p>{PROSE}</p><p>Short.</p><p>{PROSE}</p></div><article><h2>Other</h2><p>It is a teaser.</p></article>'
+    assert main_text(page) == f"Head\n{PROSE}\nShort.\n{PROSE}"
+
+
+def test_text_decides_inside_an_article():
+    link = '<p><a href="x">The other things that you may read of</a></p>'
+    page = f"<article><h1>Head</h1><p>Short.</p><p>{PROSE}</p>{link}<p>After the links.</p><p>{PROSE}</p></article><div>{PROSE} We use it.</div>"
+    assert main_text(page) == f"Head\nShort.\n{PROSE}\nAfter the links.\n{PROSE}"
+
+
+def naive(found, inside):
+    """The two passes by the definition: every block against every other one."""
+    scores = []
+    for k, b in enumerate(found):
+        words = b.text.split()
+        links = b.link_chars / max(1, sum(len(w) for w in words))
+        stop = sum(w.strip(".,;:!?").lower() in STOP_WORDS for w in words) / max(1, len(words))
+        prose = not b.heading and links <= LINKS and (len(words) >= LONG and stop >= STOP_LOW or len(words) >= SHORT and stop >= STOP_HIGH)
+        score = -2 if not b.heading and SHORT <= len(words) < LONG and stop < STOP_LOW else 0
+        score = (3 if len(words) >= LONG and stop >= STOP_HIGH else 2) if prose else score
+        score = -3 if links > LINKS and not (inside and inside[k] and len(words) > LONG) else score
+        scores.append(score + (0 if not inside else 1 if inside[k] else -2))
+    first = [False if b.side or s <= -2 else True if s >= 2 else None for b, s in zip(found, scores)]
+    out = []
+    for k, b in enumerate(found):
+        if first[k] is not None:
+            out.append(first[k])
+            continue
+        own = [j for j in range(len(found)) if not inside or inside[j] == inside[k] and not found[j].side]
+        prior = inside[k] if inside else None
+        near = {}
+        for j in own:
+            if first[j] is not None:
+                step = abs(own.index(j) - own.index(k))
+                side = (near.get(j < k) or (len(found), None))[0]
+                if step < side:
+                    near[j < k] = (step, first[j])
+        far = {side: (step * (3 if prior is not None and said != prior else 1), said) for side, (step, said) in near.items()}
+        least = min((step for step, _ in far.values()), default=None)
+        said = {x for step, x in far.values() if step == least}
+        out.append(prior is not False if not said else said.pop() if len(said) == 1 else prior if prior is not None else b.heading and far[False][1])
+    return out
+
+
+def test_two_passes_against_the_definition():
+    rng, ways = random.Random(3), set()
+    for _ in range(400):
+        parts = []
+        for _ in range(rng.randint(1, 14)):
+            words = " ".join(rng.choice(["the", "of", "it", "stone", "river", "cloud", "blue", "seven"][rng.choice([0, 3]) :]) for _ in range(rng.choice([2, 5, 12, 20, 40])))
+            parts.append(rng.choice(["<p>{}</p>", "<p>{}</p>", "<h2>{}</h2>", "<div><a href=x>{}</a></div>", "<div class=ad>{}</div>", "<div>{}</div>", "<article><p>{}</p></article>", "</div><div class=content>{}"]).format(words))
+        page = parse("".join(parts))
+        got = classify(page)
+        inside = _inside(page)
+        assert got == naive(page.blocks, inside)
+        ways.add((inside is None, tuple(got)))
+    assert len(ways) > 100
+
+
+@pytest.mark.parametrize("junk", ["<a ", '<a href="', "<p class='x", "<div class=ad>", "<div></ul>", "<script ", "&am", "</", "<article><p>a ", "<!-", '<a b="c" ', "<p title=it's>"])
+def test_time_in_proportion(junk):
+    """3 MB of malformed input; a step that went back over it would take an hour."""
+    began = time.monotonic()
+    main_text(junk * (3_000_000 // len(junk)) + '"')
+    assert time.monotonic() - began < 60
