@@ -1,10 +1,13 @@
+import hashlib
+import heapq
 import random
 
 import duckdb
 import pandas as pd
 from pyspark.sql import functions as F
 
-from sonolith.llm.mixing import OP5_SQL, mix_plan, mixed
+from sonolith.llm import mixing
+from sonolith.llm.mixing import OP5_SQL, PACKET, mix_plan, mixed
 
 
 def brute_targets(sizes):
@@ -24,13 +27,42 @@ def brute_targets(sizes):
     return target
 
 
+def brute_taken(data, target):
+    """Words taken of each row, by serving packet after packet from a heap of the sources' next ones."""
+    size = [len((t or "").encode().split()) for _, t, _, _ in data]
+    key = lambda i: (hashlib.md5(f"{f'null{size[i]}' if data[i][0] is None else data[i][0]}:mix".encode()).hexdigest(), data[i][0] or 0, size[i])
+    heap, taken, left = [], [0] * len(data), int(1.5 * sum(size))
+    for s in target:
+        own = sorted((i for i in range(len(data)) if data[i][2] == s), key=key)
+        packets = iter([(i, min(PACKET, size[i] - k)) for _ in range(2) for i in own for k in range(0, size[i], PACKET)])
+        heap.append([0, s is None, s or "", 0, packets, None])
+    queue = []
+
+    def push(entry):
+        at = entry[3]
+        for i, n in entry[4]:
+            heapq.heappush(queue, [(at + n) / target[None if entry[1] else entry[2]], entry[1], entry[2], at + n, entry[4], (i, n)])
+            break
+
+    for entry in heap:
+        push(entry)
+    while left and queue:
+        entry = heapq.heappop(queue)
+        i, n = entry[5]
+        taken[i] += min(n, left)
+        left -= min(n, left)
+        push(entry)
+    return taken
+
+
 def rows(n, seed):
     rng = random.Random(seed)
     out = [(i, " ".join(["w"] * rng.randint(0, 40)), rng.choice(["a", "a", "a", "b", "é", "Z", None, "zz"]), "x") for i in range(n)]
     return out + [(n, None, "a", "x"), (n + 1, "", "only-empty", "x"), (None, "null id", "b", "x"), out[3], out[3], (n + 2, "w\x0bw w " * 9000, "b", "x")]
 
 
-def test_plan(spark):
+def test_plan(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_PACKETS", 16)
     for n, seed in ((400, 1), (7, 2)):
         data = rows(n, seed)
         df = spark.createDataFrame(data, "doc_id long, text string, source string, size string")
@@ -46,8 +78,10 @@ def test_plan(spark):
             s = None if s == "None" else s
             assert abs(part.target.iloc[0] - want[s]) < 1e-6 * max(1, want[s])
             assert part.source_size.iloc[0] == size[s]
-            assert 0 <= want[s] - part.taken.sum() < 1
-        assert (got.taken <= 2 * got["size"]).all()
+            assert abs(want[s] - part.taken.sum()) <= 2 * PACKET
+        assert (got.taken <= 2 * got["size"]).all() and got.taken.sum() == int(1.5 * sum(size.values()))
+        served = sorted((-1 if d is None else d, len((t or "").encode().split()), n) for (d, t, _, _), n in zip(data, brute_taken(data, want), strict=True))
+        assert served == sorted((-1 if pd.isna(d) else int(d), int(z), int(n)) for d, z, n in zip(got.doc_id, got["size"], got.taken, strict=True))
         finish = got.finish.dropna()
         assert (finish.diff().dropna() >= 0).all()
         again = mix_plan(df.repartition(7)).toPandas()
@@ -67,7 +101,7 @@ def test_against_sql(spark):
 
 def test_documents(spark):
     data = rows(500, 9)
-    df = spark.createDataFrame(data, "doc_id long, text string, source string, taken string")
+    df = spark.createDataFrame(data, "doc_id long, text string, source string, __SIZE string")
     out = mixed(df)
     assert out.columns == df.columns
     seen = out.groupBy("doc_id").count().where("count > 2 and doc_id <> 3").count()
