@@ -8,20 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Paths that stash() wrote in this process, in order.
 STASHED: list[str] = []
-FALLBACK_SHARED = "/tmp/checkpoints/sonolith"  # used only where the cluster names no shared folder
+LOCAL_SHARED = "/tmp/checkpoints/sonolith"  # of a local session that names no folder: there is no other machine
 
 
 def build_session(cores: int | str = "*", **conf: str) -> SparkSession:
-    """A local session with the settings the queries assume."""
+    """A local session; conf: further settings. The number of shuffle partitions and the memory are left to Spark."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("sonolith")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", "12g")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -34,8 +32,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_SHARED
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session can do without."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return named or LOCAL_SHARED
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """path with the scheme of the file system that Spark takes it from."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toUri().toString()
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:

@@ -56,7 +56,7 @@ def main():
     from sonolith.session import build_session
 
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    spark = build_session(4)
+    spark = build_session(4, **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"})
     spark.sparkContext.setLogLevel("ERROR")
     con, sqls, failed = connect(sf_dir), entry.oracle_sql(), 0
     for name, query in entry.queries().items():
