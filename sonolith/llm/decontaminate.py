@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sonolith.llm.textops import U64, SpanHasher, arrow_bytes, lower_ascii, mix64, slices, word_spans
-from sonolith.session import table
+from sonolith.session import discard, stash, table
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -165,8 +165,8 @@ def search_row(shingles: np.ndarray, hits: np.ndarray, items: Items, similarity:
     return sorted((items.ids[k], at, size + items.width - 1, s) for k, (s, at, size) in best.items())
 
 
-def find_matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with contamination: array of (item_id, start, n_words, similarity), for each item of benchmark (item_id,
+def find_matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, block_bytes: int = BLOCK_BYTES, name: str = "contamination") -> DataFrame:
+    """docs with a column of that name: array of (item_id, start, n_words, similarity), for each item of benchmark (item_id,
     text) its best window in the text, if similar enough; start counts words.
 
     Words are runs of letters and digits in lower case, shingles are five words (an item of fewer words is one
@@ -176,27 +176,31 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     hold too few shingles of any item to reach the similarity are passed over, as they cannot match.
 
     Null or empty text has no match; items with null id, null text or no words are left out; of repeated items each
-    matches. All columns of docs stay; repeated rows stay; an empty table gives no rows. Narrow: no shuffle of docs;
-    items are shipped in blocks of at most block_bytes of text (one larger item is a block), found by a prefix sum of
-    their sizes.
+    matches. All columns of docs stay, but one of that name is replaced; repeated rows stay; an empty table gives
+    no rows. Narrow: no shuffle of docs. Items are dealt by hash to blocks of about block_bytes of text; the driver and
+    each worker hold one block at a time, and docs are written between two blocks.
     """
     texts = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text")
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = -(-total // block_bytes)
-    out = docs.drop("contamination").withColumn("contamination", F.array().cast(f"array<struct<{MATCH}>>".replace(" ", ":").replace(",:", ",")))
+    out = docs.drop(name).withColumn(name, F.array().cast(f"array<struct<{MATCH}>>".replace(" ", ":").replace(",:", ",")))
     for k in range(parts):
         block = sorted((r["item_id"], r["text"]) for r in texts.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect())
-        out = _search(out, index_items(block, radius), similarity)
+        read, out = out, _search(out, index_items(block, radius), similarity, name)
+        if k < parts - 1:
+            out = stash(out, "searched")
+            if k:
+                discard(read)
     return out
 
 
-def _search(docs: DataFrame, found: list[Items], similarity: float) -> DataFrame:
+def _search(docs: DataFrame, found: list[Items], similarity: float, name: str) -> DataFrame:
     hasher = SpanHasher()
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("n_words", pa.int32()), ("similarity", pa.float64())]))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index("contamination")
+            at = batch.schema.get_field_index(name)
             data, offsets = arrow_bytes(batch.column(batch.schema.get_field_index("text")))
             got: dict[int, list] = defaultdict(list)
             for i, j in slices(offsets):
@@ -225,6 +229,7 @@ def _search(docs: DataFrame, found: list[Items], similarity: float) -> DataFrame
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's windows that match a benchmark item; cases as in find_matches()."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = find_matches(docs, table(spark, sf_dir, "benchmark")).select("doc_id", F.explode("contamination").alias("m"))
     return found.select("doc_id", "m.item_id", F.col("m.start").alias("start_word"), "m.n_words", "m.similarity")

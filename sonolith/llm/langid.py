@@ -179,32 +179,33 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageModel | No
     return LanguageModel(classes, weights, idf.astype(np.float32), temperature)
 
 
-def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
-    """docs with lang_pred and lang_score: the likeliest learned language of each whole text and its calibrated
-    probability. Null text, text without letters, or no model: "und", 0.0. All columns of docs stay; nothing but text
-    is read. Narrow: no shuffle; the model has a fixed size."""
+def identify(docs: DataFrame, model: LanguageModel | None, names: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
+    """docs with columns of these names: the likeliest learned language of each whole text and its calibrated
+    probability. Null text, text without letters, or no model: "und", 0.0. All columns of docs stay, but those of these
+    names are replaced; nothing but text is read. Narrow: no shuffle; the model has a fixed size."""
     featurize = Featurizer()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
-            names, scores = [], []
+            said, scores = [], []
             for text in batch.column(batch.schema.get_field_index("text")).to_pylist():
                 index, counts = featurize(text or "")
                 if model is None or not len(index):
-                    names.append(UNKNOWN)
+                    said.append(UNKNOWN)
                     scores.append(0.0)
                     continue
                 s = model.logits(index, counts).astype(float) / model.temperature
                 best = int(s.argmax())
-                names.append(model.classes[best])
+                said.append(model.classes[best])
                 scores.append(float(1 / np.exp(s - s[best]).sum()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "lang_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(said, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, *names])
 
-    clear = docs.drop("lang_pred", "lang_score")
-    return clear.mapInArrow(run, T.StructType([*clear.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())]))
+    clear = docs.drop(*names)
+    return clear.mapInArrow(run, T.StructType([*clear.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; cases as in train() and identify()."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", fold("doc_id", 4) == 2)
     model = train(docs.where(~F.col("held_out")))
     return identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))

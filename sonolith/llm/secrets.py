@@ -75,4 +75,5 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document; cases as in scan_secrets()."""
     return digest(scan_secrets(table(spark, sf_dir, "documents")))

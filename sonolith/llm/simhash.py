@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonolith.llm.components import components
+from sonolith.llm.components import components, meet
 from sonolith.llm.textops import U64, arrow_bytes, lower_ascii
 from sonolith.session import stash, table
 
@@ -140,14 +140,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
     columns are not read. An empty table gives no rows.
     """
     own = stash(fingerprints(docs, shingle), "fingerprints")
-    nodes = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    nodes = stash(own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
     member = components(links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp")
     rooted = nodes.join(member, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = rooted.select("fp", "root").join(lowest, "root").select("fp", "component_id")
-    return own.join(of, "fp").select("doc_id", "fp", "component_id")
+    lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    of = meet(rooted.select("fp", "root", F.col("n").alias("copies")), lowest, "root", nodes.count()).select("fp", "component_id", F.col("copies").alias("n"))
+    return meet(own, of, "fp", own.count()).select("doc_id", "fp", "component_id")
 
 
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; cases as in near_duplicates()."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

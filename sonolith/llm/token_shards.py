@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sonolith.llm.textops import U64, mix64, parts
-from sonolith.session import discard, fresh_path, stash, table
+from sonolith.session import discard, fresh_path, qualified, stash, table
 
 #: Where the vocabulary lies, and the id that ends a document and fills the last sequence.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -281,5 +281,5 @@ def read_slots(path: str, start: int, count: int) -> np.ndarray:
 
 
 def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = fresh_path(spark, "token-shards")
-    return token_shards(table(spark, sf_dir, "documents"), path if "://" in path or path.startswith("file:") else f"file://{path}")
+    """Shards of every document in the shared folder; cases as in token_shards()."""
+    return token_shards(table(spark, sf_dir, "documents"), qualified(spark, fresh_path(spark, "token-shards")))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sonolith.llm.langid import fold
-from sonolith.llm.textops import arrow_bytes, slices
+from sonolith.llm.textops import arrow_bytes, fresh_name, slices
 from sonolith.session import table
 
 #: Symbols: 0 between words, 1-26 letters without accents, 27 digits, 28 other letters. Models are of 4-grams.
@@ -113,8 +113,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a / scale), float(b)
 
 
-def means(docs: DataFrame, ratio: np.ndarray | None) -> DataFrame:
-    """docs with mean_ratio: the mean of ratio over the text's n-grams (0 if the text is null or empty)."""
+def means(docs: DataFrame, ratio: np.ndarray | None, name: str) -> DataFrame:
+    """docs with a column of that name: the mean of ratio over the text's n-grams (0 if the text is null or empty)."""
     grams = Grams()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,24 +126,25 @@ def means(docs: DataFrame, ratio: np.ndarray | None) -> DataFrame:
                     cell, row = grams(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                     total, n = np.bincount(row, ratio[cell], j - i), np.bincount(row, minlength=j - i)
                     mean[i:j] = np.where(np.diff(offsets[i : j + 1]) > 0, total / np.maximum(n, 1), 0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(mean)], names=[*batch.schema.names, "mean_ratio"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(mean)], names=[*batch.schema.names, name])
 
-    clear = docs.drop("mean_ratio")
-    return clear.mapInArrow(run, T.StructType([*clear.schema.fields, T.StructField("mean_ratio", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def train(docs: DataFrame, labels: DataFrame, calibration: int = CALIBRATION_ROWS) -> ToxicityModel | None:
     """A model from the rows of docs (doc_id, text) that labels (doc_id, toxic) marks 0 or 1; None if a class is
     missing. Rows of labels with a null are left out; of several for a document the largest counts.
 
-    The n-gram counts cover all labelled rows but one fold in four; of that fold at most about `calibration` rows,
-    chosen by hash, set the logistic's two parameters. The driver gets one count for each cell and class at most.
+    About `calibration` rows, a quarter of the labelled ones at most, chosen by hash, set the logistic's two parameters;
+    the n-gram counts cover all others. The driver gets one count for each cell and class at most.
     """
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     n_labels = labels.count()
     if n_labels <= BROADCAST_ROWS:
         marks = F.broadcast(marks)
-    known = docs.select("doc_id", "text").join(marks, "doc_id").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(4)))
+    share = min(1.0, calibration / max(1, n_labels / 4))
+    apart = (F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0) & (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 20)) < share * (1 << 20))
+    known = docs.select("doc_id", "text").join(marks, "doc_id").withColumn("apart", apart)
     grams = Grams()
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, calibration: int = CALIBRATION_ROW
             part = some[k : k + (1 << 18)]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(held[part])], names=["cell", "n"])
 
-    sums = known.where("part <> 0").select("text", "toxic").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    sums = known.where("NOT apart").select("text", "toxic").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     both = np.zeros(2 * CELLS)
     got = sums.toArrow()
     both[got.column(0).to_numpy()] = got.column(1).to_numpy()
@@ -167,9 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, calibration: int = CALIBRATION_ROW
     if not ordinary.any() or not toxic.any():
         return None
     ratio = (kneser_ney(toxic, both[:CELLS] + toxic) - kneser_ney(ordinary, ordinary + toxic)).astype(np.float32)
-    share = min(1.0, calibration / max(1, n_labels / 4))
-    apart = known.where((F.col("part") == 0) & (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 20)) < share * (1 << 20)))
-    rows = means(apart.select("text", "toxic"), ratio).select("mean_ratio", "toxic").collect()
+    rows = means(known.where("apart").select("text", "toxic"), ratio, "mean").select("mean", "toxic").collect()
     x, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
     slope, offset = fit_logistic(x, y) if 0 < y.sum() < len(y) else (50.0, -1.0)
     return ToxicityModel(ratio, slope, offset)
@@ -177,14 +176,17 @@ def train(docs: DataFrame, labels: DataFrame, calibration: int = CALIBRATION_ROW
 
 def score(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
     """docs with toxic_score (0 to 1) of each whole text: the length-normalised log-likelihood ratio, calibrated. Null
-    or empty text has ratio 0; without a model every score is 0. All columns of docs stay; nothing but text is read.
+    or empty text has ratio 0; without a model every score is 0. All columns of docs stay, but one named toxic_score is
+    replaced; nothing but text is read.
     Narrow: no shuffle; the model has a fixed size (CELLS floats)."""
-    scored = means(docs, model.ratio if model else None)
-    s = 1 / (1 + F.exp(-(F.lit(model.slope) * F.col("mean_ratio") + F.lit(model.offset)))) if model else F.lit(0.0)
-    return scored.withColumn("toxic_score", s).drop("mean_ratio")
+    mean = fresh_name(docs, "mean")
+    scored = means(docs.drop("toxic_score"), model.ratio if model else None, mean)
+    s = 1 / (1 + F.exp(-(F.lit(model.slope) * F.col(mean) + F.lit(model.offset)))) if model else F.lit(0.0)
+    return scored.withColumn("toxic_score", s).drop(mean)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; cases as in train() and score()."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", fold("doc_id", 5) == 0)
     model = train(docs.where(~F.col("held_out")), table(spark, sf_dir, "labels"))
     scored = score(docs, model).select("doc_id", "held_out", F.col("toxic_score").alias("score"))

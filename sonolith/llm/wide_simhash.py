@@ -13,12 +13,13 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sonolith.llm.components import components
+from sonolith.llm.components import components, meet
 from sonolith.llm.simhash import TILE
-from sonolith.llm.textops import U64, SpanHasher, arrow_bytes, lower_ascii, mix64, slices, white_space, word_spans
+from sonolith.llm.textops import U64, SpanHasher, arrow_bytes, fresh_name, lower_ascii, mix64, slices, white_space, word_spans
 from sonolith.session import stash
 
 SHINGLE = 5
@@ -224,7 +225,7 @@ def grouped_nodes(docs: DataFrame, shingle: int = SHINGLE, similarity: float = S
     """
     most = allowed(similarity)
     own = stash(sketches(docs, shingle), "wide")
-    nodes = own.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    nodes = own.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
 
     def tables(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = BINS // 64
@@ -274,13 +275,15 @@ def grouped_nodes(docs: DataFrame, shingle: int = SHINGLE, similarity: float = S
     wanted[marks.column(0).to_numpy()] = True
     whole = tiled(met.select(F.col("root").alias("key"), "node"), min(tile, SET_TILE)).join(shingle_sets(docs, shingle, wanted), "node")
     member = components(dealt(whole).mapInArrow(verified, "u long, v long"))
-    rooted = nodes.select("node", "least").join(member, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return own.select("doc_id", "node").join(rooted.join(lowest, "root").select("node", "root", "component_id"), "node").select("doc_id", "node", "root", "component_id")
+    total = own.count()
+    rooted = nodes.select("node", "least", "copies").join(member, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    of = meet(rooted, lowest, "root", total).select("node", "root", "component_id", F.col("copies").alias("n"))
+    return meet(own.select("doc_id", "node"), of, "node", total).select("doc_id", "node", "root", "component_id")
 
 
-def with_node(docs: DataFrame, shingle: int) -> DataFrame:
-    """docs with __node, the node of each row's text."""
+def with_node(docs: DataFrame, shingle: int, name: str) -> DataFrame:
+    """docs with a column of that name: the node of each row's text."""
     shingles = Shingles(shingle)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,9 +291,9 @@ def with_node(docs: DataFrame, shingle: int) -> DataFrame:
             data, offsets = arrow_bytes(batch.column(batch.schema.get_field_index("text")))
             for i, j in slices(offsets):
                 _, _, node = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, pa.array(node)], names=[*batch.schema.names, "__node"])
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, pa.array(node)], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__node", T.LongType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
 
 
 def without_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -301,10 +304,16 @@ def without_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     several = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count_distinct("node").alias("n")).where("n > 1").select("doc_id")
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     once = docs.join(gone.unionAll(several).distinct(), "doc_id", "left_anti")
-    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), F.sha2(F.coalesce("text", F.lit("")), 256)))
+    key, node = fresh_name(docs, "key"), fresh_name(docs, "node")
+    own = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), F.sha2(F.coalesce("text", F.lit("")), 256)))
     # with several texts: those that are the first of their groups; component_id is then the doc_id, so the least node
     # stands for the texts of one group
-    chosen = found.join(several, "doc_id").where("doc_id = component_id").select("doc_id", "root", F.col("node").alias("__node"))
-    chosen = chosen.groupBy("doc_id", "root").agg(F.min("__node").alias("__node")).select("doc_id", "__node")
-    rest = with_node(docs.join(several, "doc_id", "left_semi"), SHINGLE).join(chosen, ["doc_id", "__node"], "left_semi")
-    return once.withColumn("__key", key).select(*docs.columns, "__key").unionAll(rest.withColumn("__key", F.concat_ws(" ", "doc_id", "__node")).select(*docs.columns, "__key")).dropDuplicates(["__key"]).select(*docs.columns)
+    chosen = found.join(several, "doc_id").where("doc_id = component_id").select("doc_id", "root", F.col("node").alias(node))
+    chosen = chosen.groupBy("doc_id", "root").agg(F.min(node).alias(node)).select("doc_id", node)
+    rest = with_node(docs.join(several, "doc_id", "left_semi"), SHINGLE, node).join(chosen, ["doc_id", node], "left_semi")
+    both = once.withColumn(key, own).select(*docs.columns, key).unionAll(rest.withColumn(key, F.concat_ws(" ", "doc_id", node)).select(*docs.columns, key))
+    # of several rows for a key the least by all columns that can be compared, so that reruns agree
+    rank = W.partitionBy(key).orderBy(*[F.col(f"`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, T.MapType | T.VariantType)])
+    again = both.groupBy(key).count().where("count > 1").select(key)
+    first = both.join(again, key, "left_semi").withColumn(node, F.row_number().over(rank)).where(F.col(node) == 1)
+    return both.join(again, key, "left_anti").select(*docs.columns).unionAll(first.select(*docs.columns))

@@ -1,7 +1,10 @@
+import random
+
 import numpy as np
 import pytest
 
-from sonolith.llm.embedding_dedup import close_pairs, near_duplicate_vectors, quantise, unit_rows
+from sonolith.llm import components as C
+from sonolith.llm.embedding_dedup import at_least, close_pairs, near_duplicate_vectors, quantise, unit_rows
 
 
 def brute(rows, cosine=0.95):
@@ -56,8 +59,12 @@ def test_bounds_hold():
     q = quantise(x)
     product = (q[0].astype(float) @ q[0].T.astype(float)) * q[1][:, None] * q[1][None, :]
     assert (np.abs(product - x @ x.T) <= q[2][:, None] + (1 + q[2][:, None]) * q[2][None, :] + 1e-12).all()
-    got = {(i, j) for r, c in close_pairs((x, *q), (x, *q), True, 0.95) for i, j in zip(r.tolist(), c.tolist(), strict=True)}
-    assert got == {(i, j) for i in range(600) for j in range(i + 1, 600) if x[i] @ x[j] >= 0.95} and len(got) > 50
+    got, opened = set(), 0
+    for r, c, sure in close_pairs(q, q, True, 0.95):
+        opened += int((~sure).sum())
+        good = sure | at_least(x, x, r, c, 0.95)
+        got |= set(zip(r[good].tolist(), c[good].tolist(), strict=True))
+    assert got == {(i, j) for i in range(600) for j in range(i + 1, 600) if x[i] @ x[j] >= 0.95} and len(got) > 50 and opened > 0
 
 
 def test_one_large_group(spark):
@@ -70,3 +77,25 @@ def test_empty(spark):
     assert near_duplicate_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     only = near_duplicate_vectors(spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")).collect()
     assert [tuple(r) for r in only] == [(1, 0, 1, True)]
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    """The same components where the keys of many rows are joined apart."""
+    monkeypatch.setattr(C, "HUBS", 10)
+    monkeypatch.setattr(C.meet, "__defaults__", (0,))
+    monkeypatch.setattr(C, "TASK_ROWS", 0)
+    rng = random.Random(8)
+    edges = [(0, k) for k in range(1, 400)] + [(k, k + 1) for k in range(500, 540)] + [(rng.randrange(600, 900), rng.randrange(600, 900)) for _ in range(200)] + [(7, 7)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for u, v in edges:
+        a, b = sorted((find(u), find(v)))
+        root[b] = a
+    want = {x: find(x) for x in {x for e in edges for x in e if e[0] != e[1]}}
+    got = {r.node: r.root for r in C.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == want

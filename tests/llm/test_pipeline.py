@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sonolith.llm.wide_simhash import similar_groups, without_copies
@@ -42,7 +43,7 @@ def test_similar_groups_against_all_pairs(spark):
             for j in range(i):
                 s = jaccard(data[i][1], data[j][1])
                 same = got[data[i][0]] == got[data[j][0]]
-                if s >= 0.85:
+                if s >= 0.8:
                     sure += 1
                     maybe += same
                 elif s < 0.5:
@@ -139,3 +140,51 @@ def test_repeated_ids_with_other_texts(spark):
     kept = {r.tag for r in without_copies(spark.createDataFrame(rows, "doc_id long, text string, tag string")).collect()}
     assert kept - {"4", "5", "6", "7"} == {"1", "3", "8", "9"}
     assert len(kept & {"4", "5"}) == len(kept & {"6", "7"}) == 1
+
+
+CLASHING = ("lang_pred", "lang_score", "contamination", "toxic_score", "__key", "__node", "__SIZE", "__found", "__copies", "__end", "node", "root", "component_id", "size", "value")
+
+
+def test_stages_keep_columns_of_any_name(spark, corpus):
+    sf_dir, docs = corpus
+    now = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 60")
+    for k, name in enumerate(CLASHING):
+        now = now.withColumn(name, F.col("doc_id") * 100 + k)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, now, sf_dir)
+        assert out.columns == now.columns, name
+        rows = out.collect()
+        assert len(rows) > 20 and all(r[c] == r.doc_id * 100 + k for r in rows for k, c in enumerate(CLASHING)), name
+        now = spark.createDataFrame(rows, now.schema)
+    assert corpus_pipeline.STAGES[-1][1](spark, now, sf_dir).count() > 0
+
+
+def test_stages_on_odd_tables(spark, corpus, tmp_path):
+    """Empty tables; rows of nulls; repeated rows and ids; a tie between equal texts."""
+    sf_dir, docs = corpus
+    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    text = docs[5][1]
+    odd = [(None, None, None, None, None), (None, None, None, None, None), (7, "", "en", "a", 0), (3, text, "en", "a", 1), (3, text, "en", "a", 1), (2, text, "en", None, 1), (2, docs[6][1], None, "a", 1), (None, docs[7][1], "en", "a", None)]
+    for rows in ([], odd):
+        now = spark.createDataFrame(rows, schema)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, now, sf_dir)
+            assert out.columns == now.columns
+            got = out.collect()
+            if rows and name == "SimHash near-dedup":
+                assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(2, text), (2, docs[6][1]), (0, docs[7][1])])
+            now = spark.createDataFrame(got, schema)
+        now.write.parquet(f"{tmp_path}/last-{len(rows)}")
+        assert (corpus_pipeline.STAGES[-1][1](spark, spark.read.parquet(f"{tmp_path}/last-{len(rows)}"), sf_dir).count() > 0) == bool(rows)
+    none = spark.createDataFrame([], "item_id long, text string")
+    (tmp_path / "bare").mkdir()
+    none.write.parquet(f"{tmp_path}/bare/benchmark.parquet")
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/bare/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/bare").count() == 0
+
+
+def test_copies_are_chosen_alike_in_each_run(spark):
+    rows = [(1, "one two three four five six", tag) for tag in "fabced"] + [(2, "seven eight nine ten eleven twelve", "z")]
+    for k in (1, 3):
+        kept = without_copies(spark.createDataFrame(rows, "doc_id long, text string, tag string").repartition(k)).collect()
+        assert sorted(r.tag for r in kept) == ["a", "z"]
