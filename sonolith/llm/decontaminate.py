@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sonolith.llm.textops import U64, SpanHasher, arrow_bytes, lower_ascii, mix64, slices, word_spans
+from sonolith.llm.textops import U64, SpanHasher, arrow_bytes, lower_ascii, mix64, slices, trimmed, word_spans
 from sonolith.session import discard, stash, table
 
 SHINGLE = 5
@@ -225,7 +225,7 @@ def _search(docs: DataFrame, found: list[Items], similarity: float, name: str) -
                 column[r] = sorted([*column[r], *({"item_id": a, "start": b, "n_words": c, "similarity": d} for a, b, c, d in matches)], key=lambda m: (m["item_id"], m["start"]))
             yield pa.RecordBatch.from_arrays([pa.array(column, kind) if k == at else c for k, c in enumerate(batch.columns)], names=batch.schema.names)
 
-    return docs.mapInArrow(run, T.StructType(docs.schema.fields))
+    return docs.mapInArrow(trimmed(run), T.StructType(docs.schema.fields))
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

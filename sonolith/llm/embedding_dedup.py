@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sonolith.llm.components import components, meet
+from sonolith.llm.textops import trimmed
 from sonolith.llm.wide_simhash import runs
 from sonolith.session import stash, table
 
@@ -108,7 +109,7 @@ def prepared(rows: DataFrame, kind: str) -> DataFrame:
             raw = [(v + 0.0).astype(kind).tobytes() if usable(v) else None for v in vectors]  # + 0.0: no negative zero
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(v) for v in vectors], pa.int32()), pa.array(raw, pa.binary())], names=["vec_id", "dims", "raw"])
 
-    return rows.select("vec_id", "embedding").mapInArrow(run, "vec_id long, dims int, raw binary").withColumn("node", F.xxhash64("raw"))
+    return rows.select("vec_id", "embedding").mapInArrow(trimmed(run), "vec_id long, dims int, raw binary").withColumn("node", F.xxhash64("raw"))
 
 
 def coded(nodes: DataFrame, kind: str) -> DataFrame:
@@ -125,7 +126,7 @@ def coded(nodes: DataFrame, kind: str) -> DataFrame:
                     code[k] = row.tobytes()
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(code, pa.binary()), pa.array(scale), pa.array(error)], names=["node", "dims", "copies", "code", "scale", "error"])
 
-    return nodes.select("node", "dims", "copies", "raw").mapInArrow(run, "node long, dims int, copies long, code binary, scale double, error double")
+    return nodes.select("node", "dims", "copies", "raw").mapInArrow(trimmed(run), "node long, dims int, copies long, code binary, scale double, error double")
 
 
 _TILE = "key long, tile long, own int, twin int, node long, copies long, code binary, scale double, error double"
@@ -208,10 +209,10 @@ def links(nodes: DataFrame, kind: str, cosine: float, chunk: int = CHUNK) -> Dat
                 found.add(i[good], j[good])
             yield pa.RecordBatch.from_arrays(found.rows(), names=_FOUND)
 
-    met = tiled.repartition("key", "tile").sortWithinPartitions("key", "tile", "own", "node").mapInArrow(bounded, f"links_of long, n long, u long, v long, {_TILE}")
+    met = tiled.repartition("key", "tile").sortWithinPartitions("key", "tile", "own", "node").mapInArrow(trimmed(bounded), f"links_of long, n long, u long, v long, {_TILE}")
     met = stash(met, "tiles")
     again = met.where("key IS NOT NULL").select(*names).join(nodes.select("node", "raw"), "node")
-    again = again.repartition("key", "tile").sortWithinPartitions("key", "tile", "own", "node").mapInArrow(exact, "links_of long, n long, u long, v long")
+    again = again.repartition("key", "tile").sortWithinPartitions("key", "tile", "own", "node").mapInArrow(trimmed(exact), "links_of long, n long, u long, v long")
     return met.where("key IS NULL").select(*_FOUND).unionAll(again)
 
 

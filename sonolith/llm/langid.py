@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sonolith.llm.textops import parts
+from sonolith.llm.textops import parts, trimmed
 from sonolith.session import table
 
 #: Features: hashed 1- to 3-grams of lower-case letters, words marked by a space.
@@ -154,7 +154,7 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageModel | No
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, DIM)), pa.array(np.append(df[some], n))], names=["feature", "n"])
 
     df = np.zeros(DIM + 1)
-    for feature, n in known.select("text").mapInArrow(frequencies, "feature long, n long").groupBy("feature").agg(F.sum("n")).collect():
+    for feature, n in known.select("text").mapInArrow(trimmed(frequencies), "feature long, n long").groupBy("feature").agg(F.sum("n")).collect():
         df[feature] = n
     idf = np.log((1 + df[DIM]) / (1 + df[:DIM])) + 1
     # The sample: a share of each language's rows, by hash.
@@ -169,7 +169,7 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageModel | No
             pairs = [featurize(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([i.astype(np.uint16).tobytes() for i, _ in pairs]), pa.array([c.astype(np.uint32).tobytes() for _, c in pairs]), batch.column(2)], names=["order", "i", "c", "lang"])
 
-    got = chosen.select("order", "text", "lang").mapInArrow(sparse, "order long, i binary, c binary, lang string").collect()
+    got = chosen.select("order", "text", "lang").mapInArrow(trimmed(sparse), "order long, i binary, c binary, lang string").collect()
     rows = [(index, weigh(index, np.frombuffer(r["c"], np.uint32), idf), classes.index(r["lang"])) for r in sorted(got, key=lambda r: (r["order"], r["lang"])) if len(index := np.frombuffer(r["i"], np.uint16).astype(np.int64))]
     apart, fit = rows[::5], [r for k, r in enumerate(rows) if k % 5]
     if not fit:
@@ -201,7 +201,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, names: tuple[str, str
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(said, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, *names])
 
     clear = docs.drop(*names)
-    return clear.mapInArrow(run, T.StructType([*clear.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]))
+    return clear.mapInArrow(trimmed(run), T.StructType([*clear.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonolith.llm.textops import U64, SpanHasher, arrow_bytes, fresh_name, lower_ascii, mix64, slices, white_space, word_spans
+from sonolith.llm.textops import U64, SpanHasher, arrow_bytes, fresh_name, lower_ascii, mix64, slices, text_id, trimmed, white_space, word_spans
 from sonolith.session import stash, table
 
 SIMILARITY = 0.8
@@ -279,12 +279,7 @@ def _lines_and_counts(docs: DataFrame, similarity: float) -> DataFrame:
         packed = [packer.compress(part.tobytes()) for part in counts.reshape(SEGMENTS, -1)]
         yield pa.RecordBatch.from_arrays([null, null, pa.array(np.arange(SEGMENTS)), null, null, pa.array(total), null, pa.array(packed, pa.binary())], names=names)
 
-    return docs.select("doc_id", "text", text_id().alias("t")).mapInArrow(run, "doc_id long, text_id long, line long, h long, h2 long, n long, raw long, counts binary")
-
-
-def text_id():
-    """Hash of a row's text, which tells rows of one doc_id apart."""
-    return F.xxhash64(F.coalesce("text", F.lit("")))
+    return docs.select("doc_id", "text", text_id().alias("t")).mapInArrow(trimmed(run), "doc_id long, text_id long, line long, h long, h2 long, n long, raw long, counts binary")
 
 
 def _order(parts: DataFrame) -> tuple[Order, int]:
@@ -309,7 +304,7 @@ def _order(parts: DataFrame) -> tuple[Order, int]:
             yield done()
 
     out, rows = np.zeros((SEGMENTS, (1 << BUCKET_BITS) // SEGMENTS), np.uint8), 0
-    for r in parts.repartition("line").sortWithinPartitions("line").mapInArrow(merge, "line long, n long, counts binary").toLocalIterator():
+    for r in parts.repartition("line").sortWithinPartitions("line").mapInArrow(trimmed(merge), "line long, n long, counts binary").toLocalIterator():
         out[r["line"]] = np.frombuffer(r["counts"], np.uint8)
         rows += r["n"]
     return Order(out.reshape(-1)), rows
@@ -355,7 +350,7 @@ def _prefixes(docs: DataFrame, keys: Keys, batches_: int) -> DataFrame:
         if size:
             yield deal()
 
-    return docs.select("text").mapInArrow(run, "batch long, rows binary")
+    return docs.select("text").mapInArrow(trimmed(run), "batch long, rows binary")
 
 
 def _live(dealt: DataFrame, similarity: float) -> DataFrame:
@@ -398,7 +393,7 @@ def _live(dealt: DataFrame, similarity: float) -> DataFrame:
         if held:
             yield compared(held)
 
-    return dealt.repartition("batch").sortWithinPartitions("batch").mapInArrow(run, "key long, node long")
+    return dealt.repartition("batch").sortWithinPartitions("batch").mapInArrow(trimmed(run), "key long, node long")
 
 
 def _marked(raw: DataFrame) -> np.ndarray:
@@ -434,7 +429,7 @@ def _token_sets(docs: DataFrame, order: Order, marked: np.ndarray) -> DataFrame:
                 node, node2 = class_ids(token, cut)
                 yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(node2), pa.array([token[a:z].tobytes() for a, z in zip(cut.tolist(), end.tolist(), strict=True)], pa.binary())], names=["node", "node2", "tokens"])
 
-    return docs.select("text").mapInArrow(run, "node long, node2 long, tokens binary").groupBy("node", "node2").agg(F.first("tokens").alias("tokens"))
+    return docs.select("text").mapInArrow(trimmed(run), "node long, node2 long, tokens binary").groupBy("node", "node2").agg(F.first("tokens").alias("tokens"))
 
 
 class Sets:
@@ -542,7 +537,7 @@ def _verified(rows: DataFrame, keys: Keys) -> DataFrame:
         if held:
             yield block(held)
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "node long, node2 long, links long, later boolean")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(trimmed(run), "node long, node2 long, links long, later boolean")
 
 
 def line_decisions(docs: DataFrame, similarity: float = SIMILARITY, tile: int = TILE, hot: int = HOT, batch_rows: int = BATCH_ROWS) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from sonolith.llm.automaton import BASE_RULES, EXTRA_RULES, Rule, compile_rules, matches
-from sonolith.llm.textops import arrow_bytes, slices
+from sonolith.llm.textops import arrow_bytes, slices, trimmed
 from sonolith.session import table
 
 SCHEMA = "doc_id long, kinds array<string>, starts array<long>, ends array<long>"
@@ -53,7 +53,7 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + EXTRA_R
                 names=["doc_id", "kinds", "starts", "ends"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), SCHEMA)
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -71,7 +71,7 @@ def digest(found: DataFrame) -> DataFrame:
                 names=["doc_id", *(f"n_{b}" for b in base), "base_sha256", "spans"],
             )
 
-    return found.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return found.mapInArrow(trimmed(run), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,13 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sonolith.llm.components import components, meet
-from sonolith.llm.textops import U64, arrow_bytes, lower_ascii
+from sonolith.llm.textops import U64, arrow_bytes, lower_ascii, trimmed
 from sonolith.session import stash, table
 
 BITS = 64
 SEED = 42
 #: Members of one block group that are compared in one task; larger groups are split into tiles of this many.
 TILE = 2048
+#: Members of a group that are compared with the others at once.
+STRIP = 128
 #: Shingles whose bits are spread out at once.
 CHUNK = 1 << 16
 
@@ -54,7 +56,7 @@ def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
             fps = np.array([fingerprint(low[a:b], shingle) for a, b in zip(off[:-1], off[1:], strict=True)], U64)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), "doc_id long, fp long")
 
 
 def block_masks(radius: int) -> list[int]:
@@ -70,10 +72,10 @@ def _close_in_run(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]
     if n == 2:
         near = np.bitwise_count(fps[:1] ^ fps[1:]) <= radius
         return (np.array([1]), np.array([0])) if near[0] else (np.zeros(0, int), np.zeros(0, int))
-    link = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= radius
-    label = np.arange(n)
+    link = np.concatenate([np.bitwise_count(fps[i : i + STRIP, None] ^ fps[None, :]) <= radius for i in range(0, n, STRIP)])
+    label = np.arange(n, dtype=np.int32)
     while True:
-        low = np.where(link, label[None, :], n).min(axis=1)
+        low = np.concatenate([np.where(link[i : i + STRIP], label[None, :], np.int32(n)).min(axis=1) for i in range(0, n, STRIP)])
         if (low == label).all():
             break
         label = low
@@ -127,7 +129,7 @@ def links(fps: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
         if len(held):
             yield flush(held)
 
-    return dealt.mapInArrow(run, "u long, v long")
+    return dealt.mapInArrow(trimmed(run), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:

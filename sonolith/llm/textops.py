@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Bytes of text that are handled at once in a worker; a longer document is handled alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 _R = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _R_INV = pow(_R, -1, 1 << 64)
 
@@ -116,3 +119,23 @@ def fresh_name(df: DataFrame, stem: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def text_id() -> Column:
+    """Hash of a row's text, which tells rows of one doc_id apart."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def trimmed(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which the worker gives free memory back: Spark keeps idle workers, several to an executor."""
+
+    @wraps(run)
+    def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            return
+
+    return whole

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonolith.llm.textops import U64, mix64, parts
+from sonolith.llm.textops import U64, mix64, parts, trimmed
 from sonolith.session import discard, fresh_path, qualified, stash, table
 
 #: Where the vocabulary lies, and the id that ends a document and fills the last sequence.
@@ -129,7 +129,7 @@ def tokenized(docs: DataFrame, tokenizer: Tokenizer) -> DataFrame:
             at = int(places[-1])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), pid, np.int32)), pa.array(places[:-1]), batch.column(0).cast(pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], names=["pid", "at", "doc_id", "tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "pid int, at long, doc_id long, tokens binary")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), "pid int, at long, doc_id long, tokens binary")
 
 
 def _chunks(tokens: DataFrame, layout: Layout, base: dict[int, tuple[int, int]]) -> DataFrame:
@@ -174,7 +174,7 @@ def _chunks(tokens: DataFrame, layout: Layout, base: dict[int, tuple[int, int]])
         if held:
             yield send()
 
-    return tokens.select("pid", "at", "doc_id", "tokens").mapInArrow(run, CHUNKS)
+    return tokens.select("pid", "at", "doc_id", "tokens").mapInArrow(trimmed(run), CHUNKS)
 
 
 def _write(chunks: DataFrame, layout: Layout, path: str) -> DataFrame:
@@ -219,7 +219,7 @@ def _write(chunks: DataFrame, layout: Layout, path: str) -> DataFrame:
             )
 
     assert width * layout.length == layout.stride
-    return chunks.repartitionById(max(1, layout.n_shards), F.col("shard")).mapInArrow(run, MANIFEST)
+    return chunks.repartitionById(max(1, layout.n_shards), F.col("shard")).mapInArrow(trimmed(run), MANIFEST)
 
 
 def token_shards(docs: DataFrame, path: str, tokenizer: Tokenizer | None = None, length: int = SEQUENCE_LENGTH, per_shard: int = SEQUENCES_PER_SHARD, key: str = "order", keep_tokens: bool = True) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sonolith.llm.langid import fold
-from sonolith.llm.textops import arrow_bytes, fresh_name, slices
+from sonolith.llm.textops import arrow_bytes, fresh_name, slices, trimmed
 from sonolith.session import table
 
 #: Symbols: 0 between words, 1-26 letters without accents, 27 digits, 28 other letters. Models are of 4-grams.
@@ -128,7 +128,7 @@ def means(docs: DataFrame, ratio: np.ndarray | None, name: str) -> DataFrame:
                     mean[i:j] = np.where(np.diff(offsets[i : j + 1]) > 0, total / np.maximum(n, 1), 0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(mean)], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return docs.mapInArrow(trimmed(run), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def train(docs: DataFrame, labels: DataFrame, calibration: int = CALIBRATION_ROWS) -> ToxicityModel | None:
@@ -160,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, calibration: int = CALIBRATION_ROW
             part = some[k : k + (1 << 18)]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(held[part])], names=["cell", "n"])
 
-    sums = known.where("NOT apart").select("text", "toxic").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    sums = known.where("NOT apart").select("text", "toxic").mapInArrow(trimmed(count), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     both = np.zeros(2 * CELLS)
     got = sums.toArrow()
     both[got.column(0).to_numpy()] = got.column(1).to_numpy()

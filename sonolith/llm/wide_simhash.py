@@ -13,13 +13,12 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sonolith.llm.components import components, meet
 from sonolith.llm.simhash import TILE
-from sonolith.llm.textops import U64, SpanHasher, arrow_bytes, fresh_name, lower_ascii, mix64, slices, white_space, word_spans
+from sonolith.llm.textops import U64, SpanHasher, arrow_bytes, fresh_name, lower_ascii, mix64, slices, text_id, trimmed, white_space, word_spans
 from sonolith.session import stash
 
 SHINGLE = 5
@@ -29,6 +28,8 @@ LOWEST = 20
 BINS = 128
 #: Probability that a pair at the similarity differs in more bins than are allowed.
 LOSS = 1e-9
+#: Members of a group that are compared with the others at once.
+STRIP = 128
 #: Members of a group whose whole sets are compared in one task.
 SET_TILE = 1024
 #: Bits of the map of candidates whose sets are fetched; where it is full, more are read than needed, none is lost.
@@ -98,7 +99,7 @@ def allowed(similarity: float) -> int:
 
 
 def sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, node, n (shingles), sketch (bits, then the smallest hashes) of each row; null text counts as empty."""
+    """doc_id, text_id, node, n (shingles), sketch (bits, then the smallest hashes) of each row; null text counts as empty."""
     shingles = Shingles(shingle)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,13 +107,14 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
             ids = batch.column(0).cast(pa.int64())
             data, offsets = arrow_bytes(batch.column(1))
             for i, j in slices(offsets):
+                own = [ids.slice(i, j - i), batch.column(2).slice(i, j - i)]
                 h, cut, node = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 n = np.diff(cut)
                 bits = bins(h, np.repeat(np.arange(j - i), n), j - i)
                 low = [bits[k].tobytes() + h[cut[k] : min(cut[k] + LOWEST, cut[k + 1])].tobytes() for k in range(j - i)]
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(node), pa.array(n.astype(np.int32)), pa.array(low, pa.binary())], names=["doc_id", "node", "n", "sketch"])
+                yield pa.RecordBatch.from_arrays([*own, pa.array(node), pa.array(n.astype(np.int32)), pa.array(low, pa.binary())], names=["doc_id", "text_id", "node", "n", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, n int, sketch binary")
+    return docs.select("doc_id", "text", text_id().alias("t")).mapInArrow(trimmed(run), "doc_id long, text_id long, node long, n int, sketch binary")
 
 
 def shingle_sets(docs: DataFrame, shingle: int, wanted: np.ndarray) -> DataFrame:
@@ -128,7 +130,7 @@ def shingle_sets(docs: DataFrame, shingle: int, wanted: np.ndarray) -> DataFrame
                 once = once[wanted[(node[once].view(U64) >> U64(64 - MAP_BITS)).astype(np.int64)]]
                 yield pa.RecordBatch.from_arrays([pa.array(node[once]), pa.array([h[cut[k] : cut[k + 1]].tobytes() for k in once], pa.binary())], names=["node", "tokens"])
 
-    return docs.select("text").mapInArrow(run, "node long, tokens binary").groupBy("node").agg(F.first("tokens").alias("tokens"))
+    return docs.select("text").mapInArrow(trimmed(run), "node long, tokens binary").groupBy("node").agg(F.first("tokens").alias("tokens"))
 
 
 def runs(batches: Iterable[pa.RecordBatch], names: list[str]) -> Iterator[dict[str, np.ndarray | list]]:
@@ -175,9 +177,9 @@ def dealt(rows: DataFrame) -> DataFrame:
 def spanning(link: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each member that is linked, with the first member of its component."""
     n = len(link)
-    label = np.arange(n)
+    label = np.arange(n, dtype=np.int32)
     while True:
-        low = np.where(link, label[None, :], n).min(axis=1)
+        low = np.concatenate([np.where(link[i : i + STRIP], label[None, :], np.int32(n)).min(axis=1) for i in range(0, n, STRIP)])
         if (low == label).all():
             break
         label = low
@@ -213,8 +215,9 @@ def similar_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
 
 
 def grouped_nodes(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
-    """doc_id, node (of its text), root (of its component), component_id of each row: documents are linked if the Jaccard index of their sets of word shingles is
-    `similarity` or more; component_id is the smallest doc_id reachable.
+    """doc_id, text_id (the text's hash), node (of its shingle set), root (of its component), component_id of each row:
+    documents are linked if the Jaccard index of their sets of word shingles is `similarity` or more; component_id is the
+    smallest doc_id reachable.
 
     Documents of equal sets are one node. Nodes are grouped by each of their smallest hashes, and candidates span
     components; only for nodes that have one, the whole set is fetched, once, and links are counted within the
@@ -246,12 +249,14 @@ def grouped_nodes(docs: DataFrame, shingle: int = SHINGLE, similarity: float = S
             us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for i, j in groups_of(block):
                 x, y, size = a[i:j].view(U64), b[i:j].view(U64), n[i:j].astype(np.int32)
-                apart = np.bitwise_count(x[:, None] ^ x[None, :])
-                apart += np.bitwise_count(y[:, None] ^ y[None, :])  # BINS at most, which fits a byte
-                total = size[:, None] + size[None, :]
-                # sets of n and m shingles differ in (n + m) (1 - s) / (1 + s) at most
-                near = apart <= np.minimum(most, total * ((1 - similarity) / (1 + similarity)) + 1e-6)
-                near &= np.minimum(size[:, None], size[None, :]) >= similarity * np.maximum(size[:, None], size[None, :]) - 1e-6
+                near = np.zeros((j - i, j - i), bool)
+                for k in range(0, j - i, STRIP):
+                    own = slice(k, k + STRIP)
+                    apart = np.bitwise_count(x[own, None] ^ x[None, :])
+                    apart += np.bitwise_count(y[own, None] ^ y[None, :])  # BINS at most, which fits a byte
+                    # sets of n and m shingles differ in (n + m) (1 - s) / (1 + s) at most
+                    near[own] = apart <= np.minimum(most, (size[own, None] + size[None, :]) * ((1 - similarity) / (1 + similarity)) + 1e-6)
+                    near[own] &= np.minimum(size[own, None], size[None, :]) >= similarity * np.maximum(size[own, None], size[None, :]) - 1e-6
                 u, v = spanning(near)
                 us.append(node[i:j][u])
                 vs.append(node[i:j][v])
@@ -268,52 +273,35 @@ def grouped_nodes(docs: DataFrame, shingle: int = SHINGLE, similarity: float = S
                 vs.append(node[a:b][label[moved]])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
 
-    rows = nodes.select("node", "n", "sketch").mapInArrow(tables, "key long, node long, n int, a long, b long")
-    met = components(dealt(tiled(rows, tile)).mapInArrow(candidates, "u long, v long"))
+    rows = nodes.select("node", "n", "sketch").mapInArrow(trimmed(tables), "key long, node long, n int, a long, b long")
+    met = components(dealt(tiled(rows, tile)).mapInArrow(trimmed(candidates), "u long, v long"))
     wanted = np.zeros(1 << MAP_BITS, bool)
     marks = met.select(F.shiftrightunsigned("node", 64 - MAP_BITS).alias("k")).distinct().toArrow()
     wanted[marks.column(0).to_numpy()] = True
     whole = tiled(met.select(F.col("root").alias("key"), "node"), min(tile, SET_TILE)).join(shingle_sets(docs, shingle, wanted), "node")
-    member = components(dealt(whole).mapInArrow(verified, "u long, v long"))
+    member = components(dealt(whole).mapInArrow(trimmed(verified), "u long, v long"))
     total = own.count()
     rooted = nodes.select("node", "least", "copies").join(member, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
     of = meet(rooted, lowest, "root", total).select("node", "root", "component_id", F.col("copies").alias("n"))
-    return meet(own.select("doc_id", "node"), of, "node", total).select("doc_id", "node", "root", "component_id")
-
-
-def with_node(docs: DataFrame, shingle: int, name: str) -> DataFrame:
-    """docs with a column of that name: the node of each row's text."""
-    shingles = Shingles(shingle)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = arrow_bytes(batch.column(batch.schema.get_field_index("text")))
-            for i, j in slices(offsets):
-                _, _, node = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, pa.array(node)], names=[*batch.schema.names, name])
-
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
+    return meet(own.select("doc_id", "text_id", "node"), of, "node", total).select("doc_id", "text_id", "node", "root", "component_id")
 
 
 def without_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """docs without those that are near copies of one with a smaller doc_id in their group. Where a doc_id is repeated,
-    each of its texts is decided on its own, and one row stays for texts of one group. Rows with a null doc_id stay
-    unless text and id are repeated. All columns stay."""
-    found = stash(grouped_nodes(docs, similarity=similarity), "groups")
-    several = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count_distinct("node").alias("n")).where("n > 1").select("doc_id")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    once = docs.join(gone.unionAll(several).distinct(), "doc_id", "left_anti")
-    key, node = fresh_name(docs, "key"), fresh_name(docs, "node")
-    own = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), F.sha2(F.coalesce("text", F.lit("")), 256)))
-    # with several texts: those that are the first of their groups; component_id is then the doc_id, so the least node
-    # stands for the texts of one group
-    chosen = found.join(several, "doc_id").where("doc_id = component_id").select("doc_id", "root", F.col("node").alias(node))
-    chosen = chosen.groupBy("doc_id", "root").agg(F.min(node).alias(node)).select("doc_id", node)
-    rest = with_node(docs.join(several, "doc_id", "left_semi"), SHINGLE, node).join(chosen, ["doc_id", node], "left_semi")
-    both = once.withColumn(key, own).select(*docs.columns, key).unionAll(rest.withColumn(key, F.concat_ws(" ", "doc_id", node)).select(*docs.columns, key))
-    # of several rows for a key the least by all columns that can be compared, so that reruns agree
-    rank = W.partitionBy(key).orderBy(*[F.col(f"`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, T.MapType | T.VariantType)])
-    again = both.groupBy(key).count().where("count > 1").select(key)
-    first = both.join(again, key, "left_semi").withColumn(node, F.row_number().over(rank)).where(F.col(node) == 1)
-    return both.join(again, key, "left_anti").select(*docs.columns).unionAll(first.select(*docs.columns))
+    each of its texts is decided on its own, and one row stays for texts of one group, in each run the same. Rows with a
+    null doc_id stay unless text and id are repeated. All columns stay, whatever their names.
+
+    Texts are shuffled once, to meet the ids and hashes of those that stay."""
+    found = grouped_nodes(docs, similarity=similarity)
+    each = stash(found.groupBy("doc_id", "text_id").agg(F.first("node").alias("node"), F.first("root").alias("root"), F.first("component_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "groups")
+    # with several texts for a doc_id, the least node stands for those of one group
+    least = each.where("doc_id = component_id").groupBy("doc_id", "root").agg(F.min(F.struct("node", "text_id", "n")).alias("m"))
+    stay = least.select("doc_id", "m.text_id", "m.n").unionByName(each.where("doc_id IS NULL").select("doc_id", "text_id", "n"))
+    id_, text, rows = (fresh_name(docs, c) for c in ("id", "text", "rows"))
+    stay = stay.select(F.col("doc_id").alias(id_), F.col("text_id").alias(text), F.col("n").alias(rows))
+    met = docs.join(stay, docs["doc_id"].eqNullSafe(F.col(id_)) & (text_id() == F.col(text)))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    ordered = not any(isinstance(f.dataType, T.MapType | T.VariantType) for f in docs.schema.fields)
+    one = met.where(F.col(rows) > 1).groupBy(id_, text).agg((F.min if ordered else F.first)(whole).alias(rows))
+    return met.where(F.col(rows) == 1).select(*docs.columns).unionAll(one.select(f"{rows}.*"))
