@@ -167,15 +167,18 @@ def peaks(x: np.ndarray, prominence: float) -> np.ndarray:
 
 def bpm_confidence(onset: np.ndarray, fps: float = SAMPLE_RATE / HOP) -> float:
     """Distinctiveness of the best tempo's autocorrelation peak times its clipped height."""
-    low, high = max(1, int(math.ceil(60 * fps / CONFIDENCE_BPM[1]))), int(math.floor(60 * fps / CONFIDENCE_BPM[0])) + 1
-    if len(onset) <= low + 2 or onset.std() <= 1e-9:
+    if not len(onset) or onset.max() <= 1e-5:
         return 0.0
-    ac = autocorrelation(onset, min(high, len(onset) - 1))
+    low, high = max(1, round(60 * fps / CONFIDENCE_BPM[1])), min(len(onset) - 1, round(60 * fps / CONFIDENCE_BPM[0]))
+    if high <= low + 2:
+        return 0.0
+    ac = autocorrelation(onset, high)
     found = peaks(ac[low : high + 1], 0.01) + low
     if not len(found):
         return 0.0
     first = found[0]
-    others = [k for k in found[1:] if all(abs(k / first - r) > 0.15 for r in (2.0, 0.5))]
+    # an octave of the first peak: its lag is about twice, or its inverse about twice, that of the first
+    others = [k for k in found[1:] if abs(k / first - 2) >= 0.15 and abs(first / k - 2) >= 0.15]
     second = ac[others[0]] if others else 0.0
     h = ac[first]
     return float(np.clip((h - second) / h * np.clip(2 * h, 0, 1), 0, 1)) if h > 0 else 0.0
@@ -233,10 +236,10 @@ def chroma_of(y: np.ndarray, n_fft: int = 1 << 14, hop: int = HOP) -> np.ndarray
     distance = (pitch[None, :] - np.arange(12)[:, None] + 6) % 12 - 6
     weight = np.exp(-0.5 * (distance / 0.25) ** 2) / np.sqrt(f[used] / 65.0)  # as a constant-Q transform scales them
     window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n_fft) / n_fft)
-    rows, out = framed(np.pad(y, n_fft // 2), n_fft, 4 * hop), []  # frames overlap by far: every fourth will do
+    rows, out = framed(np.pad(y, n_fft // 2), n_fft, hop), []
     for i in range(0, len(rows), 128):
         out.append(weight @ np.abs(np.fft.rfft(rows[i : i + 128] * window, axis=1)[:, used]).T)
-    raw = np.repeat(np.concatenate(out, axis=1), 4, axis=1)[:, : 1 + len(y) // hop]
+    raw = np.concatenate(out, axis=1)[:, : 1 + len(y) // hop]
     return raw / np.where(raw.max(axis=0) > 1e-9, raw.max(axis=0), 1)
 
 

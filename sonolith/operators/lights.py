@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sonolith.constants import GAMMA, LIGHT_FPS
+from sonolith.operators.structure import spaced
 
 # Colour and weight by band, palette by section label.
 BAND_COLOURS = {"sub": (255, 0, 51, 1.0), "bass": (255, 102, 0, 0.8), "mid": (0, 204, 102, 0.6), "presence": (0, 102, 255, 0.5), "brilliance": (255, 255, 255, 0.3)}
@@ -23,9 +26,21 @@ def gamma(value: Column) -> Column:
 
 
 def decay(values: Column, a: float) -> Column:
-    """Attack at once, fall by the share a: the last of the levels, one by one, as an array."""
-    step = lambda acc, x: F.concat(acc, F.array(F.when(F.size(acc) == 0, x).when(x > F.element_at(acc, -1), x).otherwise(F.element_at(acc, -1) + (x - F.element_at(acc, -1)) * a)))
-    return F.aggregate(values, F.array().cast("array<double>"), step)
+    """Attack at once, fall by the share a: the last of the levels, one by one, as an array. An Arrow kernel: one pass
+    over each array, where a fold of array expressions would copy the result at every step."""
+
+    @F.pandas_udf("array<double>")
+    def falling(rows: pd.Series) -> pd.Series:
+        def one(levels: np.ndarray) -> list[float]:
+            out, now = [], None
+            for x in levels.tolist():
+                now = x if now is None or x > now else now + (x - now) * a
+                out.append(now)
+            return out
+
+        return rows.map(one, na_action="ignore")
+
+    return falling(values)
 
 
 def flash(since: Column, decay_s: float = 0.12, intensity: float = 0.9) -> Column:
@@ -45,8 +60,7 @@ def clock_index(position_s: Column, latency_ms: Column, fps: int = LIGHT_FPS) ->
 
 def limit_flashes(times: Column, per_second: float = 3.0) -> Column:
     """Sorted flash times, without those less than 1/per_second after the last kept one."""
-    gap = 1.0 / per_second - 1e-9
-    return F.aggregate(times, F.array().cast("array<double>"), lambda acc, t: F.when((F.size(acc) == 0) | (t - F.element_at(acc, -1) >= gap), F.concat(acc, F.array(t))).otherwise(acc))
+    return spaced(times, F.lit(1.0 / per_second - 1e-9))
 
 
 def limit_power(rgb_sum: Column, budget: float) -> Column:

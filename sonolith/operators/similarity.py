@@ -48,7 +48,9 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
                 cos = q @ x.T
                 cos[names[:, None] == ids[None, :]] = -np.inf
-                take = np.argsort(-np.round(cos, 9), axis=1, kind="stable")[:, : k + 1]
+                place = np.argsort(ids, kind="stable")  # ties are ranked by id, as below
+                ids, cos = ids[place], cos[:, place]
+                take = np.argsort(-np.round(cos, 6), axis=1, kind="stable")[:, : k + 1]
                 value = np.take_along_axis(cos, take, 1)
                 ok = np.isfinite(value)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, take.shape[1])[ok.ravel()]), pa.array(ids[take][ok]), pa.array(value[ok])], names=["query_id", "id", "cos"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,10 +33,28 @@ def label_sections(sections: DataFrame) -> DataFrame:
     return s.withColumn("label", label).select("track_id", "sidx", "e", "label")
 
 
+def spaced(times: Column, gap: Column) -> Column:
+    """Sorted times, kept from left to right if at least gap after the last kept one: an Arrow kernel, one pass over
+    each array, where a fold of array expressions would copy the result at every step."""
+
+    def one(values: np.ndarray, least: float) -> list[float]:
+        out: list[float] = []
+        for t in values.tolist():
+            if not out or t - out[-1] >= least:
+                out.append(t)
+        return out
+
+    @F.pandas_udf("array<double>")
+    def kept(rows: pd.Series, gaps: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None else one(np.asarray(v), g) for v, g in zip(rows, gaps, strict=True)])
+
+    return kept(times, gap)
+
+
 def keep_boundaries(times: Column, end: Column, gap: Column | float) -> Column:
     """Sorted times, kept from left to right if at least `gap` after the last kept one; a last one less than `gap`
     before the end is replaced by the end, else the end is added."""
-    kept = F.aggregate(times, F.array().cast("array<double>"), lambda acc, t: F.when((F.size(acc) == 0) | (t - F.element_at(acc, -1) >= gap), F.concat(acc, F.array(t))).otherwise(acc))
+    kept = spaced(times, gap if isinstance(gap, Column) else F.lit(float(gap)))
     near = (F.size(kept) > 1) & (end - F.element_at(kept, -1) < gap)
     return F.when(near, F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(end))).otherwise(F.concat(kept, F.array(end)))
 

@@ -41,7 +41,7 @@ def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
             for k in batch.column(0).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([synth(k)], pa.list_(pa.float32()))], names=["track_id", "y"])
 
-    return table(spark, sf_dir, "supplier").select("s_suppkey").repartition(8, "s_suppkey").mapInArrow(make, schema)
+    return table(spark, sf_dir, "supplier").select("s_suppkey").repartition("s_suppkey").mapInArrow(make, schema)
 
 
 def analyze_tracks(spark, sf_dir):

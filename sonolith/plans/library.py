@@ -14,6 +14,7 @@ from sonolith.operators import similarity as S
 from sonolith.plans.views import DISTANCE_SQL, LIBRARY_SQL, library, prefixed
 from sonolith.session import table
 
+SALTS = 16  # parts of the tracks of one key code
 SEEDS = 100  # the query tracks are those whose id is divisible by this
 
 COSINE_SQL = "list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) / sqrt(list_sum(list_transform({a}, lambda z: z::DOUBLE * z::DOUBLE)) * list_sum(list_transform({b}, lambda z: z::DOUBLE * z::DOUBLE)))"
@@ -66,13 +67,15 @@ def harmonic_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = lambda n, m: (F.pmod(n - 1, F.lit(12)) * 2 + m.cast("int")).cast("int")
     n, m = F.col("a_number"), F.col("a_major")
     some = F.array(code(n, ~m), *[code(n + d, m) for d in (-2, -1, 0, 1, 2)])
-    whole = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda x: x)
-    # an uncertain seed meets every code; an uncertain track is listed under all 24
-    left = a.withColumn("code", F.explode(F.when(F.col("a_key_conf") < 40, whole).otherwise(some)))
-    sure = left.join(b.withColumn("code", code(F.col("b_number"), F.col("b_major"))), "code")
-    unsure = a.where("a_key_conf >= 40").withColumn("code", F.lit(0)).join(b.where("b_key_conf < 40").withColumn("code", F.lit(0)), "code")
+    codes = F.sequence(F.lit(0), F.lit(23))
+    # an uncertain seed meets every code, and a sure one every code of uncertain tracks: they are keys of their own, so
+    # a pair is met once. Tracks are dealt to SALTS parts of a code, and seeds go to each of them
+    unsure = F.col("b_key_conf") < 40
+    keys = F.when(F.col("a_key_conf") < 40, F.concat(codes, F.transform(codes, lambda x: x + 24))).otherwise(F.concat(some, F.transform(codes, lambda x: x + 24)))
+    left = a.withColumn("code", F.explode(keys)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    right = b.withColumns({"code": code(F.col("b_number"), F.col("b_major")) + F.when(unsure, 24).otherwise(0), "salt": F.pmod(F.xxhash64("b_id"), F.lit(SALTS)).cast("int")})
     far = H.wheel_distance(F.col("a_number"), F.col("a_major"), F.col("b_number"), F.col("b_major"))
-    return sure.unionByName(unsure).where("a_id <> b_id").select("a_id", "b_id", far.alias("distance")).distinct()
+    return left.join(right, ["code", "salt"]).where("a_id <> b_id").select("a_id", "b_id", far.alias("distance"))
 
 
 HARMONIC_PAIRS = f"""WITH {LIBRARY_SQL}, p AS (

@@ -66,13 +66,13 @@ PHRASE = f"WITH {DOWNBEAT_SQL} SELECT b.track_id, beat_idx, (beat_idx - k + 4) %
 
 def bpm_confidence(spark, sf_dir):
     """Distinctiveness of the highest autocorrelation peak (lags 2-12), times its clipped height: the runner-up is the
-    highest peak whose lag is not near twice or half of it."""
+    highest peak whose lag is not about twice the best one's, nor the best one's about twice its."""
     ac = R.autocorrelation(signal(spark, sf_dir).select("track_id", "i", F.col("v").alias("x")), 13)
     flat = ac.select("track_id", F.col("lag").cast("long").alias("i"), F.round("ac", 6).alias("x"))
     peaks = R.local_peaks(flat).where("i >= 2 AND i <= 12")
     best = peaks.groupBy("track_id").agg(F.min_by(F.struct("i", "x"), F.struct(-F.col("x"), "i")).alias("b"))
-    near = lambda r: F.abs(F.col("i") / F.col("b.i") - r) <= 0.15
-    rest = peaks.join(best, "track_id").where((F.col("i") != F.col("b.i")) & ~near(2.0) & ~near(0.5)).groupBy("track_id").agg(F.max("x").alias("h2"))
+    octave = (F.abs(F.col("i") / F.col("b.i") - 2) < 0.15) | (F.abs(F.col("b.i") / F.col("i") - 2) < 0.15)
+    rest = peaks.join(best, "track_id").where((F.col("i") != F.col("b.i")) & ~octave).groupBy("track_id").agg(F.max("x").alias("h2"))
     h1, h2 = F.col("b.x"), F.greatest(F.lit(0.0), F.coalesce("h2", F.lit(0.0)))
     score = F.when(h1 > 0, (h1 - h2) / h1 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2 * h1))).otherwise(0.0)
     return flat.select("track_id").distinct().join(best, "track_id", "left").join(rest, "track_id", "left").select("track_id", F.round(F.coalesce(F.greatest(F.lit(0.0), score), F.lit(0.0)), 6).alias("confidence"))
@@ -82,7 +82,7 @@ BPM_CONFIDENCE = f"""WITH {SIGNAL_SQL}, s AS (SELECT a.track_id, l.l AS lag, sum
 a AS (SELECT track_id, lag, round(CASE WHEN z > 0 THEN s / z ELSE 0 END, 6) AS x FROM (SELECT *, max(CASE WHEN lag = 0 THEN s END) OVER (PARTITION BY track_id) AS z FROM s)),
 n AS (SELECT *, lag(x) OVER w AS p, lead(x) OVER w AS q FROM a WINDOW w AS (PARTITION BY track_id ORDER BY lag)), pk AS (SELECT track_id, lag, x FROM n WHERE p < x AND x > q AND lag BETWEEN 2 AND 12),
 b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY x DESC, lag) AS r FROM pk) WHERE r = 1),
-h AS (SELECT pk.track_id, max(pk.x) AS h2 FROM pk JOIN b ON pk.track_id = b.track_id WHERE pk.lag <> b.lag AND NOT abs(pk.lag::DOUBLE / b.lag - 2) <= 0.15 AND NOT abs(pk.lag::DOUBLE / b.lag - 0.5) <= 0.15 GROUP BY pk.track_id)
+h AS (SELECT pk.track_id, max(pk.x) AS h2 FROM pk JOIN b ON pk.track_id = b.track_id WHERE pk.lag <> b.lag AND abs(pk.lag::DOUBLE / b.lag - 2) >= 0.15 AND abs(b.lag::DOUBLE / pk.lag - 2) >= 0.15 GROUP BY pk.track_id)
 SELECT t.track_id, round(coalesce(greatest(0, CASE WHEN b.x > 0 THEN (b.x - greatest(0, coalesce(h2, 0))) / b.x * greatest(0, least(1, 2 * b.x)) ELSE 0 END), 0), 6) AS confidence
 FROM (SELECT DISTINCT track_id FROM a) t LEFT JOIN b ON t.track_id = b.track_id LEFT JOIN h ON t.track_id = h.track_id"""
 

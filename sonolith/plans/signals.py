@@ -148,13 +148,15 @@ SELECT track_id, i // 9 AS b, round(avg(v), 6) AS x FROM n WHERE len > 9 GROUP B
 
 
 def frame_alignment(spark, sf_dir):
-    """Frame energies, cut or padded to ten frames."""
-    rms = R.frame_rms(signal(spark, sf_dir), FRAME)
-    lengths = rms.select("track_id").distinct().withColumn("n", F.lit(10))
+    """Frame energies, cut or padded to the frames that centred frames of the signal give: one more than its length by
+    the hop."""
+    samples = signal(spark, sf_dir)
+    rms = R.frame_rms(samples, FRAME)
+    lengths = samples.groupBy("track_id").agg((F.floor(F.count(F.lit(1)) / FRAME) + 1).alias("n"))
     return R.align(rms.select("track_id", "fr", F.round("rms", 6).alias("x")), lengths)
 
 
-FRAME_ALIGNMENT = f"""WITH {RMS_SQL}, g AS (SELECT track_id, f AS fr FROM (SELECT DISTINCT track_id FROM blocks), range(10) t(f))
+FRAME_ALIGNMENT = f"""WITH {RMS_SQL}, g AS (SELECT track_id, unnest(range(count(*) // {FRAME} + 1)) AS fr FROM signal GROUP BY track_id)
 SELECT g.track_id, g.fr, last_value(round(rms, 6) IGNORE NULLS) OVER (PARTITION BY g.track_id ORDER BY g.fr ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS x
 FROM g LEFT JOIN blocks b ON b.track_id = g.track_id AND b.fr = g.fr"""
 

@@ -22,7 +22,7 @@ LIBRARY_SQL = """library AS (
          CASE WHEN p_size % 2 = 1 THEN ((p_partkey % 12) * 7 + 7) % 12 + 1
               ELSE ((p_partkey % 12) * 7 + 4) % 12 + 1 END AS number,
          embedding[1:40] AS timbre, embedding[53:60] AS band, p_retailprice AS price, p_brand, p_size
-  FROM part JOIN embeddings ON vec_id = p_partkey % 500)"""
+  FROM part JOIN embeddings ON vec_id = p_partkey % (SELECT count(*) FROM embeddings))"""
 
 DISTANCE_SQL = """CASE WHEN {a}.major = {b}.major AND least((12 + {a}.number - {b}.number) % 12, (12 + {b}.number - {a}.number) % 12) <= 2
     THEN least((12 + {a}.number - {b}.number) % 12, (12 + {b}.number - {a}.number) % 12)
@@ -49,7 +49,7 @@ def library(spark: SparkSession, sf_dir: str) -> DataFrame:
         "pitch": pitch, "major": major, "key_conf": 30 + (k * 13) % 71, "energy": (k * 29) % 101,
         "number": camelot_number(pitch, major), "camelot": camelot_code(pitch, major), "price": F.col("p_retailprice"),
     })
-    joined = own.join(vectors, k % 500 == F.col("vec_id"))
+    joined = own.join(vectors, k % vectors.count() == F.col("vec_id"))  # the count is read from the files' footers
     return joined.select("id", "artist", "title", "bpm10", "bpm_conf", "pitch", "major", "key_conf", "energy", "number", "camelot", "price", "p_brand", "p_size", F.slice("embedding", 1, 40).alias("timbre"), F.slice("embedding", 53, 8).alias("band"))
 
 

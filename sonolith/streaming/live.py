@@ -19,17 +19,18 @@ def band_windows(events: DataFrame, width: str = "10 minutes", late: str = "1 ho
 
 def onsets(events: DataFrame, factor: float = 1.5, memory: float = 0.9) -> DataFrame:
     """Rows (band, i, level) whose rise above the one before exceeds factor times its running mean: the state of a band
-    is its last level and the mean, so batches of any size give the same onsets."""
+    is its last level and the mean, so a stream gives the same onsets however it is cut into micro-batches, as long as
+    a band's rows come in their order from one to the next. A worker holds a band's rows of one micro-batch."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, mean = state.get if state.exists else (None, 0.0)
         out = []
-        for frame in frames:
-            for i, level in frame.sort_values("i")[["i", "level"]].itertuples(index=False):
-                rise = max(0.0, level - last) if last is not None else 0.0
-                if last is not None and rise > factor * mean and rise > 0:
-                    out.append((key[0], int(i), float(level)))
-                last, mean = float(level), memory * mean + (1 - memory) * rise
+        rows = pd.concat([frame[["i", "level"]] for frame in frames]).sort_values("i")  # chunks come in any order
+        for i, level in rows.itertuples(index=False):
+            rise = max(0.0, level - last) if last is not None else 0.0
+            if last is not None and rise > factor * mean and rise > 0:
+                out.append((key[0], int(i), float(level)))
+            last, mean = float(level), memory * mean + (1 - memory) * rise
         state.update((last, mean))
         yield pd.DataFrame(out, columns=["band", "i", "level"])
 
