@@ -147,4 +147,4 @@ def migrate(spark: SparkSession, database: str = "default") -> list[str]:
 
 def check_catalog(spark: SparkSession, database: str = "default") -> dict:
     """Whether the catalogue answers, and its tables by name."""
-    return {"ok": spark.sql("SELECT 1").first()[0] == 1, "version": spark.version, "tables": sorted(t.name for t in spark.catalog.listTables(database))}
+    return {"ok": spark.sql("SELECT 1").first()[0] == 1, "version": spark.version, "tables": sorted(t.name for t in spark.catalog.listTables(database) if not t.isTemporary)}
