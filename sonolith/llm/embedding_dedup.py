@@ -248,3 +248,14 @@ def near_duplicate_vectors(rows: DataFrame, cosine: float = COSINE, chunk: int =
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and component of every vector; cases as in near_duplicate_vectors()."""
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
+OP10_SQL = """WITH RECURSIVE e AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+u AS MATERIALIZED (SELECT r, vec_id, v FROM e WHERE len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+l AS MATERIALIZED (SELECT a.r AS a, b.r AS b FROM u a, u b WHERE a.r <> b.r AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.95::DOUBLE),
+reach AS (SELECT a, b FROM l UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a),
+c AS (SELECT reach.a, min(e.vec_id) AS least FROM reach JOIN e ON reach.b = e.r GROUP BY reach.a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a),
+o AS (SELECT vec_id, coalesce(n, 0) AS n_links, CASE WHEN least < vec_id OR vec_id IS NULL THEN least ELSE vec_id END AS component_id
+  FROM e LEFT JOIN c ON e.r = c.a LEFT JOIN n ON e.r = n.a)
+SELECT *, coalesce(vec_id = component_id, false) AS kept FROM o"""

@@ -604,3 +604,23 @@ def without_repeats(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of documents decided: one row a document, as by_document; cases as in line_decisions."""
     return by_document(line_decisions(table(spark, sf_dir, "documents"))).drop("text_id")
+
+
+OP9_SQL = r"""WITH d AS MATERIALIZED (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents),
+raw AS (SELECT doc_id, text, unnest(CASE WHEN text = '' THEN [''] ELSE string_split(text, chr(10)) END) AS said,
+    unnest(CASE WHEN text = '' THEN [-1] ELSE range(len(string_split(text, chr(10)))) END) AS line FROM d),
+lines AS MATERIALIZED (SELECT doc_id, text, line, list_sort(list_distinct(regexp_extract_all(translate(said, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'))) AS words FROM raw),
+placed AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY doc_id NULLS LAST, text, line) AS place FROM lines),
+classes AS MATERIALIZED (SELECT row_number() OVER () AS c, words, len(words) AS n, min(place) AS first FROM placed WHERE len(words) > 0 GROUP BY words),
+tokens AS MATERIALIZED (SELECT c, n, unnest(words) AS w FROM classes),
+counts AS (SELECT w, count(*) AS f FROM tokens GROUP BY w),
+ranked AS (SELECT c, n, t.w, row_number() OVER (PARTITION BY c ORDER BY f, t.w) AS k FROM tokens t JOIN counts ON t.w = counts.w),
+prefixes AS MATERIALIZED (SELECT c, n, w FROM ranked WHERE k <= n - (4 * n + 4) // 5 + 1),
+pairs AS MATERIALIZED (SELECT DISTINCT a.c AS a, b.c AS b FROM prefixes a JOIN prefixes b ON a.w = b.w AND a.c < b.c AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n),
+met AS MATERIALIZED (SELECT a, b FROM pairs JOIN classes x ON x.c = a JOIN classes y ON y.c = b WHERE 9 * len(list_intersect(x.words, y.words)) >= 4 * (x.n + y.n)),
+way AS (SELECT a, b FROM met UNION ALL SELECT b, a FROM met),
+linked AS (SELECT a, count(*) AS links, min(first) AS before FROM way JOIN classes ON c = b GROUP BY a),
+decided AS (SELECT p.doc_id, p.text, line, coalesce(links, 0) AS links, coalesce(least(first, coalesce(before, first)) < place, false) AS removed
+  FROM placed p LEFT JOIN classes q ON p.words = q.words LEFT JOIN linked ON a = c)
+SELECT doc_id, (max(line) + 1)::BIGINT AS n_lines, count(*) FILTER (removed) AS n_removed, sum(links)::BIGINT AS n_links,
+  coalesce(list(line ORDER BY line) FILTER (removed), []) AS removed_lines FROM decided GROUP BY doc_id, text"""

@@ -77,3 +77,20 @@ def digest(found: DataFrame) -> DataFrame:
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document; cases as in scan_secrets()."""
     return digest(scan_secrets(table(spark, sf_dir, "documents")))
+
+
+OP1_SQL = r"""WITH kinds(kind, place, pattern, part, least) AS (VALUES
+  ('assign', 0, '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2, 12),
+  ('access', 1, 'AKIA[A-Z0-9]+', 0, 18), ('hex', 2, '[0-9a-f]+', 0, 16),
+  ('github', 3, 'gh[pousr]_[A-Za-z0-9]+', 0, 40), ('slack', 4, 'xox[abprs]-[A-Za-z0-9-]+', 0, 15)),
+d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+m AS (SELECT r, kind, place, least, unnest(regexp_extract_all(text, pattern, 0)) AS whole,
+    unnest(CASE WHEN part = 2 THEN regexp_extract_all(text, pattern, 2) ELSE regexp_extract_all(text, pattern, 0) END) AS run,
+    unnest(list_slice(regexp_split_to_array(text, pattern), 1, len(regexp_extract_all(text, pattern, 0)))) AS gap,
+    unnest(range(len(regexp_extract_all(text, pattern, 0)))) AS k FROM d, kinds),
+s AS (SELECT *, (sum(length(gap) + length(whole)) OVER (PARTITION BY r, kind ORDER BY k))::BIGINT AS stop FROM m),
+f AS (SELECT r, kind, place, stop - length(whole) AS start, kind || ':' || (stop - length(whole)) || ':' || stop AS span FROM s WHERE length(run) >= least),
+g AS (SELECT r, count(*) FILTER (place = 0) AS n_assign, count(*) FILTER (place = 1) AS n_access, count(*) FILTER (place = 2) AS n_hex,
+    string_agg(span, ',' ORDER BY start, place) FILTER (place < 3) AS base, string_agg(span, ',' ORDER BY start, place) AS spans FROM f GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g ON d.r = g.r"""
