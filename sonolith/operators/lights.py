@@ -66,3 +66,13 @@ def limit_flashes(times: Column, per_second: float = 3.0) -> Column:
 def limit_power(rgb_sum: Column, budget: float) -> Column:
     """Factor that keeps the sum of all channels within the budget."""
     return F.least(F.lit(1.0), budget / F.greatest(F.lit(1e-9), rgb_sum))
+
+
+def crossfade(since: Column, length_s: float = 2.0) -> Column:
+    """Share of the new palette a time after a section's border."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), since / length_s))
+
+
+def strip_current(channel_sum: Column, pixels: int = 300, channel_amps: float = 0.02) -> Column:
+    """Current in amperes of a strip whose pixels all have channels of that sum."""
+    return channel_sum / 255.0 * (channel_amps * pixels)

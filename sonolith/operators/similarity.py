@@ -61,14 +61,24 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def standardised(rows: DataFrame) -> DataFrame:
-    """vec_id, v: coordinates of rows (vec_id, v) less their mean over their standard deviation, scaled to length 1."""
+def zscored(rows: DataFrame) -> DataFrame:
+    """vec_id, v: coordinates of rows (vec_id, v) less their mean over their standard deviation; 0 where that is 0."""
     long = rows.select("vec_id", F.posexplode("v").alias("dim", "x"))
     stats = long.groupBy("dim").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
     packed = stats.agg(F.array_sort(F.collect_list(F.struct("dim", "mean", "std"))).alias("s"))
     z = F.zip_with("v", "s", lambda x, s: F.when(s["std"] > 0, (x - s["mean"]) / s["std"]).otherwise(0.0))
-    scaled = rows.join(F.broadcast(packed)).withColumn("z", z).withColumn("norm", F.sqrt(dot(F.col("z"), F.col("z"))))
-    return scaled.select("vec_id", F.transform("z", lambda x: F.when(F.col("norm") > 0, x / F.col("norm")).otherwise(0.0)).alias("v"))
+    return rows.join(F.broadcast(packed)).select("vec_id", z.alias("v"))
+
+
+def scaled(rows: DataFrame) -> DataFrame:
+    """vec_id, v: rows (vec_id, v) scaled to length 1; zero vectors stay zero."""
+    known = rows.withColumn("norm", F.sqrt(dot(F.col("v"), F.col("v"))))
+    return known.select("vec_id", F.transform("v", lambda x: F.when(F.col("norm") > 0, x / F.col("norm")).otherwise(0.0)).alias("v"))
+
+
+def standardised(rows: DataFrame) -> DataFrame:
+    """vec_id, v: the z-scores of rows (vec_id, v), scaled to length 1."""
+    return scaled(zscored(rows))
 
 
 def score(timbre: Column, band: Column, distance: Column, gap2: Column, bpm10: Column, energy: Column, tolerance: float = 0.06) -> dict[str, Column]:

@@ -19,6 +19,11 @@ from sonolith.streaming import live
 
 SECONDS = 6
 LIVE_SQL = "SELECT time_bucket(INTERVAL 10 MINUTE, ts)::TIMESTAMP AS start, event_type AS band, count(*) AS n, round(sum(value), 4) AS total, max(value) AS peak FROM events GROUP BY ALL"
+ONSETS_SQL = """WITH RECURSIVE s AS MATERIALIZED (SELECT event_type AS band, event_id AS i, value AS level, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events),
+r AS (SELECT band, i, level, k, 0::DOUBLE AS mean, false AS hit FROM s WHERE k = 1
+  UNION ALL SELECT s.band, s.i, s.level, s.k, 0.9::DOUBLE * r.mean + (1 - 0.9::DOUBLE) * greatest(0, s.level - r.level), s.level > r.level AND s.level - r.level > 1.5::DOUBLE * r.mean
+  FROM r JOIN s ON s.band = r.band AND s.k = r.k + 1)
+SELECT band, i, level FROM r WHERE hit"""
 
 
 def synth(track: int) -> np.ndarray:
@@ -122,4 +127,4 @@ def live_onsets(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (analyze_tracks, beat_track, mfcc, contrast, spectral_frames, chroma_frames, segment_ward, loudness_measures, render_transition, render_lights, live_band_window, live_onsets)}
-ORACLES = {"live_band_window": LIVE_SQL}
+ORACLES = {"live_band_window": LIVE_SQL, "live_onsets": ONSETS_SQL}

@@ -128,6 +128,16 @@ def track_by_path(spark, sf_dir):
 TRACK_BY_PATH = f"WITH {UPSERT_SQL} SELECT substr(sha256(file_path), 1, 32) AS id, file_path, title, status FROM snap WHERE file_path LIKE '%/77.mp3'"
 
 
+def track_by_id(spark, sf_dir):
+    """The track whose id is asked for; ids come from paths, so a lookup by id needs no index of its own."""
+    wanted = _incoming(spark, sf_dir).agg(C.track_id(F.max("file_path")).alias("id"))
+    snap = upsert_snapshot(spark, sf_dir).withColumn("id", C.track_id(F.col("file_path")))
+    return snap.join(F.broadcast(wanted), "id").select("id", "file_path", "artist", "title", "status")
+
+
+TRACK_BY_ID = f"WITH {UPSERT_SQL} SELECT substr(sha256(file_path), 1, 32) AS id, file_path, artist, title, status FROM snap WHERE file_path = (SELECT max(file_path) FROM incoming)"
+
+
 def count_tracks(spark, sf_dir):
     return upsert_snapshot(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"))
 
@@ -140,9 +150,9 @@ def job_progress(spark, sf_dir):
 
 JOB_PROGRESS = "SELECT CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'P' THEN 'running' ELSE 'queued' END AS state, count(*) AS n FROM orders GROUP BY ALL"
 
-QUERIES = {f.__name__: f for f in (upsert_snapshot, upsert_status_counts, incremental_todo, renormalize_needed, quick_hash, exact_copies, extension_filter, filename_fallback, metadata_coalesce, track_by_path, count_tracks, job_progress)}
+QUERIES = {f.__name__: f for f in (upsert_snapshot, upsert_status_counts, incremental_todo, renormalize_needed, quick_hash, exact_copies, extension_filter, filename_fallback, metadata_coalesce, track_by_path, track_by_id, count_tracks, job_progress)}
 ORACLES = {
     "upsert_snapshot": f"WITH {UPSERT_SQL} SELECT * FROM snap", "upsert_status_counts": f"WITH {UPSERT_SQL} SELECT status, count(*) AS n FROM snap GROUP BY status", "incremental_todo": INCREMENTAL,
     "renormalize_needed": RENORMALIZE, "quick_hash": QUICK_HASH, "exact_copies": EXACT_COPIES, "extension_filter": EXTENSION_FILTER, "filename_fallback": FILENAME_FALLBACK, "metadata_coalesce": METADATA,
-    "track_by_path": TRACK_BY_PATH, "count_tracks": f"WITH {UPSERT_SQL} SELECT count(*) AS n FROM snap", "job_progress": JOB_PROGRESS,
+    "track_by_path": TRACK_BY_PATH, "track_by_id": TRACK_BY_ID, "count_tracks": f"WITH {UPSERT_SQL} SELECT count(*) AS n FROM snap", "job_progress": JOB_PROGRESS,
 }

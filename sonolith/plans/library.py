@@ -157,6 +157,21 @@ n AS (SELECT vec_id, sqrt(sum(z * z)) AS n FROM z GROUP BY vec_id)
 SELECT z.vec_id, dim::INT AS dim, round(CASE WHEN n > 0 THEN z / n ELSE 0 END, 5) AS x FROM z JOIN n ON z.vec_id = n.vec_id"""
 
 
+def chroma_band_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chroma vectors scaled to length 1, and band vectors as z-scores over the library."""
+    part = lambda first, n: table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", first, n).cast("array<double>").alias("v"))
+    long = [v.select("vec_id", F.lit(name).alias("part"), F.posexplode("v").alias("dim", "x")) for name, v in (("chroma", S.scaled(part(41, 12))), ("band", S.zscored(part(53, 8))))]
+    return long[0].unionAll(long[1]).withColumn("x", F.round("x", 5))
+
+
+CHROMA_BAND = """WITH e AS (SELECT vec_id, unnest(embedding[41:52])::DOUBLE AS x, unnest(range(12)) AS dim FROM embeddings),
+n AS (SELECT vec_id, sqrt(sum(x * x)) AS n FROM e GROUP BY vec_id),
+b AS (SELECT vec_id, unnest(embedding[53:60])::DOUBLE AS x, unnest(range(8)) AS dim FROM embeddings),
+s AS (SELECT dim, avg(x) AS m, stddev_pop(x) AS d FROM b GROUP BY dim)
+SELECT e.vec_id, 'chroma' AS part, dim::INT AS dim, round(CASE WHEN n > 0 THEN x / n ELSE 0 END, 5) AS x FROM e JOIN n ON e.vec_id = n.vec_id
+UNION ALL SELECT vec_id, 'band', b.dim::INT, round(CASE WHEN d > 0 THEN (x - m) / d ELSE 0 END, 5) FROM b JOIN s ON b.dim = s.dim"""
+
+
 def set_energy_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How well each brand's tracks, in order of id, follow each energy preset."""
     w = W.partitionBy("p_brand")
@@ -207,24 +222,32 @@ def _next(spark: SparkSession, tracks: DataFrame, last: list[int], most: int, ta
 
 
 SET_TRACKS, BEAM = 12, 10
+SET_SECONDS = 45 * 60
 
 
 def _start(tracks: DataFrame) -> int:
     return tracks.agg(F.min("id")).first()[0]
 
 
+def seconds_of(track: int) -> int:
+    """Length of a track of the stand-in library."""
+    return 150 + track * 17 % 211
+
+
 def plan_set_greedy(spark, sf_dir):
-    """A set of SET_TRACKS tracks from the library's first: each step asks the whole library for the best tracks after
-    the last one, and draws one of the five best that are unused. The loop is as long as the set."""
+    """A set of SET_SECONDS from the library's first track: each step asks the whole library for the best tracks after
+    the last one, and draws one of the five best that are unused; the set ends where it is long enough or no track
+    follows, not even within the relaxed tempo tolerance. The loop is as long as the set."""
     tracks = library(spark, sf_dir).where("bpm_conf >= 50")
-    rng, chosen = random.Random(7), [_start(tracks)]
-    while len(chosen) < SET_TRACKS:
-        found = _next(spark, tracks, chosen[-1:], 5 + len(chosen), 0.35 + 0.55 * math.sin(len(chosen) / SET_TRACKS * math.pi * 0.9))
+    rng, chosen, begins = random.Random(7), [_start(tracks)], [0]
+    while (played := begins[-1] + seconds_of(chosen[-1])) < SET_SECONDS:
+        found = _next(spark, tracks, chosen[-1:], 5 + len(chosen), 0.35 + 0.55 * math.sin(played / SET_SECONDS * math.pi * 0.9))
         pick = S.draw(found[True].get(chosen[-1], []), found[False].get(chosen[-1], []), set(chosen), rng)
         if pick is None:
             break
         chosen.append(pick)
-    return spark.createDataFrame([(k + 1, t) for k, t in enumerate(chosen)], "position int, track_id long")
+        begins.append(played)
+    return spark.createDataFrame([(k + 1, t, b) for k, (t, b) in enumerate(zip(chosen, begins, strict=True))], "position int, track_id long, begins_sec int")
 
 
 def plan_set_beam(spark, sf_dir):
@@ -241,5 +264,5 @@ def plan_set_beam(spark, sf_dir):
     return spark.createDataFrame([(k + 1, t) for k, t in enumerate(beam[0][1])], "position int, track_id long")
 
 
-QUERIES = {f.__name__: f for f in (next_track_top10, tempo_compatible_pairs, harmonic_pairs, timbre_knn_top5, score_breakdown, library_filter, camelot_map, feature_stats, zscore_l2_vectors, set_energy_curve, set_pair_compatibility, plan_set_greedy, plan_set_beam)}
-ORACLES = {"next_track_top10": NEXT_TRACK, "tempo_compatible_pairs": TEMPO_PAIRS, "harmonic_pairs": HARMONIC_PAIRS, "timbre_knn_top5": TIMBRE_KNN, "score_breakdown": SCORE_BREAKDOWN, "library_filter": LIBRARY_FILTER, "camelot_map": CAMELOT_MAP, "feature_stats": FEATURE_STATS, "zscore_l2_vectors": ZSCORE, "set_energy_curve": SET_ENERGY, "set_pair_compatibility": SET_PAIRS}
+QUERIES = {f.__name__: f for f in (next_track_top10, tempo_compatible_pairs, harmonic_pairs, timbre_knn_top5, score_breakdown, library_filter, camelot_map, feature_stats, zscore_l2_vectors, chroma_band_vectors, set_energy_curve, set_pair_compatibility, plan_set_greedy, plan_set_beam)}
+ORACLES = {"next_track_top10": NEXT_TRACK, "tempo_compatible_pairs": TEMPO_PAIRS, "harmonic_pairs": HARMONIC_PAIRS, "timbre_knn_top5": TIMBRE_KNN, "score_breakdown": SCORE_BREAKDOWN, "library_filter": LIBRARY_FILTER, "camelot_map": CAMELOT_MAP, "feature_stats": FEATURE_STATS, "zscore_l2_vectors": ZSCORE, "chroma_band_vectors": CHROMA_BAND, "set_energy_curve": SET_ENERGY, "set_pair_compatibility": SET_PAIRS}

@@ -10,8 +10,8 @@ from sonolith.operators import frames as R
 from sonolith.operators import harmony as H
 from sonolith.operators import lights as L
 from sonolith.operators import structure as T
-from sonolith.plans.rhythm import DOWNBEAT_SQL, _beats
-from sonolith.plans.signals import LABELS_SQL
+from sonolith.plans.rhythm import BEATS_SQL, DOWNBEAT_SQL, _beats
+from sonolith.plans.signals import BANDS_SQL, LABELS_SQL, N, _bands
 from sonolith.plans.views import FRAME, SIGNAL_SQL, signal
 from sonolith.session import table
 
@@ -222,13 +222,91 @@ r AS (SELECT track_id, times, 1 AS j, []::DOUBLE[] AS kept FROM l UNION ALL SELE
 SELECT track_id, unnest(kept) AS t FROM r WHERE j = len(times) + 1"""
 
 
+def palette_crossfade(spark, sf_dir):
+    """Palette colour of each light frame: from a section's border on, the colour of the section before gives way to its
+    own within two seconds."""
+    w = W.partitionBy("track_id").orderBy("t")
+    s = _sections(spark, sf_dir).select("track_id", "t", F.col("t").alias("since"), "label", F.coalesce(F.lag("label").over(w), "label").alias("before"))
+    seen = R.as_of(_grid(spark, sf_dir), s, ["since", "label", "before"])
+    share = L.crossfade(F.col("t") - F.col("since"))
+    colour = lambda name, k: F.element_at(F.create_map(*[x for n, c in L.PALETTES.items() for x in (F.lit(n), F.lit(float(c[k])))]), F.col(name))
+    return seen.select("track_id", "frame", *[F.round(colour("before", k) * (1.0 - share) + colour("label", k) * share, 4).alias(n) for k, n in enumerate("rgb")])
+
+
+def _palette_sql(name: str, k: int) -> str:
+    return f"CASE {name} " + " ".join(f"WHEN '{n}' THEN {c[k]}::DOUBLE" for n, c in L.PALETTES.items()) + " END"
+
+
+PALETTE_CROSSFADE = f"""WITH {LABELS_SQL}, {GRID_SQL}, s AS (SELECT track_id, sidx * {FRAME * STEP}::DOUBLE AS t, label, coalesce(lag(label) OVER (PARTITION BY track_id ORDER BY sidx), label) AS before FROM labels),
+a AS (SELECT g.track_id, frame, label, before, least(1.0::DOUBLE, (g.t - s.t) / 2.0::DOUBLE) AS w FROM grid g ASOF JOIN s ON g.track_id = s.track_id AND g.t >= s.t)
+SELECT track_id, frame, {", ".join(f"round({_palette_sql('before', k)} * (1.0::DOUBLE - w) + {_palette_sql('label', k)} * w, 4) AS {x}" for k, x in enumerate("rgb"))} FROM a"""
+
+
+def power_limit(spark, sf_dir):
+    """Share of each light frame's brightness that a strip of 300 pixels may have within 5 A."""
+    frames = light_frames_asof(spark, sf_dir)
+    share = L.limit_power(L.strip_current(F.col("r") + F.col("g") + F.col("b")), 5.0)
+    return frames.select("track_id", "frame", F.round(share, 6).alias("share"))
+
+
+POWER_LIMIT = f"SELECT track_id, frame, round(least(1.0::DOUBLE, 5.0::DOUBLE / greatest(1e-9::DOUBLE, (r + g + b) / 255.0::DOUBLE * (0.02::DOUBLE * 300))), 6) AS share FROM ({LIGHT_FRAMES})"
+
+LIVE_BANDS = ("sub", "mid", "brilliance")  # colours of the stand-in's low, mid and high band
+
+
+def band_light_frames(spark, sf_dir):
+    """Colour of each light frame from the band levels of the spectral frame it lies in, 0 at -80 dB and full at 0 dB."""
+    colours = spark.createDataFrame([(k, *map(float, L.BAND_COLOURS[n])) for k, n in enumerate(LIVE_BANDS)], "band int, r double, g double, b double, w double")
+    level = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("db") + 80.0) / 80.0))
+    lit = _bands(spark, sf_dir).join(F.broadcast(colours), "band").groupBy("track_id", "fr").agg(*[F.least(F.lit(255.0), F.sum(F.col(c) * F.col("w") * level)).alias(c) for c in "rgb"])
+    seen = R.as_of(_grid(spark, sf_dir), lit.withColumn("t", F.col("fr") * (N * STEP)), list("rgb"))
+    return seen.where("r IS NOT NULL").select("track_id", "frame", *[F.round(c, 3).alias(c) for c in "rgb"])
+
+
+BAND_LIGHT_FRAMES = f"""WITH {BANDS_SQL}, {GRID_SQL}, c(band, r, g, b, w) AS (VALUES {", ".join(f"({k}, {c[0]}, {c[1]}, {c[2]}, {c[3]}::DOUBLE)" for k, c in enumerate(L.BAND_COLOURS[n] for n in LIVE_BANDS))}),
+lit AS (SELECT track_id, fr * {N * STEP}::DOUBLE AS t, {", ".join(f"least(255.0::DOUBLE, sum({x} * w * greatest(0, least(1, (db + 80) / 80)))) AS {x}" for x in "rgb")} FROM bands JOIN c ON bands.band = c.band GROUP BY track_id, fr)
+SELECT g.track_id, frame, round(r, 3) AS r, round(lit.g, 3) AS g, round(b, 3) AS b FROM grid g ASOF JOIN lit ON g.track_id = lit.track_id AND g.t >= lit.t"""
+
+
+def peak_chase(spark, sf_dir):
+    """Pixel that a chase of 400 pixels a second over 300 pixels has reached at each light frame since the last peak."""
+    peaks = _beats(spark, sf_dir).select("track_id", "t", F.col("t").alias("at"))
+    seen = R.as_of(_grid(spark, sf_dir), peaks, ["at"]).where("at IS NOT NULL")
+    pixel = F.floor(F.round((F.col("t") - F.col("at")) * 400, 6)).cast("int")
+    return seen.select("track_id", "frame", pixel.alias("pixel")).where("pixel < 300")
+
+
+PEAK_CHASE = f"""WITH {BEATS_SQL}, {GRID_SQL}, a AS (SELECT g.track_id, frame, floor(round((g.t - p.t) * 400, 6))::INT AS pixel FROM grid g ASOF JOIN beats p ON g.track_id = p.track_id AND g.t >= p.t)
+SELECT * FROM a WHERE pixel < 300"""
+
+
+def bass_swap_points(spark, sf_dir):
+    """Where the basses swap in the transition from a track's exit to its end: the downbeat nearest to 58 % of it among
+    those at 50 to 66 %, else 58 % itself."""
+    out = transition_points(spark, sf_dir).where("out_at IS NOT NULL").select("track_id", "out_at")
+    span = out.join(_ends(spark, sf_dir), "track_id").select("track_id", "out_at", "seconds", (F.col("seconds") - F.col("out_at")).alias("length"))
+    share = F.round((F.col("t") - F.col("out_at")) / F.col("length"), 9)
+    near = span.join(_downbeats(spark, sf_dir), "track_id").withColumn("share", share).where(F.col("share").between(0.5, 0.66))
+    best = near.groupBy("track_id").agg(F.min_by("t", F.struct(F.round(F.abs(F.col("share") - 0.58), 9), "t")).alias("down"))
+    placed = span.join(best, "track_id", "left")
+    return placed.select("track_id", "out_at", F.round(F.coalesce("down", F.col("out_at") + 0.58 * F.col("length")), 6).alias("swap_at"), F.col("down").isNotNull().alias("on_downbeat"))
+
+
+BASS_SWAP = f"""WITH tp AS ({TRANSITIONS}), {DOWN_SQL}, {ENDS_SQL},
+sp AS (SELECT tp.track_id, out_at, seconds - out_at AS length FROM tp JOIN ends ON tp.track_id = ends.track_id WHERE out_at IS NOT NULL),
+nr AS (SELECT sp.track_id, t, round((t - out_at) / length, 9) AS share FROM sp JOIN db ON sp.track_id = db.track_id),
+bs AS (SELECT track_id, t AS down FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY round(abs(share - 0.58::DOUBLE), 9), t) AS r FROM nr WHERE share BETWEEN 0.5::DOUBLE AND 0.66::DOUBLE) WHERE r = 1)
+SELECT sp.track_id, out_at, round(coalesce(down, out_at + 0.58::DOUBLE * length), 6) AS swap_at, down IS NOT NULL AS on_downbeat FROM sp LEFT JOIN bs ON sp.track_id = bs.track_id"""
+
+
 def clock_lookup(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", L.clock_index(F.col("p_partkey") / 8.0, F.lit(-40.0)).alias("frame"))
 
 
-QUERIES = {f.__name__: f for f in (transition_points, tempo_match, equal_power_gains, overlap_add, seam_fade, mix_checks, light_frames_asof, beat_flash, asymmetric_decay, gamma_lut, fixture_pixels, band_colours, key_hue, onset_chase, flash_rate_limit, clock_lookup)}
+QUERIES = {f.__name__: f for f in (transition_points, tempo_match, equal_power_gains, overlap_add, seam_fade, mix_checks, light_frames_asof, beat_flash, asymmetric_decay, gamma_lut, fixture_pixels, band_colours, key_hue, onset_chase, flash_rate_limit, clock_lookup, palette_crossfade, power_limit, band_light_frames, peak_chase, bass_swap_points)}
 ORACLES = {
     "transition_points": TRANSITIONS, "tempo_match": TEMPO_MATCH, "equal_power_gains": EQUAL_POWER, "overlap_add": OVERLAP, "seam_fade": SEAM, "mix_checks": MIX_CHECKS, "light_frames_asof": LIGHT_FRAMES, "beat_flash": BEAT_FLASH,
     "asymmetric_decay": DECAY, "gamma_lut": GAMMA_LUT, "fixture_pixels": FIXTURE_PIXELS, "band_colours": BAND_COLOURS, "key_hue": "SELECT p_partkey, ((p_partkey % 12) * 30)::INT AS hue FROM part", "onset_chase": CHASE,
     "flash_rate_limit": FLASH_LIMIT, "clock_lookup": "SELECT p_partkey, greatest(0, trunc((p_partkey / 8.0::DOUBLE + -40.0::DOUBLE / 1000) * 60)::INT) AS frame FROM part",
+    "palette_crossfade": PALETTE_CROSSFADE, "power_limit": POWER_LIMIT, "band_light_frames": BAND_LIGHT_FRAMES, "peak_chase": PEAK_CHASE, "bass_swap_points": BASS_SWAP,
 }
