@@ -400,14 +400,20 @@ def split_bands(y: np.ndarray, sr: int = SAMPLE_RATE, fc: float = 150.0) -> tupl
     return biquad(biquad(y, *low), *low), biquad(biquad(y, *high), *high)
 
 
-def bass_swap(a: np.ndarray, b: np.ndarray, swap_at: int, swap_len: int, sr: int = SAMPLE_RATE) -> np.ndarray:
-    """Transition of two aligned parts of equal length: highs fade at equal power over all of it, lows within
+def swap_voices(a: np.ndarray, b: np.ndarray, swap_at: int, swap_len: int, sr: int = SAMPLE_RATE) -> tuple[np.ndarray, np.ndarray]:
+    """What two aligned parts of equal length give to a transition: highs fade at equal power over all of it, lows within
     swap_len samples from swap_at."""
     n = len(a)
     t = np.linspace(0, 1, n) * np.pi / 2
     x = np.clip((np.arange(n) - swap_at) / max(1, swap_len), 0, 1) * np.pi / 2
     (a_low, a_high), (b_low, b_high) = split_bands(a, sr), split_bands(b, sr)
-    return a_high * np.cos(t) + b_high * np.sin(t) + a_low * np.cos(x) + b_low * np.sin(x)
+    return a_high * np.cos(t) + a_low * np.cos(x), b_high * np.sin(t) + b_low * np.sin(x)
+
+
+def bass_swap(a: np.ndarray, b: np.ndarray, swap_at: int, swap_len: int, sr: int = SAMPLE_RATE) -> np.ndarray:
+    """The transition of swap_voices()."""
+    x, y = swap_voices(a, b, swap_at, swap_len, sr)
+    return x + y
 
 
 def time_stretch(y: np.ndarray, rate: float) -> np.ndarray:

@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 from sonolith.constants import SAMPLE_RATE
 from sonolith.functions import kernels as K
 from sonolith.operators import analysis as A
-from sonolith.session import fresh_path, table
-from sonolith.sources.audio import decode_wav, encode_lights, encode_wav
+from sonolith.operators.catalog import track_id
+from sonolith.operators.strategies import EqSwapCrossfade, SimpleCrossfade, bass_overlap
+from sonolith.session import fresh_path, qualified, table
+from sonolith.sources.audio import audio_files, decode_wav, encode_lights, encode_wav, signals, write_files
+from sonolith.sources.frames import read_cache, write_cache
 from sonolith.streaming import live
 
 SECONDS = 6
@@ -98,6 +101,52 @@ def render_transition(spark, sf_dir):
     return A.per_signal(_signals(spark, sf_dir), kernel, "wav binary, peak double", [pa.binary(), pa.float64()])
 
 
+def _transition(y: np.ndarray) -> tuple[dict, np.ndarray]:
+    return A.describe(y) | {"duration": len(y) / SAMPLE_RATE}, y
+
+
+def mix_points(spark, sf_dir):
+    """Plan of the transition from each track into its copy that is 3 % faster."""
+
+    def kernel(y):
+        (a, _), (b, _) = _transition(y), _transition(K.time_stretch(y, 1.03).astype(np.float32))
+        p = EqSwapCrossfade().choose_points(a, b)
+        return [(p.out_at, p.in_at, p.beats, p.seconds, p.swap_at)]
+
+    return A.per_signal(_signals(spark, sf_dir), kernel, "out_at double, in_at double, beats int, seconds double, swap_at double", [pa.float64(), pa.float64(), pa.int32(), pa.float64(), pa.float64()])
+
+
+def bass_check(spark, sf_dir):
+    """Seconds in which both tracks of that transition have bass, with and without the swap of the basses."""
+
+    def kernel(y):
+        (a, x), (b, z) = _transition(y), _transition(K.time_stretch(y, 1.03).astype(np.float32))
+        swap, plain = EqSwapCrossfade(), SimpleCrossfade()
+        p = swap.choose_points(a, b)
+        with_swap = bass_overlap(*swap.voices(x, z, p))
+        return [(with_swap, bass_overlap(*plain.voices(x, z, p)), with_swap <= p.swap_sec + 2 * K.N_FFT / SAMPLE_RATE)]
+
+    return A.per_signal(_signals(spark, sf_dir), kernel, "overlap_sec double, plain_sec double, ok boolean", [pa.float64(), pa.float64(), pa.bool_()])
+
+
+def analyze_files(spark, sf_dir):
+    """Features of WAV files: the tracks are written below the shared folder, found there, decoded and analysed."""
+    folder = qualified(spark, fresh_path(spark, "library"))
+    write_files(_signals(spark, sf_dir), folder).agg(F.sum("samples")).collect()
+    found = audio_files(spark, folder)
+    names = found.select(track_id(F.col("path")).alias("track_id"), F.regexp_extract("path", r"([^/]+)$", 1).alias("file"))
+    return A.analyze(signals(found)).join(names, "track_id")
+
+
+def frame_cache(spark, sf_dir):
+    """Frames of each track in the cache's tables: how many at the full rate and at five a second, and their sizes."""
+    folder = fresh_path(spark, "frame-cache")
+    write_cache(_signals(spark, sf_dir), folder)
+    full, slow = read_cache(spark, folder)
+    counts = lambda df, n: df.groupBy("track_id").agg(F.count(F.lit(1)).alias(n))
+    return counts(full, "frames").join(counts(slow, "frames_5hz"), "track_id")
+
+
 def render_lights(spark, sf_dir):
     """Light files of 60 pixels from the tracks' bass."""
 
@@ -126,5 +175,5 @@ def live_onsets(spark, sf_dir):
     return live.run_to_memory(live.onsets(levels), f"onsets_{uuid.uuid4().hex}", "append", fresh_path(spark, "onsets"))
 
 
-QUERIES = {f.__name__: f for f in (analyze_tracks, beat_track, mfcc, contrast, spectral_frames, chroma_frames, segment_ward, loudness_measures, render_transition, render_lights, live_band_window, live_onsets)}
+QUERIES = {f.__name__: f for f in (analyze_tracks, beat_track, mfcc, contrast, spectral_frames, chroma_frames, segment_ward, loudness_measures, render_transition, mix_points, bass_check, analyze_files, frame_cache, render_lights, live_band_window, live_onsets)}
 ORACLES = {"live_band_window": LIVE_SQL, "live_onsets": ONSETS_SQL}

@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,6 +86,23 @@ def audio_files(spark: SparkSession, folder: str) -> DataFrame:
     return files.where(is_audio(F.col("path"))).select("path", "length", "content")
 
 
+def write_files(signals: DataFrame, folder: str) -> DataFrame:
+    """Write each signal (track_id, y) as folder/track_id.wav from the executors; path, samples of each. A task that runs
+    again writes the same files. folder: a URI that driver and executors share."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        for batch in batches:
+            for k in range(batch.num_rows):  # one signal at a time: they are large
+                path, y = f"{batch.column(0)[k].as_py()}.wav", batch.column(1)[k].values.to_numpy(zero_copy_only=False)
+                with store.open_output_stream(f"{root}/{path}") as out:
+                    out.write(encode_wav(y))
+                yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{path}"]), pa.array([len(y)], pa.int64())], names=["path", "samples"])
+
+    return signals.select(F.col("track_id").cast("string"), "y").mapInArrow(run, "path string, samples long")
+
+
 def scan(files: DataFrame) -> DataFrame:
     """Catalogue rows of audio files: id, file_path, file_hash, artist, title, duration_sec, sample_rate, error. What
     cannot be read is kept with its error, and does not stop the scan."""
@@ -114,7 +132,7 @@ def signals(files: DataFrame) -> DataFrame:
             for k in range(batch.num_rows):  # one signal at a time: they are large
                 y, error = None, None
                 try:
-                    y = decode_wav(batch.column(1)[k].as_py()).tolist()
+                    y = decode_wav(batch.column(1)[k].as_py())
                 except UnsupportedAudio as e:
                     error = str(e) or "no PCM WAV"
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([y], pa.list_(pa.float32())), pa.array([error], pa.string())], names=["track_id", "y", "error"])
