@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sonolith.constants import LIGHT_FPS, QUICK_HASH_BYTES, SAMPLE_RATE
+from sonolith.operators.analysis import Source
 from sonolith.operators.catalog import is_audio, quick_hash, split_name, stem, track_id
 
 
@@ -86,21 +87,21 @@ def audio_files(spark: SparkSession, folder: str) -> DataFrame:
     return files.where(is_audio(F.col("path"))).select("path", "length", "content")
 
 
-def write_files(signals: DataFrame, folder: str) -> DataFrame:
-    """Write each signal (track_id, y) as folder/track_id.wav from the executors; path, samples of each. A task that runs
-    again writes the same files. folder: a URI that driver and executors share."""
+def write_files(signals: DataFrame, folder: str, source: Source | None = None) -> DataFrame:
+    """Write each signal (track_id, y), or each that source makes of the rows, as folder/track_id.wav from the executors;
+    path, samples of each. A task that runs again writes the same files. folder: a URI that driver and executors share."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
-        for batch in batches:
+        for batch in source(batches) if source else batches:
             for k in range(batch.num_rows):  # one signal at a time: they are large
                 path, y = f"{batch.column(0)[k].as_py()}.wav", batch.column(1)[k].values.to_numpy(zero_copy_only=False)
                 with store.open_output_stream(f"{root}/{path}") as out:
                     out.write(encode_wav(y))
                 yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{path}"]), pa.array([len(y)], pa.int64())], names=["path", "samples"])
 
-    return signals.select(F.col("track_id").cast("string"), "y").mapInArrow(run, "path string, samples long")
+    return (signals if source else signals.select("track_id", "y")).mapInArrow(run, "path string, samples long")
 
 
 def scan(files: DataFrame) -> DataFrame:
@@ -124,20 +125,26 @@ def scan(files: DataFrame) -> DataFrame:
     return flat.mapInArrow(read, "id string, file_path string, file_hash string, artist string, title string, duration_sec double, sample_rate int, error string")
 
 
-def signals(files: DataFrame) -> DataFrame:
-    """track_id, y, error: decoded signals; y is null where the content cannot be decoded."""
+def decoded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """track_id, y, error of files (track_id, content); y is null where the content cannot be decoded."""
+    for batch in batches:
+        for k in range(batch.num_rows):  # one signal at a time: they are large
+            y, error = None, None
+            try:
+                y = decode_wav(batch.column(1)[k].as_py())
+            except UnsupportedAudio as e:
+                error = str(e) or "no PCM WAV"
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([y], pa.list_(pa.float32())), pa.array([error], pa.string())], names=["track_id", "y", "error"])
+
+
+def contents(files: DataFrame) -> DataFrame:
+    """track_id, content of files (path, content): what decoded() takes."""
+    return files.select(track_id(F.col("path")).alias("track_id"), "content")
 
-    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):  # one signal at a time: they are large
-                y, error = None, None
-                try:
-                    y = decode_wav(batch.column(1)[k].as_py())
-                except UnsupportedAudio as e:
-                    error = str(e) or "no PCM WAV"
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([y], pa.list_(pa.float32())), pa.array([error], pa.string())], names=["track_id", "y", "error"])
 
-    return files.select(track_id(F.col("path")).alias("track_id"), "content").mapInArrow(read, "track_id string, y array<float>, error string")
+def signals(files: DataFrame) -> DataFrame:
+    """track_id, y, error: decoded signals; y is null where the content cannot be decoded."""
+    return contents(files).mapInArrow(decoded, "track_id string, y array<float>, error string")
 
 
 # The tables of the catalogue, in the order of their versions.

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sonolith.constants import HOP, SAMPLE_RATE, STRUCTURE_FPS
 from sonolith.functions import kernels as K
-from sonolith.operators.analysis import per_signal
+from sonolith.operators.analysis import Source, per_signal
 
 _VECTOR = pa.list_(pa.float32())
 
@@ -31,20 +31,20 @@ def slow_rate(y: np.ndarray) -> list[tuple]:
     return [(k, k * factor * HOP / SAMPLE_RATE, chroma[k], mfcc[k]) for k in range(min(len(chroma), len(mfcc)))]
 
 
-def frames(signals: DataFrame) -> DataFrame:
-    """track_id, fr, t, band_energy, rms, onset_env of signals (track_id, y)."""
-    return per_signal(signals, full_rate, "fr int, t double, band_energy array<float>, rms float, onset_env float", [pa.int32(), pa.float64(), _VECTOR, pa.float32(), pa.float32()])
+def frames(signals: DataFrame, source: Source | None = None) -> DataFrame:
+    """track_id, fr, t, band_energy, rms, onset_env of signals (track_id, y), or of those that source makes."""
+    return per_signal(signals, full_rate, "fr int, t double, band_energy array<float>, rms float, onset_env float", [pa.int32(), pa.float64(), _VECTOR, pa.float32(), pa.float32()], source)
 
 
-def frames_5hz(signals: DataFrame) -> DataFrame:
-    """track_id, fr, t, chroma, mfcc of signals (track_id, y)."""
-    return per_signal(signals, slow_rate, "fr int, t double, chroma array<float>, mfcc array<float>", [pa.int32(), pa.float64(), _VECTOR, _VECTOR])
+def frames_5hz(signals: DataFrame, source: Source | None = None) -> DataFrame:
+    """track_id, fr, t, chroma, mfcc of signals (track_id, y), or of those that source makes."""
+    return per_signal(signals, slow_rate, "fr int, t double, chroma array<float>, mfcc array<float>", [pa.int32(), pa.float64(), _VECTOR, _VECTOR], source)
 
 
-def write_cache(signals: DataFrame, folder: str) -> None:
+def write_cache(signals: DataFrame, folder: str, source: Source | None = None) -> None:
     """Both tables, as Parquet below a folder that driver and executors share; what was there is replaced."""
-    frames(signals).write.mode("overwrite").parquet(f"{folder}/frames")
-    frames_5hz(signals).write.mode("overwrite").parquet(f"{folder}/frames_5hz")
+    frames(signals, source).write.mode("overwrite").parquet(f"{folder}/frames")
+    frames_5hz(signals, source).write.mode("overwrite").parquet(f"{folder}/frames_5hz")
 
 
 def read_cache(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
