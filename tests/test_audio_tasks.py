@@ -8,7 +8,7 @@ from sonolith.functions import kernels as K
 from sonolith.plans import audio
 
 SF = "/root/testdata/sf0.01"
-KERNELS = ("analyze_tracks", "mix_points", "bass_check", "loudness_measures", "chroma_frames", "segment_ward", "render_transition", "spectral_frames", "contrast")
+KERNELS = ("analyze_tracks", "mix_points", "bass_check", "loudness_measures", "chroma_frames", "segment_ward", "render_transition", "spectral_frames", "contrast", "mfcc")
 TABLES = ()
 
 
