@@ -9,7 +9,7 @@ from sonolith.plans import audio
 
 SF = "/root/testdata/sf0.01"
 KERNELS = ("analyze_tracks", "mix_points", "bass_check", "loudness_measures", "chroma_frames", "segment_ward", "render_transition", "spectral_frames", "contrast", "mfcc")
-TABLES = ("analyze_files",)
+TABLES = ("analyze_files", "frame_cache")
 
 
 @pytest.mark.parametrize("name", KERNELS)
