@@ -47,6 +47,12 @@ def test_pairs_are_all_that_tempo_and_key_allow(spark, monkeypatch):
         assert [(-r.score, r.b_id) for r in sorted(best, key=lambda r: r["rank"]) if r.a_id == seed] == mine
 
 
+def test_every_pair_of_a_seed_is_scored(spark):
+    """The ten best are the first of all."""
+    top = L.next_track_top10(spark, "/root/testdata/sf0.01").drop("rank")
+    assert top.exceptAll(L.score_breakdown(spark, "/root/testdata/sf0.01")).count() == 0
+
+
 @pytest.mark.parametrize("name", ["next_track_top10", "score_breakdown"])
 def test_pairs_are_no_rows_of_a_join(spark, name):
     plan = L.QUERIES[name](spark, "/root/testdata/sf0.01")._jdf.queryExecution().optimizedPlan().toString()
