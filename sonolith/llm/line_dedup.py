@@ -88,7 +88,7 @@ class Lines:
         number = np.arange(len(row)) - np.searchsorted(row, row, side="left")
         return row, number, starts, ends
 
-    def sets(self, low: np.ndarray, begins: np.ndarray, stops: np.ndarray, order: Order | None) -> tuple[np.ndarray, ...]:
+    def sets(self, low: np.ndarray, begins: np.ndarray, stops: np.ndarray, order: Order | None, sums: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
         """Of lines [begin, stop) of lower-cased bytes: the index of each that has words, where its tokens start and
         end, and the tokens' hashes: each once, in the order, or by hash where there is none."""
         edges = np.unique(np.concatenate([begins, stops]))
@@ -98,7 +98,7 @@ class Lines:
         size = size - low_at
         line, inside = np.repeat(np.arange(len(begins)), size), ranges(low_at, size)
         first, last = first[inside], last[inside]
-        coded = pa.array(self.hash(low, first, last)).dictionary_encode()
+        coded = pa.array(self.hash(low, first, last, sums=sums)).dictionary_encode()
         names, code = coded.dictionary.to_numpy(), coded.indices.to_numpy()
         place = np.argsort(names) if order is None else np.lexsort((names, order.level(names)))
         rank = np.empty(len(names), np.int64)
@@ -244,7 +244,7 @@ def _unpacked(raw: bytes) -> list[np.ndarray]:
 
 def _lines_and_counts(docs: DataFrame, similarity: float) -> DataFrame:
     """Rows (doc_id, text_id, line, h, h2, n, raw) of the lines - h, h2 null for a line without words, raw the hash of its
-    bytes, line -1 for a text without lines -, and rows with `counts`: the lines of each token bucket in a scan
+    lower-cased bytes, line -1 for a text without lines -, and rows with `counts`: the lines of each token bucket in a scan
     partition, in segments (line; n of the first: prefix rows)."""
     lines = Lines()
 
@@ -262,7 +262,9 @@ def _lines_and_counts(docs: DataFrame, similarity: float) -> DataFrame:
             for i, j in slices(offsets, SLICE):
                 part, off = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 row, number, begins, stops = lines.spans(part, off)
-                own, cut, end, token = lines.sets(lower_ascii(part), begins, stops, None)
+                low = lower_ascii(part)
+                sums = lines.hash.sums(low)
+                own, cut, end, token = lines.sets(low, begins, stops, None, sums)
                 h, h2, n = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
                 (h[own], h2[own]), n[own] = class_ids(token, cut), end - cut
                 _, first = np.unique(h[own], return_index=True)  # equal lines of a slice count once
@@ -270,7 +272,7 @@ def _lines_and_counts(docs: DataFrame, similarity: float) -> DataFrame:
                 rows += int((size - needed(size, similarity) + 1).sum())
                 place, times = np.unique((token[ranges(cut[first], size)] >> U64(64 - BUCKET_BITS)).astype(np.int64), return_counts=True)
                 counts[place] += times.astype(np.uint32)
-                at, raw = pa.array(i + row), lines.hash(part, begins, stops, exact=False).view(np.int64)
+                at, raw = pa.array(i + row), lines.hash(low, begins, stops, exact=False, sums=sums).view(np.int64)
                 blank = n == 0
                 yield pa.RecordBatch.from_arrays([ids.take(at), texts.take(at), pa.array(number), pa.array(h, mask=blank), pa.array(h2, mask=blank), pa.array(n), pa.array(raw), pa.nulls(len(row), pa.binary())], names=names)
         packer = zstandard.ZstdCompressor(level=1)
@@ -322,7 +324,9 @@ def _prefixes(docs: DataFrame, keys: Keys, batches_: int) -> DataFrame:
         def deal() -> pa.RecordBatch:
             columns = [np.concatenate(c) for c in zip(*held, strict=True)]
             to = (columns[0] % U64(batches_)).astype(np.int64)
-            place = np.lexsort((columns[1], columns[0], to))
+            # by batch, key and node, as far as 64 bits show them: a row that stays twice is found where batches meet
+            top, rest = U64(64 - batches_.bit_length()), U64(max(0, 32 - batches_.bit_length()))
+            place = np.argsort((to.astype(U64) << top) | ((columns[0] >> U64(32)) << rest) | (columns[1].view(U64) >> (U64(64) - rest) if rest else U64(0)))
             key, node = columns[0][place], columns[1][place]
             place = place[np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))]  # once a line
             to, columns = to[place], [c[place] for c in columns]
@@ -407,7 +411,7 @@ def _marked(raw: DataFrame) -> np.ndarray:
 
 
 def _token_sets(docs: DataFrame, order: Order, marked: np.ndarray) -> DataFrame:
-    """node, node2, tokens, in order, of the lines whose bytes' hash is marked. Other lines' words are not looked at."""
+    """node, node2, tokens, in order, of the lines whose lower-cased bytes' hash is marked. Other lines' words are not looked at."""
     lines = Lines()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -416,14 +420,15 @@ def _token_sets(docs: DataFrame, order: Order, marked: np.ndarray) -> DataFrame:
             for i, j in slices(offsets, SLICE):
                 part, off = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 _, _, begins, stops = lines.spans(part, off)
-                raw = lines.hash(part, begins, stops, exact=False)
+                low = lower_ascii(part)
+                raw = lines.hash(low, begins, stops, exact=False)
                 k = (raw >> U64(64 - MAP_BITS)).astype(np.int64)
                 _, once = np.unique(raw, return_index=True)
                 once = once[(marked[k[once] >> 3] >> (k[once] & 7).astype(np.uint8)) & 1 == 1]
                 if not len(once):
                     continue
                 size = stops[once] - begins[once]
-                own = lower_ascii(part[ranges(begins[once], size)])
+                own = low[ranges(begins[once], size)]
                 a = np.cumsum(size) - size
                 _, cut, end, token = lines.sets(own, a, a + size, order)
                 node, node2 = class_ids(token, cut)
@@ -444,11 +449,25 @@ class Sets:
         self.names, self.token = names[place], rank[coded.indices.to_numpy()]
         self.sizes = np.array([len(x) // 8 for x in raw], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
-
-    def common(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """How many tokens each pair has in common, and the first two of them (anything where there are fewer)."""
+        self.parity = np.zeros((4, len(raw)), U64)
+        mixed = mix64(self.names)  # 256 classes of tokens: whether a set has an odd number of each
+        word, bit = (mixed >> U64(6)) & U64(3), U64(1) << (mixed & U64(63))
+        some = np.flatnonzero(self.sizes)
+        for w in range(4 if len(some) else 0):
+            self.parity[w, some] = np.bitwise_xor.reduceat(np.where(word == U64(w), bit, U64(0))[self.token], self.starts[some])
+
+    def near(self, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+        """Marks of the pairs that may be similar enough: a class of tokens whose parity differs has a token that only one
+        of the two sets has."""
+        differ = sum(np.bitwise_count(p[i] ^ p[j]).astype(np.int64) for p in self.parity)
+        return differ <= self.sizes[i] + self.sizes[j] - 2 * overlap_needed(self.sizes[i], self.sizes[j], similarity)
+
+    def common(self, i: np.ndarray, j: np.ndarray, similarity: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How many tokens each pair has in common, and the first two of them (anything where there are fewer); with a
+        similarity, in prefixes that hold the first two of any pair that is similar enough and has two."""
         pair = np.arange(len(i))
-        own = np.concatenate([(np.repeat(pair, self.sizes[x]) << 32) | self.token[ranges(self.starts[x], self.sizes[x])] for x in (i, j)])
+        sizes = self.sizes if similarity is None else np.minimum(self.sizes, self.sizes - needed(self.sizes, similarity) + 2)
+        own = np.concatenate([(np.repeat(pair, sizes[x]) << 32) | self.token[ranges(self.starts[x], sizes[x])] for x in (i, j)])
         own.sort()
         both = np.append(own[:-1][own[1:] == own[:-1]], 0)
         head = np.searchsorted(both[:-1], pair << 32)
@@ -488,10 +507,15 @@ def _verified(rows: DataFrame, keys: Keys) -> DataFrame:
         def count(i: np.ndarray, j: np.ndarray) -> None:
             for k in range(0, len(i), PAIRS):
                 p, q = i[k : k + PAIRS], j[k : k + PAIRS]
-                shared, first, second = sets.common(p, q)
+                # what is cheap comes first: the signatures, then whether the pair counts here, then the whole sets
+                own = sets.near(p, q, keys.similarity)
+                p, q = p[own], q[own]
+                shared, first, second = sets.common(p, q, keys.similarity)
+                own = shared > 0
+                own[own] = keys.of_pair(first[own], second[own], node[p[own]], node[q[own]]) == key[p[own]].view(U64)
+                p, q = p[own], q[own]
+                shared, _, _ = sets.common(p, q)
                 own = shared >= np.maximum(1, overlap_needed(sets.sizes[p], sets.sizes[q], keys.similarity))
-                p, q, first, second = p[own], q[own], first[own], second[own]
-                own = keys.of_pair(first, second, node[p], node[q]) == key[p].view(U64)
                 p, q = p[own], q[own]
                 nonlocal links
                 links += np.bincount(p, minlength=len(node)) + np.bincount(q, minlength=len(node))

@@ -100,13 +100,21 @@ class SpanHasher:
     def __init__(self) -> None:
         self.up = self.down = np.ones(1, U64)
 
-    def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, exact: bool = True) -> np.ndarray:
+    def sums(self, data: np.ndarray) -> np.ndarray:
+        """Prefix sums of the data's polynomial, for calls on the same data."""
         n = len(data)
         if n >= len(self.up):
             size = max(n + 1, SLICE_BYTES + 1)
             self.up, self.down = (np.multiply.accumulate(np.concatenate(([U64(1)], np.full(size, r, U64)))) for r in (_R, _R_INV))
         sums = np.zeros(n + 1, U64)
-        np.cumsum((data.astype(U64) + U64(1)) * self.up[:n], out=sums[1:])
+        terms = data.astype(U64)
+        terms += U64(1)
+        terms *= self.up[:n]
+        np.cumsum(terms, out=sums[1:])
+        return sums
+
+    def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, exact: bool = True, sums: np.ndarray | None = None) -> np.ndarray:
+        sums = self.sums(data) if sums is None else sums
         out = mix64((sums[ends] - sums[starts]) * self.down[starts] + (ends - starts).astype(U64))
         for k in np.flatnonzero(ends - starts > LONG_SPAN).tolist() if exact else ():
             out[k] = xxhash.xxh64_intdigest(data[starts[k] : ends[k]].tobytes(), int(ends[k] - starts[k]))

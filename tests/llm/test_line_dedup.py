@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from sonolith.llm.line_dedup import BUCKET_BITS, MANY, Lines, Order, by_document, class_ids, least_difference, levels_of, line_decisions, suffix_signatures, without_repeats
+from sonolith.llm.line_dedup import BUCKET_BITS, MANY, Lines, Order, Sets, by_document, class_ids, least_difference, levels_of, line_decisions, overlap_needed, suffix_signatures, without_repeats
 from sonolith.llm.textops import SpanHasher
 
 
@@ -171,3 +171,25 @@ def test_long_words_that_a_polynomial_confuses():
     raw = np.frombuffer((a + b).encode(), np.uint8)
     h = SpanHasher()(raw, np.array([0, 2048]), np.array([2048, 4096]))
     assert a != b and h[0] != h[1]
+
+
+def test_cheap_tests_of_a_pair_lose_none_that_is_similar():
+    rng = np.random.default_rng(8)
+    order = Order(np.zeros(1 << BUCKET_BITS, np.uint8))
+    words = np.sort(rng.integers(0, 1 << 63, 400).astype(np.uint64))  # in the order: by hash, as all levels are 0
+    kept = [np.sort(rng.choice(400, size=int(n), replace=False)) for n in rng.integers(4, 120, 40)]
+    kept += [np.sort(np.unique(np.append(rng.choice(k, size=max(4, len(k) * 9 // 10), replace=False), rng.integers(0, 400, 2)))) for k in kept for _ in range(4)]
+    sets = Sets([words[k].tobytes() for k in kept], order)
+    i, j = np.triu_indices(len(kept), 1)
+    shared, first, second = sets.common(i, j)
+    similar = shared >= np.maximum(1, overlap_needed(sets.sizes[i], sets.sizes[j], 0.8))
+    near = sets.near(i, j, 0.8)
+    assert similar.sum() > 100 and near[similar].all() and near.sum() < 0.3 * len(i)
+    some, head, after = sets.common(i[similar], j[similar], 0.8)
+    assert (some >= 2).all() and (head == first[similar]).all() and (after == second[similar]).all()
+
+
+def test_hash_sums_serve_several_calls():
+    data = np.frombuffer(b"one two  three", np.uint8)
+    h, a, z = SpanHasher(), np.array([0, 4]), np.array([3, 7])
+    assert (h(data, a, z, sums=h.sums(data)) == h(data, a, z)).all()
