@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonolith.llm.textops import U64, SpanHasher, arrow_bytes, fresh_name, lower_ascii, mix64, slices, text_id, trimmed, white_space, word_spans
+from sonolith.llm.textops import U64, SpanHasher, arrow_bytes, fresh_name, lower_ascii, mix64, runs, slices, text_id, trimmed
 from sonolith.session import stash, table
 
 SIMILARITY = 0.8
@@ -69,7 +69,6 @@ class Lines:
 
     def __init__(self) -> None:
         self.hash = SpanHasher()
-        self.space = white_space()
 
     def spans(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Row, number, start and end of each line. Lines end at a line feed; a text's last line is a line, also if it
@@ -88,35 +87,46 @@ class Lines:
         number = np.arange(len(row)) - np.searchsorted(row, row, side="left")
         return row, number, starts, ends
 
-    def sets(self, low: np.ndarray, begins: np.ndarray, stops: np.ndarray, order: Order | None, sums: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-        """Of lines [begin, stop) of lower-cased bytes: the index of each that has words, where its tokens start and
-        end, and the tokens' hashes: each once, in the order, or by hash where there is none."""
-        edges = np.unique(np.concatenate([begins, stops]))
-        edges = edges[edges < len(low)]
-        first, last = word_spans(low, np.append(edges, len(low)), self.space)
+    def coded(self, low: np.ndarray, begins: np.ndarray, stops: np.ndarray, order: Order | None, sums: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+        """Of lines [begin, stop) of lower-cased bytes, one after the other with at most a line feed between: the index of
+        each that has words, where its tokens start and end, and the tokens: each once, as places in the names (hashes)
+        that come last, in the order; in any where there is none."""
+        edges = begins[begins < len(low)]
+        inner = (low != 32) & (low - np.uint8(9) > 4)  # white space: 0x20 and 0x09-0x0D
+        first, last = runs(inner, np.append(edges, len(low)))
         low_at, size = np.searchsorted(first, begins), np.searchsorted(first, stops)
         size = size - low_at
         line, inside = np.repeat(np.arange(len(begins)), size), ranges(low_at, size)
         first, last = first[inside], last[inside]
         coded = pa.array(self.hash(low, first, last, sums=sums)).dictionary_encode()
         names, code = coded.dictionary.to_numpy(), coded.indices.to_numpy()
-        place = np.argsort(names) if order is None else np.lexsort((names, order.level(names)))
-        rank = np.empty(len(names), np.int64)
-        rank[place] = np.arange(len(names))
-        both = np.sort((line << 32) | rank[code])
+        if order is not None:
+            place = np.argsort(names)
+            place = place[np.argsort(order.level(names[place]), kind="stable")]
+            rank = np.empty(len(names), np.int32)
+            rank[place] = np.arange(len(names))
+            names, code = names[place], rank[code]
+        both = (line << 32) | code
+        both.sort()
         keep = np.ones(len(both), bool)
         keep[1:] = both[1:] != both[:-1]
         both = both[keep]
-        line, token = both >> 32, names[place][both & 0xFFFFFFFF]
+        line, code = both >> 32, both & 0xFFFFFFFF
         cut = np.flatnonzero(np.append(True, line[1:] != line[:-1])) if len(line) else np.zeros(0, np.int64)
-        return line[cut], cut, np.append(cut[1:], len(line)) if len(cut) else cut, token
+        return line[cut], cut, np.append(cut[1:], len(line)) if len(cut) else cut, code, names
+
+    def sets(self, low: np.ndarray, begins: np.ndarray, stops: np.ndarray, order: Order | None, sums: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+        """As coded(), with the tokens' hashes."""
+        own, cut, end, code, names = self.coded(low, begins, stops, order, sums)
+        return own, cut, end, names[code]
 
 
-def class_ids(token: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits of each set, whatever the order of its tokens, as two longs."""
+def class_ids(token: np.ndarray, cut: np.ndarray, code: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each set, whatever the order of its tokens, as two longs; with a code, tokens are places in `token`."""
     if not len(cut):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    out = [mix64(np.add.reduceat(mix64(token ^ c), cut)).view(np.int64) for c in _CLASS]
+    mixed = (mix64(token ^ c) for c in _CLASS)
+    out = [mix64(np.add.reduceat(m if code is None else m[code], cut)).view(np.int64) for m in mixed]
     return out[0], out[1]
 
 
@@ -148,7 +158,14 @@ def suffix_signatures(token: np.ndarray, end: np.ndarray, at: np.ndarray, n: np.
         kind = token[ranges(lines - size, size)] & U64(63)
         a, z = at[wide] - (lines - size)[own] + base[own], (base + size)[own]
         out[:, wide] = 0
-        for c in range(64):
+        most = np.bincount(np.repeat(np.arange(len(size)) * 64, size) + kind.astype(np.int64)).max()
+        for w in range(8 if most < 256 else 0):  # eight counts of eight bits at once
+            run = np.append(U64(0), np.cumsum(np.where(kind >> U64(3) == U64(w), U64(1) << (kind & U64(7)) * U64(8), U64(0))))
+            x = (run[z] - run[a]) & U64(0x0F0F0F0F0F0F0F0F)
+            for shift, mask in ((4, 0x00FF00FF00FF00FF), (8, 0x0000FFFF0000FFFF), (16, 0x00000000FFFFFFFF)):
+                x = (x | x >> U64(shift)) & U64(mask)
+            out[w // 2, wide] |= x << U64(32 * (w % 2))
+        for c in range(64 if most >= 256 else 0):
             run = np.append(0, np.cumsum(kind == U64(c)))
             out[c // 16, wide] |= ((run[z] - run[a]) & 15).astype(U64) << U64(4 * (c % 16))
     return out
@@ -264,14 +281,14 @@ def _lines_and_counts(docs: DataFrame, similarity: float) -> DataFrame:
                 row, number, begins, stops = lines.spans(part, off)
                 low = lower_ascii(part)
                 sums = lines.hash.sums(low)
-                own, cut, end, token = lines.sets(low, begins, stops, None, sums)
+                own, cut, end, code, token = lines.coded(low, begins, stops, None, sums)
                 h, h2, n = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
-                (h[own], h2[own]), n[own] = class_ids(token, cut), end - cut
+                (h[own], h2[own]), n[own] = class_ids(token, cut, code), end - cut
                 _, first = np.unique(h[own], return_index=True)  # equal lines of a slice count once
                 size = (end - cut)[first]
                 rows += int((size - needed(size, similarity) + 1).sum())
-                place, times = np.unique((token[ranges(cut[first], size)] >> U64(64 - BUCKET_BITS)).astype(np.int64), return_counts=True)
-                counts[place] += times.astype(np.uint32)
+                times = np.bincount(code[ranges(cut[first], size)], minlength=len(token))
+                np.add.at(counts, (token >> U64(64 - BUCKET_BITS)).astype(np.int64), times.astype(np.uint32))
                 at, raw = pa.array(i + row), lines.hash(low, begins, stops, exact=False, sums=sums).view(np.int64)
                 blank = n == 0
                 yield pa.RecordBatch.from_arrays([ids.take(at), texts.take(at), pa.array(number), pa.array(h, mask=blank), pa.array(h2, mask=blank), pa.array(n), pa.array(raw), pa.nulls(len(row), pa.binary())], names=names)
@@ -367,7 +384,10 @@ def _live(dealt: DataFrame, similarity: float) -> DataFrame:
 
     def compared(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
         key, node, n, pos, *bits = (np.concatenate(c) for c in zip(*parts, strict=True))
-        place = np.lexsort((node, n, key))
+        # by key, size and node, as far as 64 bits show them
+        _, rank = np.unique(key, return_inverse=True)
+        a, b = len(key).bit_length(), int(n.max()).bit_length()
+        place = np.argsort((rank.astype(U64) << U64(64 - a)) | (n.astype(U64) << U64(64 - a - b)) | (node.view(U64) >> U64(a + b)))
         key, node, n, pos, bits = key[place], node[place], n[place].astype(np.int64), pos[place].astype(np.int64), np.stack(bits)[:, place]
         first = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))  # other slices' rows of a line
         key, node, n, pos, bits = key[first], node[first], n[first], pos[first], bits[:, first]
@@ -383,7 +403,11 @@ def _live(dealt: DataFrame, similarity: float) -> DataFrame:
             p, q = i[some], j[some]
             good = (n[p] - pos[p] + n[q] - pos[q] - least_difference(bits[:, p], bits[:, q], n[p], n[q])) // 2 >= least[some]
             keep[p[good]] = keep[q[good]] = True
-        return pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), pa.array(node[keep])], names=["key", "node"])
+        key, node = key[keep], node[keep]
+        place = np.lexsort((node, key))
+        key, node = key[place], node[place]
+        once = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))[: len(key)]
+        return pa.RecordBatch.from_arrays([pa.array(key[once].view(np.int64)), pa.array(node[once])], names=["key", "node"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []

@@ -59,8 +59,12 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
 
 def word_spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of maximal runs of bytes that space[byte] does not mark; no run crosses a row."""
-    inner = ~space[data]
-    n = len(data)
+    return runs(~space[data], offsets)
+
+
+def runs(inner: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of maximal runs of marked places; no run crosses an offset."""
+    n = len(inner)
     if n == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     edge = np.zeros(n + 1, bool)
