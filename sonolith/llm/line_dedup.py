@@ -38,6 +38,8 @@ COMMON = 1000
 #: Pairs whose common tokens are found at once, members that are verified at once (whole groups), and members of a group
 #: of which all pairs of fitting length are verified; larger groups go by products of tiles.
 PAIRS, MEMBERS, FEW = 1 << 13, 1 << 13, 32
+#: Stands for a doc_id that is null: it comes last.
+LAST = (1 << 63) - 1
 _CLASS = (U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F))
 
 
@@ -87,7 +89,7 @@ class Lines:
         number = np.arange(len(row)) - np.searchsorted(row, row, side="left")
         return row, number, starts, ends
 
-    def coded(self, low: np.ndarray, begins: np.ndarray, stops: np.ndarray, order: Order | None, sums: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    def coded(self, low: np.ndarray, begins: np.ndarray, stops: np.ndarray, order: Order | None) -> tuple[np.ndarray, ...]:
         """Of lines [begin, stop) of lower-cased bytes, one after the other with at most a line feed between: the index of
         each that has words, where its tokens start and end, and the tokens: each once, as places in the names (hashes)
         that come last, in the order; in any where there is none."""
@@ -98,7 +100,7 @@ class Lines:
         size = size - low_at
         line, inside = np.repeat(np.arange(len(begins)), size), ranges(low_at, size)
         first, last = first[inside], last[inside]
-        coded = pa.array(self.hash(low, first, last, sums=sums)).dictionary_encode()
+        coded = pa.array(self.hash(low, first, last)).dictionary_encode()
         names, code = coded.dictionary.to_numpy(), coded.indices.to_numpy()
         if order is not None:
             place = np.argsort(names)
@@ -115,9 +117,9 @@ class Lines:
         cut = np.flatnonzero(np.append(True, line[1:] != line[:-1])) if len(line) else np.zeros(0, np.int64)
         return line[cut], cut, np.append(cut[1:], len(line)) if len(cut) else cut, code, names
 
-    def sets(self, low: np.ndarray, begins: np.ndarray, stops: np.ndarray, order: Order | None, sums: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    def sets(self, low: np.ndarray, begins: np.ndarray, stops: np.ndarray, order: Order | None) -> tuple[np.ndarray, ...]:
         """As coded(), with the tokens' hashes."""
-        own, cut, end, code, names = self.coded(low, begins, stops, order, sums)
+        own, cut, end, code, names = self.coded(low, begins, stops, order)
         return own, cut, end, names[code]
 
 
@@ -260,14 +262,14 @@ def _unpacked(raw: bytes) -> list[np.ndarray]:
 
 
 def _lines_and_counts(docs: DataFrame, similarity: float) -> DataFrame:
-    """Rows (doc_id, text_id, line, h, h2, n, raw) of the lines - h, h2 null for a line without words, raw the hash of its
-    lower-cased bytes, line -1 for a text without lines -, and rows with `counts`: the lines of each token bucket in a scan
+    """Rows (doc_id, text_id, line, h, h2, n) of the lines - h, h2 null for a line without words, line -1 for a text
+    without lines -, and rows with `counts`: the lines of each token bucket in a scan
     partition, in segments (line; n of the first: prefix rows)."""
     lines = Lines()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, rows = np.zeros(1 << BUCKET_BITS, np.uint32), 0
-        names = ["doc_id", "text_id", "line", "h", "h2", "n", "raw", "counts"]
+        names = ["doc_id", "text_id", "line", "h", "h2", "n", "counts"]
         for batch in batches:
             ids, texts = batch.column(0).cast(pa.int64()), batch.column(2)
             data, offsets = arrow_bytes(batch.column(1))
@@ -275,13 +277,11 @@ def _lines_and_counts(docs: DataFrame, similarity: float) -> DataFrame:
             if len(none):
                 null = pa.nulls(len(none), pa.int64())
                 zero = pa.array(np.zeros(len(none), np.int64))
-                yield pa.RecordBatch.from_arrays([ids.take(none), texts.take(none), pa.array(np.full(len(none), -1)), null, null, zero, zero, pa.nulls(len(none), pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([ids.take(none), texts.take(none), pa.array(np.full(len(none), -1)), null, null, zero, pa.nulls(len(none), pa.binary())], names=names)
             for i, j in slices(offsets, SLICE):
                 part, off = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 row, number, begins, stops = lines.spans(part, off)
-                low = lower_ascii(part)
-                sums = lines.hash.sums(low)
-                own, cut, end, code, token = lines.coded(low, begins, stops, None, sums)
+                own, cut, end, code, token = lines.coded(lower_ascii(part), begins, stops, None)
                 h, h2, n = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
                 (h[own], h2[own]), n[own] = class_ids(token, cut, code), end - cut
                 _, first = np.unique(h[own], return_index=True)  # equal lines of a slice count once
@@ -289,16 +289,16 @@ def _lines_and_counts(docs: DataFrame, similarity: float) -> DataFrame:
                 rows += int((size - needed(size, similarity) + 1).sum())
                 times = np.bincount(code[ranges(cut[first], size)], minlength=len(token))
                 np.add.at(counts, (token >> U64(64 - BUCKET_BITS)).astype(np.int64), times.astype(np.uint32))
-                at, raw = pa.array(i + row), lines.hash(low, begins, stops, exact=False, sums=sums).view(np.int64)
+                at = pa.array(i + row)
                 blank = n == 0
-                yield pa.RecordBatch.from_arrays([ids.take(at), texts.take(at), pa.array(number), pa.array(h, mask=blank), pa.array(h2, mask=blank), pa.array(n), pa.array(raw), pa.nulls(len(row), pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([ids.take(at), texts.take(at), pa.array(number), pa.array(h, mask=blank), pa.array(h2, mask=blank), pa.array(n), pa.nulls(len(row), pa.binary())], names=names)
         packer = zstandard.ZstdCompressor(level=1)
         null, total = pa.nulls(SEGMENTS, pa.int64()), np.zeros(SEGMENTS, np.int64)
         total[0] = rows
         packed = [packer.compress(part.tobytes()) for part in counts.reshape(SEGMENTS, -1)]
-        yield pa.RecordBatch.from_arrays([null, null, pa.array(np.arange(SEGMENTS)), null, null, pa.array(total), null, pa.array(packed, pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([null, null, pa.array(np.arange(SEGMENTS)), null, null, pa.array(total), pa.array(packed, pa.binary())], names=names)
 
-    return docs.select("doc_id", "text", text_id().alias("t")).mapInArrow(trimmed(run), "doc_id long, text_id long, line long, h long, h2 long, n long, raw long, counts binary")
+    return docs.select("doc_id", "text", text_id().alias("t")).mapInArrow(trimmed(run), "doc_id long, text_id long, line long, h long, h2 long, n long, counts binary")
 
 
 def _order(parts: DataFrame) -> tuple[Order, int]:
@@ -424,10 +424,15 @@ def _live(dealt: DataFrame, similarity: float) -> DataFrame:
     return dealt.repartition("batch").sortWithinPartitions("batch").mapInArrow(trimmed(run), "key long, node long")
 
 
-def _marked(raw: DataFrame) -> np.ndarray:
-    """A map, 8 bits a byte, of the hashes raw: made by the executors, in parts of 4 KB."""
-    k = F.shiftrightunsigned("raw", 64 - MAP_BITS) + 1
-    parts = raw.groupBy(F.bitmap_bucket_number(k).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(k)).alias("bits"))
+def _bits(doc: np.ndarray, text: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """The bit of a line in the map of _marked()."""
+    return ((text.view(U64) >> U64(64 - MAP_BITS)).astype(np.int64) ^ line ^ doc) & ((1 << MAP_BITS) - 1)
+
+
+def _marked(places: DataFrame) -> np.ndarray:
+    """A map, 8 bits a byte, of lines (doc, text_id, line): made by the executors, in parts of 4 KB."""
+    k = F.shiftrightunsigned("text_id", 64 - MAP_BITS).bitwiseXOR(F.col("line")).bitwiseXOR(F.col("doc")).bitwiseAND(F.lit((1 << MAP_BITS) - 1)) + 1
+    parts = places.groupBy(F.bitmap_bucket_number(k).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(k)).alias("bits"))
     out = np.zeros((1 << MAP_BITS) // 32768 * 4096, np.uint8)
     for r in parts.toLocalIterator():
         out[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["bits"], np.uint8)
@@ -435,30 +440,29 @@ def _marked(raw: DataFrame) -> np.ndarray:
 
 
 def _token_sets(docs: DataFrame, order: Order, marked: np.ndarray) -> DataFrame:
-    """node, node2, tokens, in order, of the lines whose lower-cased bytes' hash is marked. Other lines' words are not looked at."""
+    """node, node2, tokens, in order, of the lines that are marked, by their text and number. Other lines' words are not
+    looked at."""
     lines = Lines()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = arrow_bytes(batch.column(0))
+            data, offsets = arrow_bytes(batch.column(1))
+            doc, text = np.asarray(batch.column(0).cast(pa.int64()).fill_null(LAST)), np.asarray(batch.column(2))
             for i, j in slices(offsets, SLICE):
                 part, off = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                _, _, begins, stops = lines.spans(part, off)
-                low = lower_ascii(part)
-                raw = lines.hash(low, begins, stops, exact=False)
-                k = (raw >> U64(64 - MAP_BITS)).astype(np.int64)
-                _, once = np.unique(raw, return_index=True)
-                once = once[(marked[k[once] >> 3] >> (k[once] & 7).astype(np.uint8)) & 1 == 1]
+                row, number, begins, stops = lines.spans(part, off)
+                k = _bits(doc[i + row], text[i + row], number)
+                once = np.flatnonzero((marked[k >> 3] >> (k & 7).astype(np.uint8)) & 1)
                 if not len(once):
                     continue
                 size = stops[once] - begins[once]
-                own = low[ranges(begins[once], size)]
+                own = lower_ascii(part[ranges(begins[once], size)])
                 a = np.cumsum(size) - size
                 _, cut, end, token = lines.sets(own, a, a + size, order)
                 node, node2 = class_ids(token, cut)
                 yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(node2), pa.array([token[a:z].tobytes() for a, z in zip(cut.tolist(), end.tolist(), strict=True)], pa.binary())], names=["node", "node2", "tokens"])
 
-    return docs.select("text").mapInArrow(trimmed(run), "node long, node2 long, tokens binary").groupBy("node", "node2").agg(F.first("tokens").alias("tokens"))
+    return docs.select("doc_id", "text", text_id().alias("t")).mapInArrow(trimmed(run), "node long, node2 long, tokens binary").groupBy("node", "node2").agg(F.first("tokens").alias("tokens"))
 
 
 class Sets:
@@ -609,9 +613,9 @@ def line_decisions(docs: DataFrame, similarity: float = SIMILARITY, tile: int =
     both = stash(_lines_and_counts(docs, similarity), "lines")
     order, rows = _order(both.where("counts IS NOT NULL").select("line", "n", "counts"))
     keys = Keys(order, similarity, hot, tile)
-    last = F.lit((1 << 63) - 1)
-    lines = both.where("counts IS NULL").select("doc_id", "text_id", "line", "h", "h2", "n", "raw")
-    place = F.struct(F.coalesce("doc_id", last).alias("doc"), "text_id", "line", "raw")
+    last = F.lit(LAST)
+    lines = both.where("counts IS NULL").select("doc_id", "text_id", "line", "h", "h2", "n")
+    place = F.struct(F.coalesce("doc_id", last).alias("doc"), "text_id", "line")
     first = lines.where("h IS NOT NULL").groupBy("h", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times"))
     first = stash(first.select("h", "h2", "first.*", "times"), "classes")
     live = stash(_live(_prefixes(docs, keys, max(1, -(-rows // batch_rows))), similarity), "live")
@@ -621,12 +625,12 @@ def line_decisions(docs: DataFrame, similarity: float = SIMILARITY, tile: int =
     members = live.join(placed, "node").join(sets, ["node", "node2"]).select("key", "node", "node2", "doc", "text_id", "line", "tokens")
     found = _verified(members, keys).groupBy("node", "node2").agg(F.sum("links").alias("links"), F.max("later").alias("later"))
     found = stash(found.select(F.col("node").alias("h"), F.col("node2").alias("h2"), "links", "later"), "line-links")
-    classes = first.join(found, ["h", "h2"], "left").where("times > 1 OR links > 0").drop("raw").withColumnsRenamed({"text_id": "own_text", "line": "own_line"})
+    classes = first.join(found, ["h", "h2"], "left").where("times > 1 OR links > 0").withColumnsRenamed({"text_id": "own_text", "line": "own_line"})
     common = F.broadcast(classes.where(F.col("times") * COMMON > both.count()))
-    worded = lines.where("h IS NOT NULL").drop("raw")
+    worded = lines.where("h IS NOT NULL")
     often = worded.join(common, ["h", "h2"])
     seldom = worded.join(common.select("h", "h2"), ["h", "h2"], "left_anti").join(classes, ["h", "h2"], "left")
-    blank = lines.where("h IS NULL").drop("raw")
+    blank = lines.where("h IS NULL")
     again = (F.coalesce("doc_id", last) != F.col("doc")) | (F.col("text_id") != F.col("own_text")) | (F.col("line") != F.col("own_line"))
     decided = often.unionByName(seldom).unionByName(blank, allowMissingColumns=True)
     return decided.select("doc_id", "text_id", "line", "n", F.coalesce(again | F.coalesce("later", F.lit(False)), F.lit(False)).alias("removed"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))

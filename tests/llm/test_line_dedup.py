@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from sonolith.llm.line_dedup import BUCKET_BITS, MANY, Lines, Order, Sets, by_document, class_ids, least_difference, levels_of, line_decisions, overlap_needed, suffix_signatures, without_repeats
+from sonolith.llm.line_dedup import BUCKET_BITS, MANY, MAP_BITS, Lines, Order, Sets, _bits, _marked, by_document, class_ids, least_difference, levels_of, line_decisions, overlap_needed, suffix_signatures, without_repeats
 from sonolith.llm.textops import SpanHasher
 
 
@@ -189,7 +189,15 @@ def test_cheap_tests_of_a_pair_lose_none_that_is_similar():
     assert (some >= 2).all() and (head == first[similar]).all() and (after == second[similar]).all()
 
 
-def test_hash_sums_serve_several_calls():
-    data = np.frombuffer(b"one two  three", np.uint8)
-    h, a, z = SpanHasher(), np.array([0, 4]), np.array([3, 7])
-    assert (h(data, a, z, sums=h.sums(data)) == h(data, a, z)).all()
+def test_lines_are_marked_by_their_place():
+    """The map of the lines to fetch is made by Spark's expressions and read by the workers."""
+    doc, text, line = np.array([5, (1 << 63) - 1, 0]), np.array([-3, 1 << 62, 77]), np.array([0, 9, 1 << 20])
+    mask = (1 << MAP_BITS) - 1
+    plain = [(int(t) % (1 << 64) >> 64 - MAP_BITS) ^ int(n) & mask ^ int(d) & mask for d, t, n in zip(doc, text, line, strict=True)]
+    assert _bits(doc, text, line).tolist() == plain
+
+
+def test_map_of_spark_is_that_of_the_workers(spark):
+    rows = [(5, -3, 0), ((1 << 63) - 1, 1 << 62, 9), (0, 77, 1 << 20)]
+    found = _marked(spark.createDataFrame(rows, "doc long, text_id long, line long"))
+    assert np.flatnonzero(np.unpackbits(found, bitorder="little")).tolist() == sorted(_bits(*np.array(rows).T).tolist())
