@@ -13,22 +13,22 @@ from sonolith.operators.analysis import Source, per_signal
 _VECTOR = pa.list_(pa.float32())
 
 
-def full_rate(y: np.ndarray) -> list[tuple]:
+def full_rate(y: np.ndarray) -> tuple[np.ndarray, ...]:
     """fr, t, band_energy, rms, onset_env of each frame."""
     s = K.stft(y)
     bands, onset = K.band_energies(s).T.astype(np.float32), K.onset_strength(s)
-    n = len(bands)
-    energy = np.pad(y.astype(float) ** 2, K.N_FFT // 2)
-    rms = np.sqrt(K.framed(energy).mean(axis=1))
-    return [(k, k * HOP / SAMPLE_RATE, bands[k], float(rms[k]), float(onset[k])) for k in range(min(n, len(rms), len(onset)))]
+    rms = K.frame_rms(y)
+    n = min(len(bands), len(rms), len(onset))
+    return np.arange(n), np.arange(n) * HOP / SAMPLE_RATE, bands[:n], rms[:n], onset[:n]
 
 
-def slow_rate(y: np.ndarray) -> list[tuple]:
+def slow_rate(y: np.ndarray) -> tuple[np.ndarray, ...]:
     """fr, t, chroma, mfcc: means over blocks of frames, five a second."""
     s = K.stft(y)
     factor = max(1, round(SAMPLE_RATE / HOP / STRUCTURE_FPS))
     chroma, mfcc = (K.block_mean(x, factor).T.astype(np.float32) for x in (K.chroma_of(y), K.mfcc(s)))
-    return [(k, k * factor * HOP / SAMPLE_RATE, chroma[k], mfcc[k]) for k in range(min(len(chroma), len(mfcc)))]
+    n = min(len(chroma), len(mfcc))
+    return np.arange(n), np.arange(n) * factor * HOP / SAMPLE_RATE, chroma[:n], mfcc[:n]
 
 
 def frames(signals: DataFrame, source: Source | None = None) -> DataFrame:

@@ -5,7 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from sonolith.functions import kernels as K
+from sonolith.operators import analysis as A
 from sonolith.plans import audio
+from sonolith.sources import frames
 
 SF = "/root/testdata/sf0.01"
 KERNELS = ("analyze_tracks", "mix_points", "bass_check", "loudness_measures", "chroma_frames", "segment_ward", "render_transition", "spectral_frames", "contrast", "mfcc")
@@ -63,3 +65,94 @@ def test_a_cascade_is_its_sections_one_by_one():
     b, a = K.butterworth(150.0, 22050, False)
     once = lambda x: K.convolved(x, K.impulse_response(b, a))
     assert np.abs(K.cascade(y, (b, a), (b, a)) - once(once(y))).max() < 1e-10
+
+
+def kernel_of(monkeypatch, name):
+    """The kernel that a query runs on each signal."""
+    monkeypatch.setattr(audio, "_per_signal", lambda spark, sf_dir, kernel, schema, kinds: kernel)
+    return audio.QUERIES[name](None, SF)
+
+
+def transformed(monkeypatch, run):
+    """How many samples run() sends through transforms, in thousands."""
+    done = []
+    for name in ("rfft", "irfft"):
+        plain = getattr(np.fft, name)
+
+        def counted(x, n=None, axis=-1, plain=plain, inverse=name == "irfft", **named):
+            size = n or (2 * (x.shape[axis] - 1) if inverse else x.shape[axis])
+            done.append(x.size // x.shape[axis] * size)
+            return plain(x, n, axis, **named)
+
+        monkeypatch.setattr(np.fft, name, counted)
+    run()
+    monkeypatch.undo()
+    return sum(done) / 1000
+
+
+def forbidden(*args, **named):
+    raise AssertionError("not needed")
+
+
+@pytest.mark.parametrize("name", ["mfcc", "contrast", "spectral_frames", "chroma_frames"])
+def test_frames_go_to_arrow_as_columns(monkeypatch, name):
+    got = kernel_of(monkeypatch, name)(audio.synth(3))
+    assert isinstance(got, tuple) and all(isinstance(c, np.ndarray) and len(c) == 259 for c in got)
+
+
+def test_tables_of_frames_are_columns():
+    for make in (frames.full_rate, frames.slow_rate):
+        got = make(audio.synth(3))
+        assert isinstance(got, tuple) and len({len(c) for c in got}) == 1
+
+
+@pytest.mark.parametrize("name", ["mix_points", "bass_check"])
+def test_points_take_no_loudness_and_no_key(monkeypatch, name):
+    kernel, y = kernel_of(monkeypatch, name), audio.synth(3)
+    want = kernel(y)
+    monkeypatch.setattr(K, "loudness", forbidden)
+    monkeypatch.setattr(A, "key", forbidden)
+    assert kernel(y) == want
+
+
+def test_an_outline_is_that_of_all_features():
+    y = audio.synth(3)
+    whole, got = A.describe(y), A.outline(y)
+    assert got.pop("duration") == audio.SECONDS
+    assert all(np.array_equal(v, whole[n]) if isinstance(v, np.ndarray) else v == whole[n] for n, v in got.items())
+
+
+@pytest.mark.parametrize(("name", "most"), [("segment_ward", 2900), ("analyze_files", 3400), ("render_transition", 2000)])
+def test_transforms_are_few(monkeypatch, name, most):
+    y = audio.synth(3)
+    run = A.describe if name == "analyze_files" else kernel_of(monkeypatch, name)
+    run(y)
+    assert transformed(monkeypatch, lambda: run(y)) < most
+
+
+def test_chroma_is_that_of_the_whole_rate():
+    y, n = np.random.default_rng(7).normal(size=60001) + audio.synth(3)[:60001], 1 << 14
+    weight, first = K.chroma_weights(n), int(np.searchsorted(K.frequencies(n), K.CHROMA_RANGE[0]))
+    raw = weight @ K.magnitudes(K.framed(np.pad(y, n // 2), n), first, first + weight.shape[1]).T
+    assert np.abs(K.chroma_of(y) - raw / raw.max(axis=0)).max() < 1e-8
+
+
+def test_true_peak_is_that_of_each_phase(monkeypatch):
+    y = np.random.default_rng(8).normal(size=5001)
+    fir = np.sinc(np.arange(-40, 41) / 4) * np.kaiser(81, 5.0)
+    plain = max(np.abs(np.convolve(y, fir[p::4], "same")).max() for p in range(4))
+    monkeypatch.setattr(np, "convolve", forbidden)
+    assert abs(K.true_peak(y) - 20 * np.log10(plain)) < 1e-10
+
+
+def test_bands_of_each_filter_are_convolved_at_once(monkeypatch):
+    y = np.random.default_rng(9).normal(size=50000)
+    K.split_bands(y)
+    assert transformed(monkeypatch, lambda: K.split_bands(y)) < 250
+
+
+@pytest.mark.parametrize("size", [1, 700, 5000, 30001])
+def test_frame_rms_is_that_of_the_frames(size):
+    y = np.random.default_rng(10).normal(size=size)
+    plain = np.sqrt((K.framed(np.pad(y, K.N_FFT // 2)) ** 2).mean(axis=1))
+    assert np.abs(K.frame_rms(y) - plain).max() < 1e-12
