@@ -1,5 +1,6 @@
 """How the audio queries deal their signals to tasks, and kernels against their plain forms."""
 
+import resource
 import tracemalloc
 
 import numpy as np
@@ -231,3 +232,12 @@ def test_phases_of_a_stretch_are_the_sums_of_turns(rate):
 def test_a_stretch_keeps_few_frames():
     y = audio.synth(3)
     assert memory(lambda: K.time_stretch(y, 1.03)) < 6_000_000
+
+
+def test_memory_of_a_signal_is_taken_from_the_system_once():
+    A.keep_memory()
+    y = audio.synth(3)
+    A.outline(y)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+    A.outline(y)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before < 1000
