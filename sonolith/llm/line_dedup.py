@@ -148,9 +148,11 @@ def suffix_signatures(token: np.ndarray, end: np.ndarray, at: np.ndarray, n: np.
     out = np.zeros((4, len(at)), U64)
     if not len(at):
         return out
-    for w in range(2):
-        bit = np.where(((token >> U64(6)) & U64(1)) == U64(w), U64(1) << (token & U64(63)), U64(0))
-        run = np.append(U64(0), np.bitwise_xor.accumulate(bit))
+    both = U64(1) << (token & U64(63))
+    odd = both * ((token >> U64(6)) & U64(1))
+    run = np.zeros(len(token) + 1, U64)
+    for w, bit in enumerate((both ^ odd, odd)):
+        np.bitwise_xor.accumulate(bit, out=run[1:])
         out[w] = run[end] ^ run[at]
     wide = np.flatnonzero(n > MANY)
     if len(wide):
@@ -356,13 +358,13 @@ def _prefixes(docs: DataFrame, keys: Keys, batches_: int) -> DataFrame:
             for i, j in slices(offsets, SLICE):
                 part, off = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 _, _, begins, stops = lines.spans(part, off)
-                _, cut, end, token = lines.sets(lower_ascii(part), begins, stops, keys.order)
-                node, _ = class_ids(token, cut)
+                _, cut, end, code, names = lines.coded(lower_ascii(part), begins, stops, keys.order)
+                node, _ = class_ids(names, cut, code)
                 _, once = np.unique(node, return_index=True)
                 once = once[(end - cut)[once] > reach]
                 if not len(once):
                     continue
-                key, node, n, pos, bits = keys.rows(token, cut[once], end[once], node[once])
+                key, node, n, pos, bits = keys.rows(names[code], cut[once], end[once], node[once])
                 held.append((key, node, n.astype(np.uint32), pos.astype(np.uint32), *bits))
                 size += len(key)
                 if size >= HELD_ROWS:
@@ -497,7 +499,7 @@ class Sets:
         pair = np.arange(len(i))
         sizes = self.sizes if similarity is None else np.minimum(self.sizes, self.sizes - needed(self.sizes, similarity) + 2)
         own = np.concatenate([(np.repeat(pair, sizes[x]) << 32) | self.token[ranges(self.starts[x], sizes[x])] for x in (i, j)])
-        own.sort()
+        own.sort(kind="stable")  # tokens of a set are in order, so these are two runs to merge
         both = np.append(own[:-1][own[1:] == own[:-1]], 0)
         head = np.searchsorted(both[:-1], pair << 32)
         code = both & 0xFFFFFFFF

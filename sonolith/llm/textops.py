@@ -86,10 +86,11 @@ def white_space() -> np.ndarray:
 def mix64(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit."""
     h = h ^ (h >> U64(32))
-    h = h * U64(0xD6E8FEB86659FD93)
-    h = h ^ (h >> U64(29))
-    h = h * U64(0xA0761D6478BD642F)
-    return h ^ (h >> U64(32))
+    h *= U64(0xD6E8FEB86659FD93)
+    h ^= h >> U64(29)
+    h *= U64(0xA0761D6478BD642F)
+    h ^= h >> U64(32)
+    return h
 
 
 #: Spans of more bytes than this have a hash of their own: a polynomial modulo 2**64 has built collisions from about

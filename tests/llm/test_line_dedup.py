@@ -201,3 +201,28 @@ def test_map_of_spark_is_that_of_the_workers(spark):
     rows = [(5, -3, 0), ((1 << 63) - 1, 1 << 62, 9), (0, 77, 1 << 20)]
     found = _marked(spark.createDataFrame(rows, "doc long, text_id long, line long"))
     assert np.flatnonzero(np.unpackbits(found, bitorder="little")).tolist() == sorted(_bits(*np.array(rows).T).tolist())
+
+
+def test_common_tokens_are_found_by_merging(monkeypatch):
+    rng = np.random.default_rng(17)
+    order = Order(rng.integers(0, 90, 1 << BUCKET_BITS).astype(np.uint8))
+    names = rng.integers(1, 1 << 63, 60).astype(np.uint64)
+    names = names[np.lexsort((names, order.level(names)))]
+    raw = [names[np.sort(rng.choice(60, n, replace=False))] for n in (1, 5, 20, 33, 60, 7, 20, 41)]
+    sets, merged = Sets([r.tobytes() for r in raw], order), []
+    i, j = np.triu_indices(len(raw), 1)
+
+    class Sorted(np.ndarray):
+        def sort(self, *args, **named):
+            merged.append(named.get("kind"))
+            assert (np.diff(np.asarray(self)) < 0).sum() <= 1  # two runs
+            np.asarray(self).sort(*args, **named)
+
+    concatenate = np.concatenate
+    monkeypatch.setattr(np, "concatenate", lambda parts, *args: concatenate(parts, *args).view(Sorted))
+    shared, first, second = (np.asarray(x) for x in sets.common(i, j))
+    monkeypatch.undo()
+    assert merged == ["stable"]
+    for a, b, n, x, y in zip(i, j, shared, first, second, strict=True):
+        both = [t for t in raw[a].tolist() if t in set(raw[b].tolist())]
+        assert n == len(both) and (n < 1 or x == both[0]) and (n < 2 or y == both[1])
