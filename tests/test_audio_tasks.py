@@ -11,6 +11,7 @@ from sonolith.functions import kernels as K
 from sonolith.operators import analysis as A
 from sonolith.plans import audio
 from sonolith.sources import frames
+from sonolith.sources.audio import encode_wav
 
 SF = "/root/testdata/sf0.01"
 KERNELS = ("analyze_tracks", "mix_points", "bass_check", "loudness_measures", "chroma_frames", "segment_ward", "render_transition", "spectral_frames", "contrast", "mfcc")
@@ -256,3 +257,38 @@ def test_a_signal_takes_one_exponential_a_sample(monkeypatch):
     monkeypatch.setattr(np, "exp", lambda x: done.append(x.size) or plain(x))
     audio.synth(5)
     assert sum(done) <= audio.SECONDS * 22050
+
+
+@pytest.mark.parametrize(("at", "size"), [(20000, 5000), (0, 0), (-500, 3000), (49900, 5000), (60000, 10)])
+def test_voices_of_a_swap_are_their_plain_sums(monkeypatch, at, size):
+    a, b = np.random.default_rng(14).normal(size=(2, 50000))
+    t, x = np.linspace(0, 1, 50000) * np.pi / 2, np.clip((np.arange(50000) - at) / max(1, size), 0, 1) * np.pi / 2
+    (a_low, a_high), (b_low, b_high) = K.split_bands(a), K.split_bands(b)
+    plain, done = (a_high * np.cos(t) + a_low * np.cos(x), b_high * np.sin(t) + b_low * np.sin(x)), []
+    for name in ("cos", "sin"):
+        monkeypatch.setattr(np, name, lambda v, f=getattr(np, name): done.append(v.size) or f(v))
+    got = K.swap_voices(a, b, at, size)
+    assert all(np.abs(p - q).max() < 1e-12 for p, q in zip(got, plain, strict=True)) and sum(done) <= 50000 + 2 * max(1, size)
+
+
+@pytest.mark.parametrize("top", [1.0, 1e6, 1e40, 1e250])
+def test_flatness_takes_logarithms_of_products(monkeypatch, top):
+    rows = np.random.default_rng(15).uniform(1e-10, 1, (7, 1025)) ** 2 * top + 1e-10
+    plain, done, log = np.log(rows).mean(axis=1), [], np.log
+    monkeypatch.setattr(np, "log", lambda v: done.append(v.size) or log(v))
+    assert np.abs(K.log_means(rows) - plain).max() < 1e-10
+    assert top > 1e38 or sum(done) * 7 < rows.size
+
+
+def test_loudness_adds_up_squares_once(monkeypatch):
+    y, done, cumsum = audio.synth(3), [], np.cumsum
+    monkeypatch.setattr(np, "cumsum", lambda v: done.append(v.size) or cumsum(v))
+    K.loudness(y)
+    assert done == [len(y)]
+
+
+@pytest.mark.parametrize("width", [2, 3])
+def test_samples_are_written_as_their_low_bytes(width):
+    y = np.random.default_rng(16).uniform(-1.2, 1.2, (500, 2))
+    x = np.rint(np.clip(y, -1, 1) * ((1 << (8 * width - 1)) - 1)).astype("<i4")
+    assert encode_wav(y, width=width)[44:] == b"".join(int(v).to_bytes(4, "little", signed=True)[:width] for v in x.ravel())
