@@ -330,3 +330,25 @@ def test_powers_of_few_bins_are_those_of_the_transform(monkeypatch, size):
     monkeypatch.setattr(np.fft, "rfft", forbidden)
     got = K.bin_powers(y, 2, 14)
     assert got.shape == want.shape and np.abs(got - want).max() < 1e-9
+
+
+def test_a_low_passed_sample_takes_the_taps_that_are_not_zero(monkeypatch):
+    y, done, banded = np.random.default_rng(18).normal(size=4001), [], K.banded
+    plain = np.convolve(y, K.half_band(), "same")[::2]
+    monkeypatch.setattr(K, "banded", lambda x, taps, *args: done.append(taps.size) or banded(x, taps, *args))
+    got = K.halved(y)
+    assert len(got) == len(plain) and np.abs(got - plain).max() < 1e-12 and done == [64]
+
+
+@pytest.mark.parametrize("size", [1, 700, 8192, 60001])
+def test_chroma_of_any_length_is_that_of_whole_frames(size):
+    y, n = np.random.default_rng(19).normal(size=size), 1 << 14
+    weight, first = K.chroma_weights(n), int(np.searchsorted(K.frequencies(n), K.CHROMA_RANGE[0]))
+    raw = weight @ K.magnitudes(K.framed(np.pad(y, n // 2), n), first, first + weight.shape[1]).T
+    got = K.chroma_of(y)
+    assert got.shape == (12, 1 + size // K.HOP) and np.abs(got - raw / raw.max(axis=0)).max() < 1e-8
+
+
+def test_chroma_keeps_few_frames():
+    y = audio.synth(3)
+    assert memory(lambda: K.chroma_of(y)) < 6_000_000
