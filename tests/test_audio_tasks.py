@@ -352,3 +352,15 @@ def test_chroma_of_any_length_is_that_of_whole_frames(size):
 def test_chroma_keeps_few_frames():
     y = audio.synth(3)
     assert memory(lambda: K.chroma_of(y)) < 6_000_000
+
+
+def test_the_cache_takes_one_transform_of_each_frame(spark, tmp_path, monkeypatch):
+    y = audio.synth(3)
+    together, apart = (transformed(monkeypatch, run) for run in (lambda: frames.both_rates(y), lambda: (frames.full_rate(y), frames.slow_rate(y))))
+    assert together < 0.85 * apart
+    tracks = spark.createDataFrame([(3,), (4,)], "track_id long")
+    frames.write_cache(tracks, f"{tmp_path}/c", audio.made)
+    for got, want in zip(frames.read_cache(spark, f"{tmp_path}/c"), (frames.frames(tracks, audio.made), frames.frames_5hz(tracks, audio.made)), strict=True):
+        assert got.dtypes == want.dtypes and sorted(got.collect()) == sorted(want.collect())
+    frames.write_cache(tracks.where("track_id > 9"), f"{tmp_path}/c", audio.made)
+    assert [df.count() for df in frames.read_cache(spark, f"{tmp_path}/c")] == [0, 0]
