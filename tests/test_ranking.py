@@ -1,6 +1,7 @@
 """Scored pairs against all pairs."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,3 +58,14 @@ def test_every_pair_of_a_seed_is_scored(spark):
 def test_pairs_are_no_rows_of_a_join(spark, name):
     plan = L.QUERIES[name](spark, "/root/testdata/sf0.01")._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and plan.count("Join") == 1  # that of parts and vectors
+
+
+def test_parts_of_a_track_alone_are_taken_once():
+    rows = [r for r in tracks() if r[1] == 1500]
+    a = R.Tracks(pa.Table.from_pylist([dict(zip(R.FIELDS, r, strict=True)) for r in rows]))
+    i, j = np.arange(len(rows) - 1), np.arange(len(rows))
+    parts = R._parts(a, i, a, j, np.zeros(len(j), int))
+    assert [p.shape for p in parts] == [(len(i) if many else 1, len(j)) for many in (1, 1, 0, 0, 1, 1)]
+    with np.errstate(invalid="ignore"):
+        assert np.array_equal(parts[5], parts[0] + parts[1] + parts[2] + parts[3] + parts[4], equal_nan=True)
+    assert not R._cosines(np.zeros((2, 3)), np.ones((4, 3)), np.zeros(2), np.full(4, 3.0)).any()
