@@ -32,14 +32,23 @@ def decode_wav(content: bytes, rate: int = SAMPLE_RATE) -> np.ndarray:
     if width == 1:
         x = np.frombuffer(raw, np.uint8).astype(float) / 128 - 1
     elif width == 3:
-        b = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)
-        x = ((b[:, 0] | b[:, 1] << 8 | b[:, 2] << 16) << 8 >> 8) / float(1 << 23)
+        b = np.frombuffer(raw, np.uint8).reshape(-1, 3)
+        x = high_bytes(b) / float(1 << 31)
     else:
         x = np.frombuffer(raw, {2: "<i2", 4: "<i4"}[width]) / float(1 << (8 * width - 1))
-    x = x[: len(x) // channels * channels].reshape(-1, channels).mean(axis=1)
+    if channels > 1:
+        x = x[: len(x) // channels * channels].reshape(-1, channels).mean(axis=1)
     return resample(x, own, rate).astype(np.float32)
 
 
+def high_bytes(b: np.ndarray) -> np.ndarray:
+    """Integers of four bytes, the lowest of them zero, of samples of three."""
+    wide = np.zeros((len(b), 4), np.uint8)
+    for k in range(3):
+        wide[:, k + 1] = b[:, k]
+    return wide.view("<i4")[:, 0]
+
+
 def resample(x: np.ndarray, own: int, rate: int) -> np.ndarray:
     if own == rate or not len(x):
         return x
@@ -129,7 +138,8 @@ def scan(files: DataFrame) -> DataFrame:
 
 
 def decoded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """track_id, y, error of files (track_id, content); y is null where the content cannot be decoded."""
+    """track_id, y, error of files (track_id, content), and their further columns; y is null where the content cannot be
+    decoded."""
     for batch in batches:
         for k in range(batch.num_rows):  # one signal at a time: they are large
             y, error = None, None
@@ -137,7 +147,8 @@ def decoded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 y = decode_wav(batch.column(1)[k].as_py())
             except UnsupportedAudio as e:
                 error = str(e) or "no PCM WAV"
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([y], pa.list_(pa.float32())), pa.array([error], pa.string())], names=["track_id", "y", "error"])
+            also = [c.slice(k, 1) for c in batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([y], pa.list_(pa.float32())), pa.array([error], pa.string()), *also], names=["track_id", "y", "error", *batch.schema.names[2:]])
 
 
 def contents(files: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from sonolith.operators import analysis as A
 from sonolith.operators import strategies
 from sonolith.plans import audio
 from sonolith.sources import frames
-from sonolith.sources.audio import encode_wav
+from sonolith.sources.audio import decode_wav, encode_wav
 
 SF = "/root/testdata/sf0.01"
 KERNELS = ("analyze_tracks", "mix_points", "bass_check", "loudness_measures", "chroma_frames", "segment_ward", "render_transition", "spectral_frames", "contrast", "mfcc")
@@ -364,3 +364,29 @@ def test_the_cache_takes_one_transform_of_each_frame(spark, tmp_path, monkeypatc
         assert got.dtypes == want.dtypes and sorted(got.collect()) == sorted(want.collect())
     frames.write_cache(tracks.where("track_id > 9"), f"{tmp_path}/c", audio.made)
     assert [df.count() for df in frames.read_cache(spark, f"{tmp_path}/c")] == [0, 0]
+
+
+def test_files_are_analysed_without_a_join(spark):
+    plan = audio.QUERIES["analyze_files"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("MapInArrow") == 1
+
+
+def test_keys_are_those_of_the_correlations(monkeypatch):
+    rng = np.random.default_rng(20)
+    for chroma in (*rng.uniform(size=(30, 12)), *np.roll(np.eye(12), 3, axis=1), *1e-3 * rng.uniform(size=(5, 12, 40))):
+        mean = chroma.mean(axis=1) if chroma.ndim == 2 else chroma
+        fits = sorted((-round(float(np.corrcoef(mean, np.roll(profile, p))[0, 1]), 12), p, minor) for p in range(12) for minor, profile in enumerate((A.MAJOR_PROFILE, A.MINOR_PROFILE)))
+        with monkeypatch.context() as m:
+            m.setattr(np, "corrcoef", forbidden)
+            got = A.key(chroma)
+        want = np.clip((fits[0][0] - fits[1][0]) / fits[0][0], 0, 1)
+        assert (got["pitch_class"], got["key_mode"]) == (fits[0][1], "minor" if fits[0][2] else "major") and abs(got["key_confidence"] - want) < 1e-9
+
+
+@pytest.mark.parametrize("channels", [1, 2])
+def test_samples_of_three_bytes_are_read_as_numbers(monkeypatch, channels):
+    y = np.random.default_rng(21).uniform(-1.1, 1.1, (501, channels))
+    x = np.rint(np.clip(y, -1, 1) * ((1 << 23) - 1)) / (1 << 23)
+    y[:2] = [[-1.0] * channels, [1.0] * channels]
+    x[:2] = np.array([[-1.0], [1.0]]) * ((1 << 23) - 1) / (1 << 23)
+    assert np.array_equal(decode_wav(encode_wav(y)), x.mean(axis=1).astype(np.float32))
